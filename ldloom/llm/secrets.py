@@ -108,10 +108,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     spans = F.coalesce("spans", F.from_json(F.lit("[]"), "array<struct<start:int,kind:int,end:int,n_owners:bigint,n_repos:bigint,live:boolean>>"))
     base = F.filter(spans, lambda x: x["kind"] < 3)
+    of_kind = lambda k: lambda x: x["kind"] == k
     count = lambda test: F.size(F.filter(spans, test)).cast("long")
     return found.select(
         "doc_id",
-        *(count(lambda x, k=k: x["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(3)),
+        *(count(of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(3)),
         F.sha2(told(base), 256).alias("base_sha256"),
         told(spans).alias("spans"),
         count(lambda x: x["live"]).alias("n_live"),
