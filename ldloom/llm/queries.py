@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from .mixing import OP5_SQL, op5_mixing
 from .packing import op10_packing
+from .search import op7_topk
 from .secrets import op8_secrets
 from .sharding import op6_sharding
+from .token_files import op4_token_files
+from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op4_token_files": op4_token_files,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
+    "op7_topk": op7_topk,
     "op8_secrets": op8_secrets,
+    "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL = {"op5_mixing": OP5_SQL}
