@@ -31,7 +31,13 @@ def cut(df: DataFrame, name: str = "table", compression: str = "zstd") -> DataFr
     """Write df to the shared folder and read it back: later jobs neither redo its lineage nor lose it with an executor."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")  # what the write has shuffled is not read again
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(clean, before)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     out = spark.read.schema(df.schema).parquet(path)

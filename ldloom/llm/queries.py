@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import op2_embedding_dedup
+from .minhash import op1_minhash
 from .mixing import OP5_SQL, op5_mixing
 from .packing import op10_packing
 from .search import op7_topk
 from .secrets import op8_secrets
 from .sharding import op6_sharding
+from .substring_dedup import op3_substring_dedup
 from .token_files import op4_token_files
 from .toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_token_files": op4_token_files,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
