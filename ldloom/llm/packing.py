@@ -73,8 +73,8 @@ def cut_pieces(path: str, capacity: int, end_id: int, spaced: bool):
 
         encode, uid = encoder(path, spaced).encode, task_uid()
         for batch in batches:
-            for part in slices(batch):
-                ids, lengths = encode(part.column("text").to_pylist())
+            for part in slices(batch, most=4 << 20):
+                ids, lengths = encode(part.column("text"))
                 rows, at = [], 0
                 for doc_id, n in zip(part.column("doc_id").to_pylist(), lengths.tolist()):
                     own = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4")

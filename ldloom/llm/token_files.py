@@ -1,8 +1,8 @@
 """Token ids on disk: canonical length-limited Huffman code from global counts, blocks with bit-offset checkpoints.
 
-Texts are dealt by range of the document id and encoded to ids in that order; the ids go to a shared table of blocks (whole documents,
-about ``BLOCK_IDS`` ids). Counting is one pass over that table with a sum per id, so what reaches the driver is bounded
-by the vocabulary, and so is the code table sent back. The files hold, per block, the bit stream, a bit offset every
+Texts are dealt by range of the document id and encoded to ids in that order; the ids go to a shared table of blocks
+(whole documents, about ``BLOCK_IDS`` ids), the last block of a range with the range's counts. These are summed per id, so
+what reaches the driver is bounded by the vocabulary, and so is the code table sent back. The files hold, per block, the bit stream, a bit offset every
 ``STEP`` ids, and the documents' ids and lengths. A block needs nothing but the code lengths: decoding starts at all
 checkpoints of a block at once and looks up ``MAX_BITS`` bits at a time in one table.
 
@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from .common import cut, drop, slices, table
 from .packing import tokenizer_file
 
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 19
 STEP = 256
 MAX_BITS = 20
 #: Bytes of text a range of document ids is meant to hold.
 RANGE_BYTES = 32 << 20
-BLOCKS = "part int, first long, doc_ids array<bigint>, sizes array<bigint>, ids binary"
+BLOCKS = "part int, first long, doc_ids array<bigint>, sizes array<bigint>, ids binary, counts binary"
 FILES = "part int, first long, doc_ids array<bigint>, sizes array<bigint>, bits binary, offsets array<bigint>"
 DECODED = "part int, at long, doc_id long, n_tokens long, ids_crc32 long"
 
@@ -118,28 +118,32 @@ def blocks(path: str, spaced: bool, end_id: int, most: int):
 
         encode, part = encoder(path, spaced).encode, TaskContext.get().partitionId()
         docs, sizes, held, total, first = [], [], [], 0, 0
+        counts = np.zeros(most, np.int64)
 
-        def block() -> pa.RecordBatch:
+        def block(last: bool = False) -> pa.RecordBatch:
             ids = np.concatenate(held).astype("<u2" if narrow else "<u4").tobytes()
-            kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((part, first, docs, sizes, ids), kinds)], names=["part", "first", "doc_ids", "sizes", "ids"])
+            kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            values = (part, first, docs, sizes, ids, counts.tobytes() if last else None)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], names=["part", "first", "doc_ids", "sizes", "ids", "counts"])
 
         narrow = most <= 1 << 16
         for batch in batches:
-            for piece in slices(batch, most=2 << 20):
-                ids, lengths = encode(piece.column("text").to_pylist())
+            for piece in slices(batch, most=4 << 20):
+                ids, lengths = encode(piece.column("text"))
                 ends = np.cumsum(lengths)
                 ids = np.insert(ids, ends, np.uint32(end_id))
                 docs += piece.column("doc_id").to_pylist()
                 sizes += (lengths + 1).tolist()
                 held.append(ids)
+                counts += np.bincount(ids, minlength=most)
                 total += len(ids)
                 if total >= BLOCK_IDS:
                     yield block()
                     first += total
                     docs, sizes, held, total = [], [], [], 0
-        if docs:
-            yield block()
+        if docs or first:
+            held = held or [np.empty(0, np.uint32)]
+            yield block(last=True)
 
     return run
 
@@ -148,20 +152,20 @@ def as_ids(value: bytes, narrow: bool) -> np.ndarray:
     return np.frombuffer(value, "<u2" if narrow else "<u4")
 
 
-def count_ids(vocabulary: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            for value in batch.column("ids"):
-                total += np.bincount(as_ids(value.as_py(), vocabulary <= 1 << 16), minlength=vocabulary)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["id", "n"])
-
-    return run
+def sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = 0
+    for batch in batches:
+        for value in batch.column("counts").drop_null():
+            total = total + np.frombuffer(value.as_py(), np.int64)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used] if len(used) else [], pa.int64())], names=["id", "n"])
 
 
 def write_bits(lengths: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .tokens import release
+
+        release()
         code = Code(np.frombuffer(lengths, np.uint8))
         for batch in batches:
             for i in range(batch.num_rows):
@@ -197,13 +201,13 @@ def read_bits(lengths: bytes):
 def write_token_files(docs: DataFrame, path: str, end_id: int = 0, spaced: bool = True, vocabulary: int = 50_257) -> tuple[DataFrame, bytes]:
     """(files, code lengths): all documents' ids in ascending order of doc_id."""
     read = docs.select(F.col("doc_id").cast("long"), "text")
-    volume = read.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    volume = 2 * int(str(read._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the planner's estimate; text files are packed
     ranges = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-volume // RANGE_BYTES))
     tie = F.xxhash64("text")
     dealt = read.repartitionByRange(int(ranges), F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
     ids = cut(dealt.mapInArrow(blocks(path, spaced, end_id, vocabulary), BLOCKS), "ids")
     counts = np.zeros(vocabulary, np.int64)
-    for r in ids.select("ids").mapInArrow(count_ids(vocabulary), "id int, n long").groupBy("id").agg(F.sum("n")).collect():
+    for r in ids.select("counts").where("counts IS NOT NULL").mapInArrow(sum_counts, "id int, n long").groupBy("id").agg(F.sum("n")).collect():
         counts[r[0]] = r[1]
     lengths = code_lengths(counts).tobytes()
     files = cut(ids.mapInArrow(write_bits(lengths), FILES), "token-files", "uncompressed")
