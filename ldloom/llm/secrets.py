@@ -36,7 +36,7 @@ TOKEN_BITS = 3.5
 #: A value held by so many distinct owners is a copied example.
 EXAMPLE_OWNERS = 3
 
-SCANNED = "uid long, doc_id long, repo string, owner string, cands array<struct<start:int,end:int,kind:int,h:long>>"
+SCANNED = "uid long, doc_id long, tie long, repo string, owner string, cands array<struct<start:int,end:int,kind:int,h:long>>"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -75,7 +75,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found += token_spans(text, found) if text else []
                 cands.append([{"start": s, "end": e, "kind": k, "h": int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "little", signed=True)} for s, e, k, v in found])
             uids = pa.array([next(uid) for _ in cands], pa.int64())
-            yield pa.RecordBatch.from_arrays([uids, part.column("doc_id"), part.column("repo"), part.column("owner"), pa.array(cands, kind)], names=["uid", "doc_id", "repo", "owner", "cands"])
+            yield pa.RecordBatch.from_arrays([uids, *(part.column(c) for c in ("doc_id", "tie", "repo", "owner")), pa.array(cands, kind)], names=["uid", "doc_id", "tie", "repo", "owner", "cands"])
 
 
 def ownership(cands: DataFrame) -> DataFrame:
@@ -86,17 +86,17 @@ def ownership(cands: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, repo=None, owner=None, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """One row per document: uid, doc_id, spans array<struct<start,end,kind,n_owners,n_repos,live>> by start, then kind.
+    """One row per document: uid, doc_id, tie (a hash of its text), spans array<struct<start,end,kind,n_owners,n_repos,live>> by start, then kind.
 
     Added candidates are spans only while they look live; base spans always stay."""
     repo = F.concat_ws("/", "source", "lang") if repo is None else repo
     owner = F.col("source") if owner is None else owner
-    read = docs.select(F.col("doc_id").cast("long"), F.coalesce(repo, F.lit("")).alias("repo"), F.coalesce(owner, F.lit("")).alias("owner"), "text")
+    read = docs.select(F.col("doc_id").cast("long"), F.coalesce(repo, F.lit("")).alias("repo"), F.coalesce(owner, F.lit("")).alias("owner"), F.xxhash64("text").alias("tie"), "text")
     seen = cut(read.mapInArrow(scan, SCANNED), "secrets")
     cands = seen.select("uid", "repo", "owner", F.explode("cands").alias("c")).select("uid", "repo", "owner", "c.*")
     judged = cands.join(ownership(cands), "h").withColumn("live", F.col("n_owners") < example_owners).where("kind < 3 OR live")
     per = judged.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "n_owners", "n_repos", "live"))).alias("spans"))
-    return seen.select("uid", "doc_id").join(per, "uid", "left")
+    return seen.select("uid", "doc_id", "tie").join(per, "uid", "left")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import slices, table
 
@@ -143,21 +144,26 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     return fit([t for _, p, t in rows if p], [t for _, p, t in rows if not p], toxic / n)
 
 
-def score_texts(weights: dict[str, float], bias: float):
+def score_texts(weights: dict[str, float], bias: float, keep_text: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(weights, bias)
         for batch in batches:
             for part in slices(batch):
                 margins = np.array([model.margin(t or "") for t in part.column("text").to_pylist()])
-                rest = [c for c in part.schema.names if c != "text"]
+                rest = [c for c in part.schema.names if keep_text or c != "text"]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(sigmoid(margins) * (bias > -np.inf))], names=[*rest, "score"])
 
     return run
 
 
+def scored_schema(docs: DataFrame) -> StructType:
+    """The columns that score_texts() returns for docs with these: all, the text too, and the score."""
+    return StructType([*docs.schema.fields, StructField("score", DoubleType())])
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of every row."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score_texts(model.weights, model.bias), SCORED)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score_texts(model.weights, model.bias, keep_text=False), SCORED)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
