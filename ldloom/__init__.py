@@ -1,0 +1 @@
+"""Spark-native synthetic genotype simulation that keeps linkage disequilibrium."""
