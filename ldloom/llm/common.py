@@ -106,6 +106,22 @@ def word_hashes(text: bytes) -> np.ndarray:
     return _words.of(text.split())
 
 
+def words_of_all(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts in a row, and where each text's begin and end. Each distinct word is hashed once; A-Z
+    count as a-z if ``lower``. Arrow's ASCII white space is the same six characters as the words' separators."""
+    import pyarrow.compute as pc
+
+    texts = texts.fill_null("")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    upto = lists.offsets.to_numpy().astype(np.int64)
+    coded = lists.values.slice(upto[0], upto[-1] - upto[0]).dictionary_encode()
+    names = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    at = coded.indices.to_numpy()
+    hashes = _words.of(names)[at]
+    full = np.array([len(n) > 0 for n in names], bool)[at]  # white space at an end of a text splits off an empty word
+    return hashes[full], np.concatenate([[0], np.cumsum(full)])[upto - upto[0]]
+
+
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """64-bit hash of each window of k words, in order: windows of powers of two are joined two by two."""
     n = len(words) - k + 1

@@ -27,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop, mix64, slices, table, window_hashes, word_hashes
+from .common import cut, drop, mix64, slices, table, window_hashes, words_of_all
 
 K = 20
 SEED = 8
@@ -38,17 +39,11 @@ ANCHOR_MASK = 15
 _OTHER = np.uint64(0x2545F4914F6CDD1D)
 
 PATHS = "h long, g int, did long, tie int, pos int, size int"
-SEEDS = "m long, did long, tie int, n int"
+SEEDS = "m long, did long, tie int"
 EDGES = "h long, g int, did long, tie int, pos int"
 KEPT = "did long, n_words long, n_removed long, kept_sha256 string"
 
 
-def path_starts(words: np.ndarray, k: int = K) -> np.ndarray:
-    """First edges of the paths of a text with len(words) - k + 1 edges."""
-    anchors = np.flatnonzero((window_hashes(words, 2)[: len(words) - k + 1] & np.uint64(ANCHOR_MASK)) == 0)
-    return anchors if len(anchors) and anchors[0] == 0 else np.concatenate([[0], anchors])
-
-
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each window of ``width`` values, from windows of powers of two."""
     n, size, least = len(x) - width + 1, 1, x
@@ -58,94 +53,109 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[:n], least[width - size : width - size + n])
 
 
-def open_edges(n: int, starts: list[int] | None, sizes: list[int] | None) -> np.ndarray:
-    """Which of n edges lie on no removed path."""
-    step = np.zeros(n + 1, np.int32)
-    if starts is not None:
-        np.add.at(step, starts, 1)
-        np.add.at(step, np.asarray(starts) + np.asarray(sizes), -1)
-    return np.cumsum(step[:n]) == 0
+class Words:
+    """The words of a batch's texts in a row. ``edge``: where an edge starts; ``doc``: the row of each word."""
+
+    def __init__(self, part: pa.RecordBatch, k: int):
+        self.part, self.k = part, k
+        self.h, self.upto = words_of_all(part.column("text"))
+        sizes = np.diff(self.upto)
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.edge = np.arange(len(self.h)) + k <= self.upto[1:][self.doc]
+
+    def open_edges(self) -> np.ndarray:
+        """Edges that lie on no removed path."""
+        step = np.zeros(len(self.h) + 1, np.int32)
+        starts, sizes = self.part.column("starts"), self.part.column("lengths")
+        lengths = np.array([0 if n is None else n for n in pc.list_value_length(starts).to_pylist()], np.int64)
+        first = np.repeat(self.upto[:-1], lengths) + starts.flatten().to_numpy()
+        np.add.at(step, first, 1)
+        np.add.at(step, first + sizes.flatten().to_numpy(), -1)
+        return self.edge & (np.cumsum(step[:-1]) == 0)
 
+    def rows(self, at: np.ndarray) -> list[np.ndarray]:
+        """did and tie of the words at these places."""
+        return [self.part.column(c).to_numpy()[self.doc[at]] for c in ("did", "tie")]
 
-def minimizers(words: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each seed, least of the seeds of each edge)."""
-    seeds = window_hashes(words, SEED)
-    return seeds, sliding_min(seeds, k - SEED + 1)
+    def seeds(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of each seed, least of the seeds of each edge); shorter than the words, places agree."""
+        seeds = window_hashes(self.h, SEED)
+        width = self.k - SEED + 1
+        return seeds, sliding_min(seeds, width) if len(seeds) >= width else seeds[:0]
 
 
-def rows_of(columns: list[list], names: list[str], kinds: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if len(c) else [], t) for c, t in zip(columns, kinds)], names=names)
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
-def documents_of(part: pa.RecordBatch) -> Iterator[tuple]:
-    return zip(part.column("did").to_pylist(), part.column("tie").to_pylist(), part.column("text").to_pylist())
+def span_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """64-bit hash of h[s:e] for each span, from one running sum of a polynomial in an odd base (mod 2**64)."""
+    up, down = powers(base, len(h)), powers(pow(base, -1, 1 << 64), len(h))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:-1], dtype=np.uint64)])
+    return mix64((sums[ends] - sums[starts]) * down[starts] + mix64((ends - starts).astype(np.uint64)))
 
 
 def emit_paths(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                out: list[list] = [[] for _ in range(6)]
-                for did, tie, text in documents_of(part):
-                    words = word_hashes((text or "").encode())
-                    n = len(words) - k + 1
-                    if n <= 0:
-                        continue
-                    starts = path_starts(words, k)
-                    sizes = np.diff(np.append(starts, n))
-                    raw = memoryview(words.tobytes())
-                    digests = b"".join([hashlib.blake2b(raw[8 * s : 8 * (s + z + k - 1)], digest_size=12).digest() for s, z in zip(starts.tolist(), sizes.tolist())])
-                    both = np.frombuffer(digests, np.dtype([("h", "<i8"), ("g", "<i4")]))
-                    for column, value in zip(out, (both["h"], both["g"], np.full(len(starts), did), np.full(len(starts), tie, np.int32), starts.astype(np.int32), sizes.astype(np.int32))):
-                        column.append(value)
-                yield rows_of(out, ["h", "g", "did", "tie", "pos", "size"], [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()])
+        for part in (p for batch in batches for p in slices(batch)):
+            w = Words(part, k)
+            cut_here = np.zeros(len(w.h), bool)
+            pairs = window_hashes(w.h, 2)
+            cut_here[: len(pairs)] = (pairs & np.uint64(ANCHOR_MASK)) == 0
+            cut_here[w.upto[:-1][w.upto[:-1] < len(w.h)]] = True
+            starts = np.flatnonzero(cut_here & w.edge)
+            if not len(starts):
+                continue
+            last = w.upto[1:][w.doc[starts]] - k + 1  # one after the text's last edge
+            after = np.minimum(np.append(starts[1:], len(w.h)), last)
+            ends = after + k - 1
+            h = span_hashes(mix64(w.h), starts, ends, 0x9E3779B97F4A7C15).view(np.int64)
+            g = (span_hashes(mix64(w.h ^ _OTHER), starts, ends, 0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            pos = starts - w.upto[:-1][w.doc[starts]]
+            columns = [h, g, *w.rows(starts), pos.astype(np.int32), (after - starts).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "g", "did", "tie", "pos", "size"])
 
     return run
 
 
 def emit_seeds(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                out: list[list] = [[] for _ in range(4)]
-                for (did, tie, text), starts, sizes in zip(documents_of(part), part.column("starts").to_pylist(), part.column("lengths").to_pylist()):
-                    words = word_hashes((text or "").encode())
-                    n = len(words) - k + 1
-                    if n <= 0 or not (open_ := open_edges(n, starts, sizes)).any():
-                        continue
-                    seeds, least = minimizers(words, k)
-                    chosen = np.zeros(len(seeds), bool)
-                    for off in range(k - SEED + 1):
-                        chosen[off : off + n] |= open_ & (seeds[off : off + n] == least)
-                    values, counts = np.unique(seeds[chosen], return_counts=True)
-                    for column, value in zip(out, (values.view(np.int64), np.full(len(values), did), np.full(len(values), tie, np.int32), np.minimum(counts, 2).astype(np.int32))):
-                        column.append(value)
-                yield rows_of(out, ["m", "did", "tie", "n"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
+        for part in (p for batch in batches for p in slices(batch)):
+            w = Words(part, k)
+            seeds, least = w.seeds()
+            n = len(least)
+            open_ = w.open_edges()[:n]
+            chosen = np.zeros(len(seeds), bool)
+            for off in range(k - SEED + 1 if n else 0):
+                chosen[off : off + n] |= open_ & (seeds[off : off + n] == least)
+            at = np.flatnonzero(chosen)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (seeds[at].view(np.int64), *w.rows(at))], names=["m", "did", "tie"])
 
     return run
 
 
 def emit_edges(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                out: list[list] = [[] for _ in range(5)]
-                for (did, tie, text), starts, sizes, repeated in zip(documents_of(part), part.column("starts").to_pylist(), part.column("lengths").to_pylist(), part.column("ms")):
-                    words = word_hashes((text or "").encode())
-                    n = len(words) - k + 1
-                    if n <= 0:
-                        continue
-                    least = minimizers(words, k)[1].view(np.int64)
-                    wanted = np.sort(repeated.values.to_numpy())
-                    at = np.minimum(np.searchsorted(wanted, least), len(wanted) - 1)
-                    found = np.flatnonzero((wanted[at] == least) & open_edges(n, starts, sizes))
-                    if not len(found):
-                        continue
-                    h = window_hashes(words, k)[found].view(np.int64)
-                    g = (window_hashes(mix64(words ^ _OTHER), k)[found] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    for column, value in zip(out, (h, g, np.full(len(found), did), np.full(len(found), tie, np.int32), found.astype(np.int32))):
-                        column.append(value)
-                yield rows_of(out, ["h", "g", "did", "tie", "pos"], [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()])
+        for part in (p for batch in batches for p in slices(batch)):
+            w = Words(part, k)
+            least = w.seeds()[1]
+            n = len(least)
+            repeated = part.column("ms")
+            of = np.repeat(np.arange(part.num_rows), pc.list_value_length(repeated).to_numpy())
+            salt = mix64(np.arange(part.num_rows, dtype=np.uint64) + np.uint64(1))
+            wanted = np.unique(mix64(repeated.flatten().to_numpy().view(np.uint64) ^ salt[of]))
+            own = mix64(least ^ salt[w.doc[:n]])
+            at = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
+            found = np.flatnonzero((wanted[at] == own) & w.open_edges()[:n])
+            if not len(found):
+                continue
+            h = window_hashes(w.h, k)[found].view(np.int64)
+            g = (window_hashes(mix64(w.h ^ _OTHER), k)[found] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            pos = (found - w.upto[:-1][w.doc[found]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, g, *w.rows(found), pos)], names=["h", "g", "did", "tie", "pos"])
 
     return run
 
@@ -166,11 +176,12 @@ def keep_rest(k: int):
         for batch in batches:
             for part in slices(batch):
                 rows = []
-                for (did, _, text), starts, sizes, edges in zip(documents_of(part), part.column("starts").to_pylist(), part.column("lengths").to_pylist(), part.column("edges").to_pylist()):
-                    words = (text or "").encode().split()
-                    gone = removed_words(len(words), k, starts, sizes, edges)
-                    kept = words if not gone.any() else [words[i] for i in np.flatnonzero(~gone).tolist()]
-                    rows.append((did, len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
+                for did, text, starts, sizes, edges in zip(*(part.column(c).to_pylist() for c in ("did", "text", "starts", "lengths", "edges"))):
+                    words = kept = (text or "").encode().split()
+                    if starts or edges:
+                        gone = removed_words(len(words), k, starts, sizes, edges)
+                        kept = [words[i] for i in np.flatnonzero(~gone).tolist()]
+                    rows.append((did, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["did", "n_words", "n_removed", "kept_sha256"])
 
@@ -194,8 +205,8 @@ def without_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     drop(paths)
     with_paths = read.join(gone.hint("shuffle_hash"), ["did", "tie"], "left")
     seeds = cut(with_paths.mapInArrow(emit_seeds(k), SEEDS), "seeds")
-    repeated = seeds.groupBy("m").agg(F.sum("n").alias("n")).where("n > 1").select("m")
-    wanted = cut(seeds.join(repeated, "m").groupBy("did", "tie").agg(F.collect_list("m").alias("ms")), "repeated-seeds")
+    repeated = seeds.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
+    wanted = cut(seeds.join(repeated, "m").groupBy("did", "tie").agg(F.collect_set("m").alias("ms")), "repeated-seeds")
     drop(seeds)
     flagged = read.join(wanted.join(gone, ["did", "tie"], "left").hint("shuffle_hash"), ["did", "tie"])
     edges = cut(flagged.mapInArrow(emit_edges(k), EDGES), "edges")
