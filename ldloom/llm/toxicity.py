@@ -12,7 +12,7 @@ driver; scoring reads every whole text in one pass, with no shuffle. What goes t
 ``MAX_FEATURES`` at most.
 
 Defined cases: a null or empty text scores by the bias alone; repeated rows score alike; texts of any length are scored
-whole; without a confirmed positive every score is 0; a null id is hashed as an empty string; an empty table gives no
+whole; without a confirmed positive, or a feature that tells positives apart, every score is 0; a null id is hashed as an empty string; an empty table gives no
 rows; only doc_id and text are read.
 """
 
@@ -32,7 +32,7 @@ POSITIVES = 2500
 UNLABELLED = 7500
 MIN_DOCS = 6
 MAX_FEATURES = 20_000
-MIN_Z = 4.0
+MIN_Z = 6.0
 PREFIXES = (3, 4, 5, 6)
 STEPS = 200
 RATE = 0.05
@@ -97,6 +97,8 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = S
     names = list(all_of)
     kept_ids = sorted(np.flatnonzero(z >= min_z).tolist(), key=lambda i: (-z[i], names[i]))[:MAX_FEATURES]
     kept = [names[i] for i in kept_ids]
+    if not kept:
+        return Model({}, -np.inf)
     number = np.full(len(names), -1, np.int64)
     number[kept_ids] = np.arange(len(kept_ids))
     rows = [r[r >= 0] for r in (number[d] for d in docs)]
@@ -144,21 +146,21 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     return fit([t for _, p, t in rows if p], [t for _, p, t in rows if not p], toxic / n)
 
 
-def score_texts(weights: dict[str, float], bias: float, keep_text: bool = True):
+def score_texts(weights: dict[str, float], bias: float, keep_text: bool = True, name: str = "score"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(weights, bias)
         for batch in batches:
             for part in slices(batch):
                 margins = np.array([model.margin(t or "") for t in part.column("text").to_pylist()])
                 rest = [c for c in part.schema.names if keep_text or c != "text"]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(sigmoid(margins) * (bias > -np.inf))], names=[*rest, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(sigmoid(margins) * (bias > -np.inf))], names=[*rest, name])
 
     return run
 
 
-def scored_schema(docs: DataFrame) -> StructType:
-    """The columns that score_texts() returns for docs with these: all, the text too, and the score."""
-    return StructType([*docs.schema.fields, StructField("score", DoubleType())])
+def with_score(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """docs and a column of scores; ``name`` is no column of docs."""
+    return docs.mapInArrow(score_texts(model.weights, model.bias, name=name), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
