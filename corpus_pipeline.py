@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ldloom.llm import minhash, mixing, packing, secrets, toxicity
-from ldloom.llm.common import cut, slices, table
+from ldloom.llm.common import cut, fresh, slices, table
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: What stands in a text for a secret: one that looks live, one that is copied widely.
 LIVE, EXAMPLE = "<secret>", "<example-secret>"
 
@@ -19,8 +18,8 @@ LIVE, EXAMPLE = "<secret>", "<example-secret>"
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold stay as they are."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = docs.mapInArrow(toxicity.score_texts(model.weights, model.bias), toxicity.scored_schema(docs))
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    name = fresh(docs, "score")
+    return toxicity.with_score(docs, model, name).where(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,31 +29,37 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
-def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
+def redact(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in slices(batch)):
             texts = []
-            for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
+            for text, spans in zip(part.column("text").to_pylist(), part.column(name).to_pylist()):
                 at, out = 0, []
                 for span in spans or []:
                     if span["start"] >= at:
                         out += [text[at : span["start"]], LIVE if span["live"] else EXAMPLE]
                     at = max(at, span["end"])
                 texts.append(text if not spans else "".join([*out, text[at:]]))
-            names = [c for c in part.schema.names if c != "spans"]
+            names = [c for c in part.schema.names if c != name]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in names], names=names)
 
+    return run
+
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; each secret found gives way to a mark that says whether it looked live."""
-    found = secrets.find_secrets(docs).where("spans IS NOT NULL").select(F.col("doc_id").alias("_id"), "tie", "spans").dropDuplicates(["_id", "tie"])
-    marked = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("tie")), "left").select(*docs.columns, "spans").mapInArrow(redact, docs.schema)
+    own, tie, spans = fresh(docs, "own_id"), fresh(docs, "tie"), fresh(docs, "spans")
+    found = secrets.find_secrets(docs).where("spans IS NOT NULL").dropDuplicates(["doc_id", "tie"])
+    found = found.select(F.col("doc_id").alias(own), F.col("tie").alias(tie), F.col("spans").alias(spans))
+    same = docs["doc_id"].eqNullSafe(F.col(own)) & (F.xxhash64(docs["text"]) == F.col(tie))
+    marked = docs.join(found, same, "left").select(*docs.columns, spans).mapInArrow(redact(spans), docs.schema)
     return marked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mixing.repeated(mixing.mix(docs)).select(*docs.columns)
+    row = F.struct(*docs.columns).alias("row")
+    return mixing.repeated(mixing.mix(docs.select("doc_id", "text", "source", row))).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
