@@ -23,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
 
     number, real, on = {"type": int}, {"type": float, "default": 0.01}, {"action": "store_true"}
     shared = [("-vcf", {"required": True}), ("-samples", {"default": ""}), ("-maf", real), ("-ntraits", number | {"default": 10}), ("-seed", number)]
-    command("run", *shared, ("-out", {"default": "SAFE_LD.vcf"}), ("-workers", number | {"default": 0}), ("-compress", on))
+    command("run", *shared, ("-out", {"default": "synthetic.vcf"}), ("-workers", number | {"default": 0}), ("-compress", on))
     command("preprocess", *shared, ("-out", {"required": True}), ("-chunk-size", number | {"default": 10_000}), ("-traits-per-tile", number | {"default": 0}))
     command("simulate", ("-prep", {"required": True}), ("-out", {"required": True}), ("-workers", number | {"default": 0}), ("-compress", on), ("-start-chunk", number | {"default": -1}), ("-end-chunk", number | {"default": -1}))
     command("merge", ("-in", {"required": True, "dest": "chunks"}), ("-out", {"required": True}), ("-no-compress", on), ("-order", {"choices": ["numeric", "lexicographic"], "default": "numeric"}))

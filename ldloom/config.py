@@ -16,7 +16,7 @@ def _check(ok: bool, what: str) -> None:
 @dataclass(frozen=True)
 class StandardConfig:
     vcf: str
-    out: str = "SAFE_LD.vcf"
+    out: str = "synthetic.vcf"
     samples: str = ""
     maf: float = 0.01
     n_traits: int = 10

@@ -46,6 +46,11 @@ def read_chunks(spark: SparkSession, prep: str, start: int = -1, end: int = -1)
     return V.chunk_range(spark.read.parquet(f"{prep}/chunks"), start, end)
 
 
+def read_traits(spark: SparkSession, prep: str) -> DataFrame:
+    """trait, w, tile_id as preprocess wrote them. The seed in the manifest makes the same rows."""
+    return spark.read.parquet(f"{prep}/traits").select("trait", "tile_id", "w")
+
+
 def simulate(spark: SparkSession, cfg: SimulateConfig) -> list[str]:
     """A file chunk_<id>.vcf[.gz] for every chunk in range; their paths. Tasks make the trait tiles anew from the seed."""
     m = read_manifest(spark, cfg.prep)

@@ -56,15 +56,24 @@ def is_float(lines: list[str], kind: str, name: str) -> bool:
     return any(re.match(rf"##{kind}=<(?=.*\bID={name}[,>])(?=.*\bType=Float[,>])", x) for x in lines)
 
 
-def parse_lines(lines: DataFrame, n_samples: int | None = None, af: bool = True, ds: bool = True, value: str = "value") -> DataFrame:
-    """The raw columns of data lines; other columns of ``lines`` stay. A DS with several values gives its first."""
+def alternate_alleles(genotype: Column) -> Column:
+    """How many alleles of a genotype (0/1, 1|1, ...) aren't the reference; null if one is missing."""
+    alleles = F.transform(F.split(genotype, "[/|]"), lambda a: a.try_cast("int"))
+    count = F.aggregate(alleles, F.lit(0), lambda n, a: n + F.when(a > 0, 1).when(a == 0, 0))
+    return count.cast("float")
+
+
+def parse_lines(lines: DataFrame, n_samples: int | None = None, af: bool = True, ds: bool = True, value: str = "value", dosage_field: str = "DS") -> DataFrame:
+    """The raw columns of data lines; other columns of ``lines`` stay. A DS with several values gives its first. With
+    ``dosage_field="GT"`` dosages are counted from genotypes instead."""
     f = F.split(value, "\t")
     field = lambda i: F.get(f, F.lit(i))
-    place = F.array_position(F.split(field(8), ":"), "DS").cast("int") - 1
+    place = F.array_position(F.split(field(8), ":"), dosage_field).cast("int") - 1
     cells = F.slice(f, FIXED + 1, F.greatest(F.size(f) - FIXED, F.lit(0)) if n_samples is None else F.lit(n_samples))
 
     def first_value(cell: Column, at: Column) -> Column:
-        return F.get(F.split(F.get(F.split(cell, ":"), at), ","), F.lit(0)).try_cast("float")
+        whole = F.get(F.split(cell, ":"), at)
+        return alternate_alleles(whole) if dosage_field == "GT" else F.get(F.split(whole, ","), F.lit(0)).try_cast("float")
 
     dosages = D.let(place, lambda at: F.when(at >= 0, F.transform(cells, lambda c: first_value(c, at))))
     return lines.select(
@@ -95,7 +104,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return data.join(F.broadcast(offsets), ["_file", "_start"]).select((F.col("_seq") + F.col("_shift")).alias("row_idx"), "value")
 
 
-def read_vcf(spark: SparkSession, path: str, samples: str = "", mode: str = "FAILFAST") -> tuple[DataFrame, list[str]]:
+def read_vcf(spark: SparkSession, path: str, samples: str = "", mode: str = "FAILFAST", dosage_field: str = "DS") -> tuple[DataFrame, list[str]]:
     """(variants with the chosen samples' dosages, their names). ``mode``: FAILFAST raises on a line with a bad position
     or a wrong number of fields, DROPMALFORMED leaves it out."""
     header, lines = read_header(spark, path)
@@ -108,5 +117,5 @@ def read_vcf(spark: SparkSession, path: str, samples: str = "", mode: str = "FAI
     else:
         no_data = F.col("value").startswith("#") | (F.length("value") == 0)  # the planner may look at the value before it drops these
         data = data.withColumn("value", F.when(good | no_data, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("malformed line: "), F.substring("value", 1, 80)))))
-    raw = parse_lines(data, len(header), is_float(lines, "INFO", "AF"), is_float(lines, "FORMAT", "DS"))
+    raw = parse_lines(data, len(header), is_float(lines, "INFO", "AF"), dosage_field == "GT" or is_float(lines, "FORMAT", dosage_field), dosage_field=dosage_field)
     return project_samples(raw, chosen), [header[i] for i in chosen]

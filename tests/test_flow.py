@@ -10,7 +10,8 @@ from ldloom.config import PreprocessConfig, SimulateConfig, StandardConfig, trai
 from ldloom.functions import dosage as D
 from ldloom.operators import variants as V
 from ldloom.operators.simulate import gemm, scaled_rows
-from ldloom.plans.chunked import chunk_files, preprocess, read_chunks
+from ldloom.operators.traits import trait_row
+from ldloom.plans.chunked import chunk_files, preprocess, read_chunks, read_traits
 from ldloom.plans.standard import run_standard, standardized
 from ldloom.sources import vcf, vcf_write
 
@@ -75,6 +76,13 @@ def test_sample_order_and_subset(spark, golden):
         vcf.read_vcf(spark, golden, "nobody")
 
 
+def test_genotypes_on_request(spark, golden):
+    rows = vcf.read_vcf(spark, golden, dosage_field="GT")[0].collect()
+    assert len(rows) == 17 and all(r["ds"] == [1, 1, 1, 1] for r in rows)
+    cells = spark.createDataFrame([("0|0",), ("1/2",), ("./1",), ("1",)], "g string")
+    assert [r[0] for r in cells.select(vcf.alternate_alleles(cells["g"])).collect()] == [0, 2, None, 1]
+
+
 def test_malformed_lines(spark, tmp_path):
     (tmp_path / "bad.vcf").write_text(golden_text() + "1\tx\tbad\n")
     path = str(tmp_path / "bad.vcf")
@@ -112,6 +120,8 @@ def test_chunked_run_equals_itself_for_any_chunk_size(spark, golden, tmp_path):
         assert cli.main(["merge", "-in", f"{at}/chunks", "-out", f"{at}/all.vcf", "-no-compress"], spark) == 0
         merged.append((at / "all.vcf").read_text())
     assert merged[0] == merged[1] and merged[0].count("\n") == 4 + 7
+    stored = {r["trait"]: r["w"] for r in read_traits(spark, f"{tmp_path}/2/prep").collect()}
+    assert all(stored[t] == trait_row(5, t, 4).tolist() for t in range(4))
     assert {r[0] for r in read_chunks(spark, f"{tmp_path}/2/prep", 1, 2).select("chunk_id").distinct().collect()} == {1, 2}
     assert cli.main(["simulate", "-prep", f"{tmp_path}/2/prep", "-out", f"{tmp_path}/part", "-start-chunk", "1", "-end-chunk", "1"], spark) == 0
     assert [p.rsplit("/", 1)[1] for p in chunk_files(spark, f"{tmp_path}/part")] == ["chunk_1.vcf"]
