@@ -89,8 +89,8 @@ def z_scores(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
 def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY, min_docs: int = MIN_DOCS, min_z: float = MIN_Z) -> Model:
     """Full-batch Adam on the non-negative risk."""
     all_of: dict[str, int] = {}
-    docs = [np.fromiter((all_of.setdefault(f, len(all_of)) for f in sorted(features(t))), np.int64) for t in positive + unlabelled]
-    n_of = lambda part: np.bincount(np.concatenate([np.empty(0, np.int64), *part]), minlength=len(all_of))
+    docs = [np.fromiter((all_of.setdefault(f, len(all_of)) for f in sorted(features(t))), np.int32) for t in positive + unlabelled]
+    n_of = lambda part: np.bincount(np.concatenate([np.empty(0, np.int32), *part]), minlength=len(all_of))
     among_p, among_u = n_of(docs[: len(positive)]), n_of(docs[len(positive) :])
     z = np.abs(z_scores(among_p, len(positive), among_u, len(unlabelled)))
     z[among_p + among_u < min_docs] = 0
@@ -99,11 +99,11 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = S
     kept = [names[i] for i in kept_ids]
     if not kept:
         return Model({}, -np.inf)
-    number = np.full(len(names), -1, np.int64)
+    number = np.full(len(names), -1, np.int32)
     number[kept_ids] = np.arange(len(kept_ids))
     rows = [r[r >= 0] for r in (number[d] for d in docs)]
     sizes = np.array([len(r) for r in rows], np.int64)
-    flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
+    flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
     row = np.repeat(np.arange(len(rows)), sizes)
     is_p = np.arange(len(rows)) < len(positive)
     n_p, n_u = max(1, is_p.sum()), max(1, (~is_p).sum())
