@@ -10,9 +10,11 @@ Links are confirmed on the full sets. What keeps hot groups cheap:
 - texts with one set are one representative (the smallest id), so copies never meet;
 - a bucket (key) first offers each member its leader only (the smallest member), and of its leaders each member is
   confirmed against the one it shares most keys with: one pair per representative at most, whatever the size of a bucket;
-- only buckets that still hold several components are looked into, each distinct set of members once, in tiles of
-  ``TILE`` members a side, and only pairs of different components that the sizes and signatures allow are confirmed.
-  All links between components are tried, so none that would join two of them is lost; pairs inside a component are not needed.
+- buckets that still hold several components are looked into, in tiles of ``TILE`` members a side. A second signature of ``FINE`` hashes, made for bucket members only, tells how close two sets are. A
+  first look confirms each member's closest partner of another component in each bucket: that joins nearly all that
+  belongs together, at one pair a row. A last look confirms every pair of different components that sizes and the
+  second signature allow (within 4.3 standard deviations of the threshold), in the first bucket it shares, so no link that would join two components
+  is left out; pairs inside a component are not needed.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; fewer words than a shingle are one shingle; texts of any
 length are used whole; rows that share an id are one document, linked by the links of each; a null id links with nothing and has
@@ -28,41 +30,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop, mix64, slices, table, window_hashes, word_hashes
+from .common import cut, drop, mix64, slices, table, window_hashes, words_of_all
 from .components import components
 
 WORDS = 5
 PERCENT = 75
 CHUNKS, PER_CHUNK, BITS = 12, 5, 16
 HASHES = CHUNKS * PER_CHUNK
-#: Beyond this distance a pair at the threshold would be more than 5 standard deviations off its mean.
-FAR = 32
-TILE = 512
+#: Second signature: this many hashes of 8 bits, the first ``TIER`` compared first; sets that agree in fewer positions
+#: than 4.3 standard deviations under the threshold's share are too far apart.
+FINE, TIER = 1024, 256
+FINE_LEAST, TIER_LEAST = (int(n * PERCENT / 100 - 4.3 * (n * 0.75 * 0.25) ** 0.5) for n in (FINE, TIER))
+TILE = 2048
 #: Members confirmed against one leader in one group of rows.
 SALT = 128
 
 _rng = np.random.default_rng(20240117)
-_A = (_rng.integers(0, 1 << 32, HASHES, np.uint64) | np.uint64(1)).astype(np.uint32)
-_B = _rng.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32)
+_A = (_rng.integers(0, 1 << 32, HASHES + FINE, np.uint64) | np.uint64(1)).astype(np.uint32)
+_B = _rng.integers(0, 1 << 32, HASHES + FINE, np.uint64).astype(np.uint32)
 
 SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
 
 
-def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; A-Z count as a-z."""
-    h = word_hashes((text or "").encode().lower())
-    if len(h) < words:
-        return window_hashes(h ^ np.uint64(len(h)), len(h)) if len(h) else h
-    return np.unique(window_hashes(h, words))
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles; A-Z count as a-z."""
+    h, upto = words_of_all(texts, lower=True)
+    windows = window_hashes(h, words)
+    out = []
+    for s, e in zip(upto[:-1].tolist(), upto[1:].tolist()):
+        if e - s >= words:
+            out.append(np.unique(windows[s : e - words + 1]))
+        else:
+            own = h[s:e]
+            out.append(window_hashes(own ^ np.uint64(len(own)), len(own)) if len(own) else own)
+    return out
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+def minima(shingles: np.ndarray, first: int, count: int) -> np.ndarray:
+    least = np.full(count, 0xFFFFFFFF, np.uint32)
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(x), 1 << 15):
-        part = x[None, at : at + (1 << 15)]
-        np.minimum(least, ((part ^ _B[:, None]) * _A[:, None]).min(1), out=least)
-    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.uint16)
+    for at in range(0, len(x), 1 << 13):
+        part = x[None, at : at + (1 << 13)]
+        np.minimum(least, ((part ^ _B[first : first + count, None]) * _A[first : first + count, None]).min(1), out=least)
+    return least * np.uint32(0x9E3779B1)
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    return (minima(shingles, 0, HASHES) >> np.uint32(32 - BITS)).astype(np.uint16)
+
+
+def fine_sign(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                sets = shingle_sets(part.column("text"), words)
+                fine = [(minima(s, HASHES, FINE) >> np.uint32(24)).astype(np.uint8).tobytes() for s in sets]
+                coarse = [signature(s).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fine, pa.binary()), pa.array(coarse, pa.binary())], names=["id", "n", "sig", "coarse"])
+
+    return run
 
 
 def sign(words: int):
@@ -70,8 +96,7 @@ def sign(words: int):
         for batch in batches:
             for part in slices(batch):
                 rows: list[list] = [[], [], [], []]
-                for text in part.column("text").to_pylist():
-                    s = shingle_set(text, words)
+                for s in shingle_sets(part.column("text"), words):
                     both = np.array([np.bitwise_xor.reduce(s), mix64(s).sum(dtype=np.uint64)] if len(s) else [0, 0], np.uint64).view(np.int64)
                     for column, value in zip(rows, (len(s), int(both[0]), int(both[1]), signature(s).tobytes() if len(s) else None)):
                         column.append(value)
@@ -108,12 +133,12 @@ def confirm_groups(words: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, leaders = None, []
-        for batch in batches:
+        for part in (p for batch in batches for p in slices(batch)):
             a, b = [], []
-            for grp, salt, role, own, text in zip(*(batch.column(c).to_pylist() for c in ("grp", "salt", "role", "id", "text"))):
+            sets = shingle_sets(part.column("text"), words)
+            for grp, salt, role, own, s in zip(*(part.column(c).to_pylist() for c in ("grp", "salt", "role", "id")), sets):
                 if (grp, salt) != group:
                     group, leaders = (grp, salt), []
-                s = shingle_set(text, words)
                 if role == 0:
                     leaders.append(s)
                     continue
@@ -138,27 +163,61 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return rows.repartition("grp", "salt").sortWithinPartitions("grp", "salt", "role").mapInArrow(confirm_groups(words, percent), "a long, b long")
 
 
-def look_into(percent: int, far: int):
-    """Rows sorted by (bucket, i, j): pairs of members of different components that sizes and signatures allow."""
+def agreeing(sig: np.ndarray, x: np.ndarray, y: np.ndarray, step: int = 10_000) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *((sig[x[c : c + step]] == sig[y[c : c + step]]).sum(1) for c in range(0, len(x), step))])
+
+
+def first_shared_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of pairs of signatures, the number of the first key that they share (-1: none)."""
+    differ = (a != b).reshape(len(a), CHUNKS, PER_CHUNK)
+    errors = differ.sum(2)
+    chunk = np.argmax(errors <= 1, axis=1)
+    row = np.arange(len(a))
+    key = chunk * PER_CHUNK + np.where(errors[row, chunk] == 1, np.argmax(differ[row, chunk], axis=1), 0)
+    return np.where(errors[row, chunk] <= 1, key, -1)
+
+
+def look_into(percent: int, closest: bool):
+    """Rows sorted by (bucket, i, j): pairs of members of different components that sizes and signatures allow; of each
+    member only its closest, if so asked, else each pair in the first bucket that it shares."""
 
     def pairs(rows: pa.Table) -> pa.RecordBatch | None:
         key = [rows.column(c).to_numpy() for c in ("bucket", "i", "j")]
         ids, root, n, side = (rows.column(c).to_numpy() for c in ("id", "root", "n", "side"))
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, FINE)
+        coarse = np.frombuffer(b"".join(rows.column("coarse").to_pylist()), np.uint16).reshape(-1, HASHES)
         new = np.flatnonzero(np.any([np.diff(k) != 0 for k in key], axis=0)) + 1
+        firsts = np.append(0, new)
+        numbers = np.argmax(keys_of(coarse[firsts]).view(np.int64) == key[0][firsts][:, None], axis=1)  # which key a bucket is
         out = []
-        for s, e in zip([0, *new.tolist()], [*new.tolist(), len(ids)]):
+        for s, e, number in zip(firsts.tolist(), [*new.tolist(), len(ids)], numbers.tolist()):
             left = np.arange(s, e)[side[s:e] != 1]
             right = np.arange(s, e)[side[s:e] != 0]
             for at in range(0, len(left), 64):
-                x, y = (m.ravel() for m in np.meshgrid(left[at : at + 64], right, indexing="ij"))
-                ok = (root[x] != root[y]) & ((ids[x] < ids[y]) if side[s] == 2 else (ids[x] != ids[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-                x, y = x[ok], y[ok]
-                near = (sig[x] != sig[y]).sum(1) <= far
-                out.append((np.minimum(ids[x[near]], ids[y[near]]), np.maximum(ids[x[near]], ids[y[near]])))
+                own = left[at : at + 64]
+                ok = (root[own][:, None] != root[right][None, :]) & (100 * np.minimum(n[own][:, None], n[right][None, :]) >= percent * np.maximum(n[own][:, None], n[right][None, :]))
+                if side[s] == 2 and not closest:
+                    ok &= ids[own][:, None] < ids[right][None, :]
+                x, y = np.nonzero(ok)
+                if not len(x):
+                    continue
+                agree = agreeing(sig[:, :TIER], own[x], right[y])
+                some = agree >= TIER_LEAST
+                x, y = x[some], y[some]
+                agree = agreeing(sig, own[x], right[y])
+                if closest:
+                    order = np.lexsort((ids[right[y]], -agree, x))
+                    first = order[np.unique(x[order], return_index=True)[1]]
+                    x, y, agree = x[first], y[first], agree[first]
+                near = agree >= FINE_LEAST
+                if not closest:
+                    near[near] = first_shared_key(coarse[own[x[near]]], coarse[right[y[near]]]) == number
+                a, b = ids[own[x[near]]], ids[right[y[near]]]
+                out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
         if not out:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b"])
+        found = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -176,18 +235,16 @@ def look_into(percent: int, far: int):
     return run
 
 
-def within_buckets(members: DataFrame, reps: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def within_buckets(members: DataFrame, fine: DataFrame, roots: DataFrame, percent: int, closest: bool) -> DataFrame:
     """Pairs (a, b) still to be confirmed: in one bucket, in different components."""
     placed = members.join(roots, members["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    open_keys = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y")).where("lo != hi")
-    # buckets with the same members are one
-    open_keys = open_keys.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    open_keys = placed.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key", "tiles")
     inside = placed.join(open_keys, "key").withColumn("t", F.pmod(F.xxhash64(F.lit("tile"), "id"), "tiles").cast("int"))
     # a member of tile t meets every tile: pairs (i, j) of tiles with i <= j
     inside = inside.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     inside = inside.select(F.col("key").alias("bucket"), F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), F.when(F.col("t") == F.col("o"), 2).when(F.col("t") < F.col("o"), 0).otherwise(1).alias("side"), "id", "root")
-    rows = inside.join(reps.select("id", "sig", F.col("n_shingles").alias("n")), "id").select("bucket", "i", "j", "side", "id", "root", "n", "sig")
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(look_into(percent, FAR), "a long, b long").distinct()
+    rows = inside.join(fine, "id").select("bucket", "i", "j", "side", "id", "root", "n", "sig", "coarse")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(look_into(percent, closest), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -203,13 +260,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     by_leader = members.where("id != leader").groupBy("id", "leader").count()
     stars = by_leader.groupBy("id").agg(F.max(F.struct("count", F.negate("leader").alias("minus"))).alias("m")).select(F.negate("m.minus").alias("a"), F.col("id").alias("b"))
     star_links = cut(confirm(stars, texts, words, percent), "links")
-    roots = components(star_links)
-    rest = cut(within_buckets(members, reps, roots, percent), "pairs")
-    links = cut(star_links.unionByName(confirm(rest, texts, words, percent)), "links")
+    fine = cut(texts.mapInArrow(fine_sign(words), "id long, n long, sig binary, coarse binary").dropDuplicates(["id"]), "fine")
+    near = cut(within_buckets(members, fine, components(star_links), percent, closest=True), "pairs")
+    links = cut(star_links.unionByName(confirm(near, texts, words, percent)), "links")
+    rest = cut(within_buckets(members, fine, components(links), percent, closest=False), "pairs")
+    links = cut(links.unionByName(confirm(rest, texts, words, percent)), "links")
     # documents that share an id are one: a row's set leads to its representative, an id leads to all its sets
     same = signed.where("n_shingles > 0").join(reps.select("h1", "h2", "id"), ["h1", "h2"]).where("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     roots = components(links.unionByName(same))
-    for t in (members, texts, rest):
+    for t in (members, texts, fine, star_links, near, rest):
         drop(t)
     out = signed.select("doc_id", "n_shingles").join(roots, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("root", "doc_id")
