@@ -49,13 +49,25 @@ def unique_ids(df: DataFrame) -> DataFrame:
     return df.groupBy("id").agg(F.count("*").alias("n")).where("n = 1").select("id")
 
 
+def repeated_ids(df: DataFrame) -> DataFrame:
+    """Ids that occur more than once, summed like unique_ids; commonly few."""
+    return df.groupBy(F.col("id").alias("repeated_id")).agg(F.count("*").alias("n")).where("n > 1").select("repeated_id")
+
+
+def without_repeated_ids(df: DataFrame, counted: DataFrame) -> DataFrame:
+    """Rows whose id ``counted`` holds once at most. A null id is an id. The repeated ids are few where the unique ones are
+    many, so it is they that come to the rows, by broadcast when the planner finds them small."""
+    repeated = repeated_ids(counted)
+    return df.join(repeated, df["id"].eqNullSafe(repeated["repeated_id"]), "left_anti")
+
+
 def drop_nonunique_ids(df: DataFrame, maf: float, mode: str = "standard") -> DataFrame:
-    """Variants that pass all filters. ``df`` has af; arrays are shuffled only if the planner can't broadcast the ids."""
+    """Variants that pass all filters. ``df`` has af; arrays are shuffled only if the planner can't broadcast the repeated ids."""
     passed = maf_filter(df, maf, mode)
     if mode == "standard":
         passed = has_dosages(passed)
-        return passed.join(unique_ids(passed), "id", "left_semi")
-    return has_dosages(passed.join(unique_ids(passed), "id", "left_semi"))
+        return without_repeated_ids(passed, passed)
+    return has_dosages(without_repeated_ids(passed, passed))
 
 
 def pipeline_stats(df: DataFrame, maf: float, mode: str = "standard") -> DataFrame:
