@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: While a table is written: what its plan has shuffled is not read again, and Python gets texts in batches that two
+#: workers can hold beside their caches.
+WRITE_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 #: Texts handled at once by a Python worker: bounds its memory, not the work.
 SLICE_BYTES = 4 << 20
 
@@ -39,13 +43,14 @@ def cut(df: DataFrame, name: str = "table", compression: str = "zstd") -> DataFr
     """Write df to the shared folder and read it back: later jobs neither redo its lineage nor lose it with an executor."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(clean, "false")
-    spark.conf.set(clean, "true")  # what the write has shuffled is not read again
+    before = {k: spark.conf.get(k, None) for k in WRITE_SETTINGS}
+    for k, v in WRITE_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", compression).parquet(path)
     finally:
-        spark.conf.set(clean, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -119,6 +124,7 @@ def words_of_all(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.n
     count as a-z if ``lower``. Arrow's ASCII white space is the same six characters as the words' separators."""
     import pyarrow.compute as pc
 
+    at_work("words")
     texts = texts.fill_null("")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     upto = lists.offsets.to_numpy().astype(np.int64)
@@ -147,6 +153,33 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
         size *= 2
 
 
+_memories: dict[str, Callable[[], None]] = {}
+_in_use: list[str] = [""]
+
+
+def remembers(kind: str, forget: Callable[[], None]) -> None:
+    """Say how to empty what this worker keeps between tasks for one kind of work."""
+    _memories[kind] = forget
+
+
+def at_work(kind: str) -> None:
+    """A worker serves many stages: when the kind of work changes, what others kept is given back."""
+    if _in_use[0] == kind:
+        return
+    for other, forget in _memories.items():
+        if other != kind:
+            forget()
+    _in_use[0] = kind
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+remembers("words", _words.clear)
+
+
 def task_uid() -> Iterator[int]:
     """Numbers that no two tasks of a stage share and that a retried task repeats: partition id, then row."""
     from pyspark import TaskContext

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table, task_uid
+from .common import at_work, cut, slices, table, task_uid
 
 # The three base patterns, in the order in which equal starts are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -66,6 +66,7 @@ def token_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("h", pa.int64())]))
+    at_work("spans")
     uid = task_uid()
     for batch in batches:
         for part in slices(batch):

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, slices, table
+from .common import at_work, cut, drop, slices, table
 from .packing import tokenizer_file
 
 BLOCK_IDS = 1 << 19
@@ -163,9 +163,7 @@ def sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_bits(lengths: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import release
-
-        release()
+        at_work("bits")
         code = Code(np.frombuffer(lengths, np.uint8))
         for batch in batches:
             for i in range(batch.num_rows):

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import at_work, remembers
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Characters that only one of the two counts as white space, white space beyond ASCII, and special-token strings.
@@ -36,7 +38,7 @@ def _byte_characters() -> str:
 
 _BYTES = _byte_characters()
 #: Entries after which a cache starts anew: a bound on memory, not on what is encoded.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 400_000
 
 
 #: One of these at the end of a word, after a letter or digit, is a piece of its own in both vocabularies.
@@ -223,13 +225,8 @@ _encoders: dict[tuple[str, bool], BatchEncoder] = {}
 
 def encoder(path: str, spaced: bool) -> BatchEncoder:
     """The worker's encoder for a file; kept between the tasks of a worker."""
+    at_work(f"ids of {path}")
     if (path, spaced) not in _encoders:
-        _encoders[path, spaced] = BatchEncoder(path, spaced)
+        e = _encoders[path, spaced] = BatchEncoder(path, spaced)
+        remembers(f"ids of {path}", e._clear)
     return _encoders[path, spaced]
-
-
-def release() -> None:
-    """Give back what this worker's encoders remember, before work of another kind."""
-    for e in _encoders.values():
-        e._clear()
-    pa.default_memory_pool().release_unused()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import slices, table
+from .common import at_work, slices, table
 
 POSITIVES = 2500
 UNLABELLED = 7500
@@ -148,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
 def score_texts(weights: dict[str, float], bias: float, keep_text: bool = True, name: str = "score"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("scores")
         model = Model(weights, bias)
         for batch in batches:
             for part in slices(batch):
