@@ -4,8 +4,11 @@ Positives are rows confirmed toxic; the unlabelled rows are documents as they co
 class prior p is p*E_P[l(g)] + max(0, E_U[l(-g)] - p*E_P[l(-g)]) with the logistic loss l; where the second part turns
 negative, the step goes against it (the non-negative correction). The prior is the share of toxic rows among the rows
 whose labels may be learned. Features are a text's distinct lower-cased words without outer punctuation and their first 3
-to 6 characters. Kept are those of ``MIN_DOCS`` sample texts or more whose rates among positives and unlabelled differ
-by ``MIN_Z`` standard errors: of a large vocabulary's chance differences few pass, and those that pass add little.
+to 6 characters, ranked by z, the standard errors by which their rates among positives and unlabelled differ; the best
+``MAX_FEATURES`` are kept. A feature counts by z**SHARP / (z**SHARP + c**SHARP) with c = ``HALF_Z``, or the best z if
+that is less: of a large vocabulary's chance differences few count much, and however few the positives are, those
+features that tell them apart best count in half at least. Few positives can be learned by heart, and the correction
+then raises the bias; so the bias is the log odds of the prior at most: a text without evidence isn't called toxic by it.
 
 The fit reads a bounded sample, ``POSITIVES`` and ``UNLABELLED`` rows by the smallest hashes of their ids, and runs on the
 driver; scoring reads every whole text in one pass, with no shuffle. What goes to the executors is the weights,
@@ -30,9 +33,8 @@ from .common import at_work, slices, table
 
 POSITIVES = 2500
 UNLABELLED = 7500
-MIN_DOCS = 6
 MAX_FEATURES = 20_000
-MIN_Z = 6.0
+HALF_Z, SHARP = 6.0, 8
 PREFIXES = (3, 4, 5, 6)
 STEPS = 200
 RATE = 0.05
@@ -86,31 +88,33 @@ def z_scores(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
     return (a / n - b / m) / np.sqrt(np.maximum(p * (1 - p) * (1 / n + 1 / m), 1e-24))
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY, min_docs: int = MIN_DOCS, min_z: float = MIN_Z) -> Model:
+def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY, half_z: float = HALF_Z) -> Model:
     """Full-batch Adam on the non-negative risk."""
     all_of: dict[str, int] = {}
     docs = [np.fromiter((all_of.setdefault(f, len(all_of)) for f in sorted(features(t))), np.int32) for t in positive + unlabelled]
     n_of = lambda part: np.bincount(np.concatenate([np.empty(0, np.int32), *part]), minlength=len(all_of))
     among_p, among_u = n_of(docs[: len(positive)]), n_of(docs[len(positive) :])
     z = np.abs(z_scores(among_p, len(positive), among_u, len(unlabelled)))
-    z[among_p + among_u < min_docs] = 0
     names = list(all_of)
-    kept_ids = sorted(np.flatnonzero(z >= min_z).tolist(), key=lambda i: (-z[i], names[i]))[:MAX_FEATURES]
+    last = np.partition(z, -MAX_FEATURES)[-MAX_FEATURES] if len(z) > MAX_FEATURES else 0.0
+    kept_ids = sorted(np.flatnonzero((z > 0) & (z >= last)).tolist(), key=lambda i: (-z[i], names[i]))[:MAX_FEATURES]
     kept = [names[i] for i in kept_ids]
     if not kept:
         return Model({}, -np.inf)
+    counts = 1 / (1 + (min(half_z, z.max()) / z[kept_ids]) ** SHARP)
     number = np.full(len(names), -1, np.int32)
     number[kept_ids] = np.arange(len(kept_ids))
     rows = [r[r >= 0] for r in (number[d] for d in docs)]
     sizes = np.array([len(r) for r in rows], np.int64)
     flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
+    x = counts[flat]
     row = np.repeat(np.arange(len(rows)), sizes)
     is_p = np.arange(len(rows)) < len(positive)
     n_p, n_u = max(1, is_p.sum()), max(1, (~is_p).sum())
     w, m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
-    w[-1] = np.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0
+    w[-1] = most = np.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0
     for t in range(1, steps + 1):
-        g = np.bincount(row, w[flat], len(rows)) + w[-1]
+        g = np.bincount(row, x * w[flat], len(rows)) + w[-1]
         s = sigmoid(g)
         as_negative = np.logaddexp(0, g)  # loss of calling a row negative
         negative_risk = as_negative[~is_p].sum() / n_u - prior * as_negative[is_p].sum() / n_p
@@ -119,12 +123,12 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = S
             slope = -slope
         else:
             slope = slope + np.where(is_p, -prior * (1 - s) / n_p, 0.0)
-        grad = np.append(np.bincount(flat, np.repeat(slope, sizes), len(kept)), slope.sum())
+        grad = np.append(np.bincount(flat, x * np.repeat(slope, sizes), len(kept)), slope.sum())
         grad[:-1] += decay * w[:-1]
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(dict(zip(kept, w[:-1].tolist())), float(w[-1]))
+    return Model(dict(zip(kept, (counts * w[:-1]).tolist())), float(min(w[-1], most)))
 
 
 def held_out(doc_id="doc_id"):

@@ -342,6 +342,25 @@ def test_non_negative_learning_finds_planted_words():
     assert (score(bad) >= 0.3).mean() > 0.95 and (score(good) >= 0.3).mean() < 0.05
 
 
+def test_few_positives_still_teach():
+    rng = random.Random(4)
+    vile = ["vile", "nasty", "foul", "scummy", "rotten"]
+    make = lambda *bad: " ".join(rng.choices(VOCABULARY, k=60) + [*bad])
+    positive = [make(vile[i % 5], vile[(i + 1) % 5]) for i in range(10)]  # each word in 4 of 10
+    model = toxicity.fit(positive, positive + [make() for _ in range(140)], 0.14)
+    assert all(model.weights[x] > 0 for x in vile)
+    bad, good = [model.margin(make(*rng.sample(vile, k=2))) for _ in range(200)], [model.margin(make()) for _ in range(200)]
+    score = lambda m: toxicity.sigmoid(np.array(m))
+    assert (score(bad) >= 0.3).mean() > 0.95 and (score(good) >= 0.3).mean() < 0.05
+
+
+def test_smallest_table_catches_insults(spark):
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    predicted = {r["doc_id"]: r["predicted"] for r in rows(spark, "op9_toxicity", SF)}
+    assert sum(predicted[i] for i, t in labels.items() if t == 1) >= 7
+    assert sum(predicted[i] for i, t in labels.items() if t == 0) <= 2
+
+
 def test_labels_held_out_are_never_read(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2]
