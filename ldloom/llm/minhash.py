@@ -7,7 +7,7 @@ errors: a pair within the distance ``2 * CHUNKS - 1`` agrees in one key at least
 quarter of the positions on average; that a pair misses all chunks has a chance of 6 in a million there, and less above.
 
 Links are confirmed on the full sets. What keeps hot groups cheap:
-- texts with one set are one representative (the smallest id), so copies never meet;
+- texts with one set are one representative with a number of its own, so copies never meet;
 - a bucket (key) first offers each member its leader only (the smallest member), and of its leaders each member is
   confirmed against the one it shares most keys with: one pair per representative at most, whatever the size of a bucket;
 - buckets that still hold several components are looked into, in tiles of ``TILE`` members a side. A second signature of ``FINE`` hashes, made for bucket members only, tells how close two sets are. A
@@ -49,7 +49,7 @@ _rng = np.random.default_rng(20240117)
 _A = (_rng.integers(0, 1 << 32, HASHES + FINE, np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, HASHES + FINE, np.uint64).astype(np.uint32)
 
-SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
+SIGNED = "doc_id long, tie long, n_shingles long, h1 long, h2 long, sig binary"
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
@@ -101,7 +101,7 @@ def sign(words: int):
                     for column, value in zip(rows, (len(s), int(both[0]), int(both[1]), signature(s).tobytes() if len(s) else None)):
                         column.append(value)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(rows, kinds))], names=["doc_id", "n_shingles", "h1", "h2", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), *(pa.array(c, t) for c, t in zip(rows, kinds))], names=["doc_id", "tie", "n_shingles", "h1", "h2", "sig"])
 
     return run
 
@@ -249,14 +249,16 @@ def within_buckets(members: DataFrame, fine: DataFrame, roots: DataFrame, percen
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
-    read = docs.select(F.col("doc_id").cast("long"), "text")
+    read = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"))
     signed = cut(read.mapInArrow(sign(words), SIGNED), "signed")
-    reps = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sig", "n_shingles")).alias("r"))
-    reps = cut(reps.select("h1", "h2", F.col("r.doc_id").alias("id"), F.col("r.sig").alias("sig"), F.col("r.n_shingles").alias("n_shingles")), "reps")
+    reps = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "tie", "sig", "n_shingles")).alias("r"))
+    # a doc_id may hold several sets: each has a number, which this file fixes
+    reps = cut(reps.select("h1", "h2", "r.doc_id", "r.tie", "r.sig").sortWithinPartitions("h1", "h2").withColumn("id", F.monotonically_increasing_id()), "reps")
     keys = reps.select("id", "sig").mapInArrow(spread, "key long, id long")
     shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
     members = cut(keys.join(shared, "key"), "members")
-    texts = cut(read.withColumnRenamed("doc_id", "id").join(members.select("id").distinct(), "id", "left_semi"), "texts")
+    used = reps.select("id", "doc_id", "tie").join(members.select("id").distinct(), "id", "left_semi")
+    texts = cut(read.join(used, ["doc_id", "tie"]).select("id", "text"), "texts")
     by_leader = members.where("id != leader").groupBy("id", "leader").count()
     stars = by_leader.groupBy("id").agg(F.max(F.struct("count", F.negate("leader").alias("minus"))).alias("m")).select(F.negate("m.minus").alias("a"), F.col("id").alias("b"))
     star_links = cut(confirm(stars, texts, words, percent), "links")
@@ -266,8 +268,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     rest = cut(within_buckets(members, fine, components(links), percent, closest=False), "pairs")
     links = cut(links.unionByName(confirm(rest, texts, words, percent)), "links")
     # documents that share an id are one: a row's set leads to its representative, an id leads to all its sets
-    same = signed.where("n_shingles > 0").join(reps.select("h1", "h2", "id"), ["h1", "h2"]).where("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    roots = components(links.unionByName(same))
+    ids = reps.select("id", F.col("doc_id").alias("own"))
+    linked = links.join(ids.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a").join(ids.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
+    same = signed.where("n_shingles > 0").join(reps.select("h1", "h2", F.col("doc_id").alias("own")), ["h1", "h2"]).where("doc_id != own").select(F.col("own").alias("a"), F.col("doc_id").alias("b"))
+    roots = components(linked.select(F.col("own_a").alias("a"), F.col("own_b").alias("b")).unionByName(same))
     for t in (members, texts, fine, star_links, near, rest):
         drop(t)
     out = signed.select("doc_id", "n_shingles").join(roots, F.col("doc_id") == F.col("node"), "left")

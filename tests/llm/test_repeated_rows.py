@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
+from ldloom.llm import minhash
 from ldloom.llm.queries import QUERIES
 
 RNG = random.Random(8)
@@ -34,6 +35,13 @@ def test_documents_linked_by_any_of_their_rows(spark, folder):
     assert got == sorted([(None, None, True)] * 2 + [(5, 5, True)] * 3 + [(6, 5, False), (7, 5, False), (8, 8, True)], key=str)
 
 
+def test_each_text_of_a_shared_id_links(spark):
+    prose = [[f"w{RNG.randrange(500)}" for _ in range(120)] for _ in range(6)]
+    rows = [(i + 1, " ".join(p)) for i, p in enumerate(prose)] + [(50, " ".join([*p, "end"])) for p in prose] + [(60, "of its own")]
+    got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, 1) for i in (*range(1, 7), 50)} | {(60, 60)}
+
+
 def test_equal_rows_are_one_document_for_repeats(spark, folder):
     got = found(spark, folder, "op3_substring_dedup", "doc_id", "n_words", "n_removed")
     assert got == sorted([(5, 80, 0)] * 3 + [(6, 80, 80), (7, 80, 80), (8, 0, 0), (None, 80, 80), (None, 0, 0)], key=str)
