@@ -23,10 +23,20 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
+    """Of each group of near duplicates the document with the smallest id.
+
+    Rows that repeat both id and text stay once, also where the id is null (their other columns are those of any one
+    of them). Different texts of the id that stays all stay, and a text without an id goes only for an equal one without an id.
+    """
     found = minhash.near_duplicates(docs)
     gone = found.where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # repeats are commonly few, so only their rows are dealt out whole
+    tie, own, same = fresh(docs, "tie"), fresh(docs, "own_id"), fresh(docs, "own_tie")
+    left = left.withColumn(tie, F.xxhash64("text"))
+    again = left.groupBy("doc_id", tie).count().where("count > 1").select(F.col("doc_id").alias(own), F.col(tie).alias(same))
+    on = left["doc_id"].eqNullSafe(F.col(own)) & (left[tie] == F.col(same))
+    return left.join(again, on, "left_anti").unionByName(left.join(again, on, "left_semi").dropDuplicates(["doc_id", tie])).select(*docs.columns)
 
 
 def redact(name: str):

@@ -59,6 +59,12 @@ def test_every_row_has_its_result(spark, folder, name):
     assert [x[0] for x in found(spark, folder, name, "doc_id")] == sorted([r[0] for r in ROWS], key=str)
 
 
+def test_repeated_rows_stay_once(spark, folder):
+    docs = spark.createDataFrame([*ROWS, (None, A), (None, B)], "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.keep_one_of_each(spark, docs, folder).collect()]
+    assert sorted(got, key=str) == sorted([(None, A), (None, B), (None, None), (5, A), (5, B), (8, None)], key=str)
+
+
 def test_the_pipeline_takes_them(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
