@@ -1,9 +1,9 @@
-"""Substring dedup on a compacted De Bruijn graph of word windows.
+"""Substring dedup by hash joins of word windows, in place of De Bruijn compaction: no node or degree is computed.
 
 Each window of ``K`` words is an edge of the graph (from its first K-1 words to its last K-1). Edges are not shuffled one by one:
 
 1. Paths. Texts are cut at anchors, word pairs whose hash ends in zero bits, so equal passages are cut alike; the edges
-   between two anchors are one path without a branch inside, hashed as a whole with its source coordinate. Equal paths
+   between two anchors are one path, whether or not it has a branch inside, hashed as a whole with its source coordinate. Equal paths
    join in Spark, and all but the earliest occurrence are resolved: each of their edges starts earlier elsewhere. The
    earliest occurrence of any edge lies on a path that stays, so what follows looks at those paths only.
 2. Edges that may repeat. An edge's minimizer (the least hash among its ``SEED``-word seeds) is the same wherever the edge
