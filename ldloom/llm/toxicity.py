@@ -8,7 +8,7 @@ to 6 characters, ranked by z, the standard errors by which their rates among pos
 ``MAX_FEATURES`` are kept. A feature counts by z**SHARP / (z**SHARP + c**SHARP) with c = ``HALF_Z``, or the best z if
 that is less: of a large vocabulary's chance differences few count much, and however few the positives are, those
 features that tell them apart best count in half at least. Few positives can be learned by heart, and the correction
-then raises the bias; so the bias is the log odds of the prior at most: a text without evidence isn't called toxic by it.
+then raises the bias; so the bias is the log odds of the prior, or of half the threshold, at most: a text without evidence isn't called toxic by it.
 
 The fit reads a bounded sample, ``POSITIVES`` and ``UNLABELLED`` rows by the smallest hashes of their ids, and runs on the
 driver; scoring reads every whole text in one pass, with no shuffle. What goes to the executors is the weights,
@@ -128,7 +128,7 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = S
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(dict(zip(kept, (counts * w[:-1]).tolist())), float(min(w[-1], most)))
+    return Model(dict(zip(kept, (counts * w[:-1]).tolist())), float(min(w[-1], most, np.log(THRESHOLD / (2 - THRESHOLD)))))
 
 
 def held_out(doc_id="doc_id"):
