@@ -2,25 +2,27 @@
 
 Positives are rows confirmed toxic; the unlabelled rows are documents as they come. The risk of a scorer g under the
 class prior p is p*E_P[l(g)] + max(0, E_U[l(-g)] - p*E_P[l(-g)]) with the logistic loss l; where the second part turns
-negative, the step goes against it (the non-negative correction). The prior is the share of toxic rows among the rows
+negative, the step goes against it (the non-negative correction). The prior is the share of toxic rows among all rows
 whose labels may be learned. Features are a text's distinct lower-cased words without outer punctuation and their first 3
-to 6 characters, ranked by z, the standard errors by which their rates among positives and unlabelled differ; the best
+to 6 characters, numbered by their crc32, ranked by z, the standard errors by which their rates among positives and unlabelled differ; the best
 ``MAX_FEATURES`` are kept. A feature counts by z**SHARP / (z**SHARP + c**SHARP) with c = ``HALF_Z``, or the best z if
 that is less: of a large vocabulary's chance differences few count much, and however few the positives are, those
 features that tell them apart best count in half at least. Few positives can be learned by heart, and the correction
 then raises the bias; so the bias is the log odds of the prior, or of half the threshold, at most: a text without evidence isn't called toxic by it.
 
-The fit reads a bounded sample, ``POSITIVES`` and ``UNLABELLED`` rows by the smallest hashes of their ids, and runs on the
-driver; scoring reads every whole text in one pass, with no shuffle. What goes to the executors is the weights,
-``MAX_FEATURES`` at most.
+The fit reads a bounded sample: ``POSITIVES`` and ``UNLABELLED`` rows by the smallest hashes of their ids, and of either no
+more than ``SAMPLE_BYTES`` of feature numbers. Texts become feature numbers where they lie; one task learns from these and
+returns the weights, ``MAX_FEATURES`` at most, which go by name to the tasks that score every whole text in one pass, with no
+shuffle. ``MAX_FEATURES`` binds where a sample has more features with a difference; those left out have the least z.
 
 Defined cases: a null or empty text scores by the bias alone; repeated rows score alike; texts of any length are scored
-whole; without a confirmed positive, or a feature that tells positives apart, every score is 0; a null id is hashed as an empty string; an empty table gives no
-rows; only doc_id and text are read.
+whole; without a confirmed positive, or a feature that tells positives apart, every score is 0; a null id is hashed as an empty string; of several texts with
+one id the one with the least hash is learned from; an empty table gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import at_work, slices, table
+from .common import at_work, cut, drop, remembers, slices, table
 
 POSITIVES = 2500
 UNLABELLED = 7500
 MAX_FEATURES = 20_000
+#: Four bytes a feature: some 100 MB of text a class.
+SAMPLE_BYTES = 128 << 20
 HALF_Z, SHARP = 6.0, 8
 PREFIXES = (3, 4, 5, 6)
 STEPS = 200
@@ -52,8 +56,25 @@ def features_of_word(word: str) -> list[str]:
     return [word, *(f"{word[:n]}~" for n in PREFIXES if len(word) >= n)]
 
 
-def features(text: str) -> set[str]:
-    return {f for w in words_of(text) if w for f in features_of_word(w)}
+class WordFeatures(dict):
+    """The numbers of a word's features; remembers up to ``most`` words."""
+
+    most = 300_000
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= self.most:
+            self.clear()
+        found = self[word] = tuple(zlib.crc32(f.encode()) for f in features_of_word(word))
+        return found
+
+
+_features = WordFeatures()
+remembers("features", _features.clear)
+
+
+def features(text: str) -> np.ndarray:
+    """The distinct numbers of a text's features, sorted."""
+    return np.array(sorted({f for w in words_of(text) if w for f in _features[w]}), np.uint32)
 
 
 class Model:
@@ -71,7 +92,7 @@ class Model:
             if own is None:
                 if len(known) > 300_000:
                     known.clear()
-                own = known[w] = tuple(f for f in features_of_word(w) if f in weights)
+                own = known[w] = tuple(f for f in features_of_word(w) if f in weights) if w else ()
             found.update(own)
         return self.bias + sum(map(weights.__getitem__, sorted(found)))
 
@@ -88,66 +109,110 @@ def z_scores(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
     return (a / n - b / m) / np.sqrt(np.maximum(p * (1 - p) * (1 / n + 1 / m), 1e-24))
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY, half_z: float = HALF_Z) -> Model:
-    """Full-batch Adam on the non-negative risk."""
-    all_of: dict[str, int] = {}
-    docs = [np.fromiter((all_of.setdefault(f, len(all_of)) for f in sorted(features(t))), np.int32) for t in positive + unlabelled]
-    n_of = lambda part: np.bincount(np.concatenate([np.empty(0, np.int32), *part]), minlength=len(all_of))
-    among_p, among_u = n_of(docs[: len(positive)]), n_of(docs[len(positive) :])
+def risk(g: np.ndarray, is_p: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """(positive part, negative part, slope of the part that counts) of the risk of the margins g.
+
+    The slope is that of both parts, or, where the negative part is below 0, that of the negative part turned round."""
+    n_p, n_u = max(1, is_p.sum()), max(1, (~is_p).sum())
+    s, as_negative = sigmoid(g), np.logaddexp(0, g)  # loss of calling a row negative
+    negative = as_negative[~is_p].sum() / n_u - prior * as_negative[is_p].sum() / n_p
+    slope = np.where(is_p, -prior * s / n_p, s / n_u)
+    slope = -slope if negative < 0 else slope + np.where(is_p, -prior * (1 - s) / n_p, 0.0)
+    return prior * np.logaddexp(0, -g[is_p]).sum() / n_p, negative, slope
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY, half_z: float = HALF_Z) -> tuple[dict[int, float], float]:
+    """(weights by feature number, bias) after full-batch Adam on the non-negative risk; rows of distinct feature numbers."""
+    docs = positive + unlabelled
+    lengths = [len(d) for d in docs]
+    names, flat = np.unique(np.concatenate([np.empty(0, np.uint32), *docs]), return_inverse=True)
+    row = np.repeat(np.arange(len(docs), dtype=np.int32), lengths)
+    is_p = np.arange(len(docs)) < len(positive)
+    among_p = np.bincount(flat[is_p[row]], minlength=len(names))
+    among_u = np.bincount(flat, minlength=len(names)) - among_p
     z = np.abs(z_scores(among_p, len(positive), among_u, len(unlabelled)))
-    names = list(all_of)
-    last = np.partition(z, -MAX_FEATURES)[-MAX_FEATURES] if len(z) > MAX_FEATURES else 0.0
-    kept_ids = sorted(np.flatnonzero((z > 0) & (z >= last)).tolist(), key=lambda i: (-z[i], names[i]))[:MAX_FEATURES]
-    kept = [names[i] for i in kept_ids]
-    if not kept:
-        return Model({}, -np.inf)
-    counts = 1 / (1 + (min(half_z, z.max()) / z[kept_ids]) ** SHARP)
+    kept = np.flatnonzero(z > 0)
+    kept = kept[np.lexsort((names[kept], -z[kept]))][:MAX_FEATURES]
+    if not len(kept):
+        return {}, -np.inf
+    counts = 1 / (1 + (min(half_z, z.max()) / z[kept]) ** SHARP)
     number = np.full(len(names), -1, np.int32)
-    number[kept_ids] = np.arange(len(kept_ids))
-    rows = [r[r >= 0] for r in (number[d] for d in docs)]
-    sizes = np.array([len(r) for r in rows], np.int64)
-    flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
+    number[kept] = np.arange(len(kept))
+    flat = number[flat]
+    row, flat = row[flat >= 0], flat[flat >= 0]
     x = counts[flat]
-    row = np.repeat(np.arange(len(rows)), sizes)
-    is_p = np.arange(len(rows)) < len(positive)
-    n_p, n_u = max(1, is_p.sum()), max(1, (~is_p).sum())
     w, m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
     w[-1] = most = np.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0
     for t in range(1, steps + 1):
-        g = np.bincount(row, x * w[flat], len(rows)) + w[-1]
-        s = sigmoid(g)
-        as_negative = np.logaddexp(0, g)  # loss of calling a row negative
-        negative_risk = as_negative[~is_p].sum() / n_u - prior * as_negative[is_p].sum() / n_p
-        slope = np.where(is_p, -prior * s / n_p, s / n_u)
-        if negative_risk < 0:
-            slope = -slope
-        else:
-            slope = slope + np.where(is_p, -prior * (1 - s) / n_p, 0.0)
-        grad = np.append(np.bincount(flat, x * np.repeat(slope, sizes), len(kept)), slope.sum())
+        slope = risk(np.bincount(row, x * w[flat], len(docs)) + w[-1], is_p, prior)[2]
+        grad = np.append(np.bincount(flat, x * slope[row], len(kept)), slope.sum())
         grad[:-1] += decay * w[:-1]
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(dict(zip(kept, (counts * w[:-1]).tolist())), float(min(w[-1], most, np.log(THRESHOLD / (2 - THRESHOLD)))))
+    return dict(zip(names[kept].tolist(), (counts * w[:-1]).tolist())), float(min(w[-1], most, np.log(THRESHOLD / (2 - THRESHOLD))))
 
 
 def held_out(doc_id="doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def as_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at_work("features")
+    for batch in batches:
+        for part in slices(batch):
+            found = pa.array([features(t or "").tobytes() for t in part.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("p", "turn", "doc_id")), found], names=["p", "turn", "doc_id", "features"])
+
+
+def learn(prior: float, most: int = SAMPLE_BYTES):
+    """Rows in the order of their turn -> (feature, weight); feature -1 is the bias."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("learning")
+        rows: tuple[list, list] = ([], [])
+        held = [0, 0]
+        for batch in batches:
+            for p, value in zip(batch.column("p").to_pylist(), batch.column("features").to_pylist()):
+                if held[p] + len(value) <= most or not held[p]:
+                    held[p] += len(value)
+                    rows[p].append(np.frombuffer(value, np.uint32))
+        weights, bias = fit(rows[1], rows[0], prior)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *weights], pa.int64()), pa.array([bias, *weights.values()], pa.float64())], names=["feature", "weight"])
+
+    return run
+
+
+def named(numbers: set[int]):
+    """Texts -> the features that have these numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[str] = set()
+        for part in (p for batch in batches for p in slices(batch)):
+            for text in part.column("text").to_pylist():
+                found |= {f for w in words_of(text) if w for f, n in zip(features_of_word(w), _features[w]) if n in numbers}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["name"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """From rows that aren't held out: confirmed toxic texts, and texts of unknown class."""
     known = labels.where(~held_out() & F.col("toxic").isNotNull())
     n, toxic = known.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
     if not toxic:
         return Model({}, -np.inf)
-    by_hash = F.xxhash64(F.lit("toxicity"), "doc_id"), F.col("doc_id")
-    confirmed = known.where("toxic = 1").select("doc_id").distinct().orderBy(*by_hash).limit(positives)
-    open_ids = docs.where(~held_out()).select("doc_id").distinct().orderBy(*by_hash).limit(unlabelled)
-    wanted = confirmed.withColumn("p", F.lit(1)).unionByName(open_ids.withColumn("p", F.lit(0)))
-    got = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "p", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id", "p"])
-    rows = sorted((r["doc_id"], r["p"], r["text"]) for r in got.toLocalIterator())  # positives + unlabelled rows at most
-    return fit([t for _, p, t in rows if p], [t for _, p, t in rows if not p], toxic / n)
+    turn = F.xxhash64(F.lit("toxicity"), "doc_id")
+    first = lambda ids, most: ids.where("doc_id IS NOT NULL").select("doc_id", turn.alias("turn")).distinct().orderBy("turn", "doc_id").limit(most)
+    wanted = first(known.where("toxic = 1"), positives).withColumn("p", F.lit(1)).unionByName(first(docs.where(~held_out()), unlabelled).withColumn("p", F.lit(0)))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id")  # positives + unlabelled ids at most
+    one = cut(texts.groupBy("p", "turn", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "sample")
+    rows = one.mapInArrow(as_features, "p int, turn long, doc_id long, features binary").repartition(1).sortWithinPartitions("turn", "doc_id")
+    got = dict(map(tuple, rows.mapInArrow(learn(toxic / n), "feature long, weight double").collect()))  # MAX_FEATURES + 1 rows at most
+    bias = got.pop(-1, -np.inf)
+    names = [r[0] for r in one.select("text").mapInArrow(named(set(got)), "name string").distinct().collect()]
+    drop(one)
+    return Model({f: got[zlib.crc32(f.encode())] for f in names}, bias)
 
 
 def score_texts(weights: dict[str, float], bias: float, keep_text: bool = True, name: str = "score"):

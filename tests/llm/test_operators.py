@@ -333,10 +333,16 @@ def test_op9(spark, odd):
         assert 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
 
 
+def fitted(positive, unlabelled, prior):
+    weights, bias = toxicity.fit([toxicity.features(t) for t in positive], [toxicity.features(t) for t in unlabelled], prior)
+    names = {f for t in positive + unlabelled for w in toxicity.words_of(t) if w for f in toxicity.features_of_word(w)}
+    return toxicity.Model({f: weights[n] for f in names if (n := zlib.crc32(f.encode())) in weights}, bias)
+
+
 def test_non_negative_learning_finds_planted_words():
     rng = random.Random(2)
     make = lambda bad: " ".join(rng.choices(VOCABULARY, k=60) + (rng.choices(["vile", "nasty", "foul"], k=3) if bad else []))
-    model = toxicity.fit([make(True) for _ in range(300)], [make(rng.random() < 0.1) for _ in range(1500)], 0.1)
+    model = fitted([make(True) for _ in range(300)], [make(rng.random() < 0.1) for _ in range(1500)], 0.1)
     bad, good = [model.margin(make(True)) for _ in range(200)], [model.margin(make(False)) for _ in range(200)]
     score = lambda m: toxicity.sigmoid(np.array(m))
     assert (score(bad) >= 0.3).mean() > 0.95 and (score(good) >= 0.3).mean() < 0.05
@@ -347,7 +353,7 @@ def test_few_positives_still_teach():
     vile = ["vile", "nasty", "foul", "scummy", "rotten"]
     make = lambda *bad: " ".join(rng.choices(VOCABULARY, k=60) + [*bad])
     positive = [make(vile[i % 5], vile[(i + 1) % 5]) for i in range(10)]  # each word in 4 of 10
-    model = toxicity.fit(positive, positive + [make() for _ in range(140)], 0.14)
+    model = fitted(positive, positive + [make() for _ in range(140)], 0.14)
     assert all(model.weights[x] > 0 for x in vile)
     bad, good = [model.margin(make(*rng.sample(vile, k=2))) for _ in range(200)], [model.margin(make()) for _ in range(200)]
     score = lambda m: toxicity.sigmoid(np.array(m))
@@ -361,6 +367,40 @@ def test_smallest_table_catches_insults(spark):
     assert sum(predicted[i] for i, t in labels.items() if t == 0) <= 2
 
 
+def test_gradient_of_the_risk_is_its_numeric_slope():
+    rng = np.random.default_rng(3)
+    is_p = np.arange(40) < 12
+    for prior, low in ((0.1, False), (0.9, True)):
+        g = rng.standard_normal(40) + (5 * is_p if low else 0)
+        positive, negative, slope = toxicity.risk(g, is_p, prior)
+        assert (negative < 0) == low
+        for i in range(40):
+            up, down = g.copy(), g.copy()
+            up[i] += 1e-6
+            down[i] -= 1e-6
+            (p1, n1, _), (p0, n0, _) = toxicity.risk(up, is_p, prior), toxicity.risk(down, is_p, prior)
+            want = -(n1 - n0) if low else p1 - p0 + n1 - n0
+            assert math.isclose(slope[i], want / 2e-6, abs_tol=1e-6)
+
+
+def test_held_out_rows_are_told_apart(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = [(labels[r["doc_id"]], r["predicted"]) for r in rows(spark, "op9_toxicity", sf) if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    caught, alarms = [p for t, p in got if t], [p for t, p in got if not t]
+    assert len(caught) > 50 and np.mean(caught) >= 0.9 and np.mean(alarms) <= 0.06
+
+
+def test_learning_takes_one_text_of_an_id_and_repeats_itself(spark):
+    rng = random.Random(8)
+    data = [(i % 60, prose(20) + (" vile" if i % 60 < 20 else "")) for i in range(180)]
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(60)], "doc_id long, toxic int")
+    first = toxicity.train(spark.createDataFrame(data, "doc_id long, text string"), labels)
+    rng.shuffle(data)
+    again = toxicity.train(spark.createDataFrame(data, "doc_id long, text string").repartition(7), labels)
+    assert first.weights and (first.weights, first.bias) == (again.weights, again.bias)
+
+
 def test_labels_held_out_are_never_read(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2]
