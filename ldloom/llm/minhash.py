@@ -10,11 +10,14 @@ Links are confirmed on the full sets. What keeps hot groups cheap:
 - texts with one set are one representative with a number of its own, so copies never meet;
 - a bucket (key) first offers each member its leader only (the smallest member), and of its leaders each member is
   confirmed against the one it shares most keys with: one pair per representative at most, whatever the size of a bucket;
-- buckets that still hold several components are looked into, in tiles of ``TILE`` members a side. A second signature of ``FINE`` hashes, made for bucket members only, tells how close two sets are. A
-  first look confirms each member's closest partner of another component in each bucket: that joins nearly all that
-  belongs together, at one pair a row. A last look confirms every pair of different components that sizes and the
-  second signature allow (within 4.3 standard deviations of the threshold), in the first bucket it shares, so no link that would join two components
-  is left out; pairs inside a component are not needed.
+- buckets that still hold several components are looked into: only members outside the bucket's largest component meet
+  the others, in tiles of ``TILE`` members a side. Before a pair is confirmed, two bounds that no link can break are
+  asked: the sizes, and the parity bitmaps of the sets. Such a bitmap flips a bit for each shingle, so two of them
+  differ in no more bits than the sets in shingles: a pair that differs in more than the threshold allows is surely no link. A
+  first look confirms each outsider's closest partner of another component in each bucket: that joins nearly all that
+  belongs together, at one pair a row. A last look confirms every pair of different components that both bounds
+  allow, in the first bucket it shares, so no link that would join two components is left out; pairs inside a
+  component are not needed.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; fewer words than a shingle are one shingle; texts of any
 length are used whole; rows that share an id are one document, linked by the links of each; a null id links with nothing and has
@@ -37,17 +40,15 @@ WORDS = 5
 PERCENT = 75
 CHUNKS, PER_CHUNK, BITS = 12, 5, 16
 HASHES = CHUNKS * PER_CHUNK
-#: Second signature: this many hashes of 8 bits, the first ``TIER`` compared first; sets that agree in fewer positions
-#: than 4.3 standard deviations under the threshold's share are too far apart.
-FINE, TIER = 1024, 256
-FINE_LEAST, TIER_LEAST = (int(n * PERCENT / 100 - 4.3 * (n * 0.75 * 0.25) ** 0.5) for n in (FINE, TIER))
+#: Bits of a parity bitmap: four a shingle, a power of two between these. Beyond the most a bitmap tells less, never wrong.
+LEAST_BITS, MOST_BITS = 256, 1 << 16
 TILE = 2048
 #: Members confirmed against one leader in one group of rows.
 SALT = 128
 
 _rng = np.random.default_rng(20240117)
-_A = (_rng.integers(0, 1 << 32, HASHES + FINE, np.uint64) | np.uint64(1)).astype(np.uint32)
-_B = _rng.integers(0, 1 << 32, HASHES + FINE, np.uint64).astype(np.uint32)
+_A = (_rng.integers(0, 1 << 32, HASHES, np.uint64) | np.uint64(1)).astype(np.uint32)
+_B = _rng.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32)
 
 SIGNED = "doc_id long, tie long, n_shingles long, h1 long, h2 long, sig binary"
 
@@ -66,27 +67,30 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def minima(shingles: np.ndarray, first: int, count: int) -> np.ndarray:
-    least = np.full(count, 0xFFFFFFFF, np.uint32)
+def minima(shingles: np.ndarray) -> np.ndarray:
+    least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(x), 1 << 13):
-        part = x[None, at : at + (1 << 13)]
-        np.minimum(least, ((part ^ _B[first : first + count, None]) * _A[first : first + count, None]).min(1), out=least)
+        np.minimum(least, ((x[None, at : at + (1 << 13)] ^ _B[:, None]) * _A[:, None]).min(1), out=least)
     return least * np.uint32(0x9E3779B1)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    return (minima(shingles, 0, HASHES) >> np.uint32(32 - BITS)).astype(np.uint16)
+    return (minima(shingles) >> np.uint32(32 - BITS)).astype(np.uint16)
 
 
-def fine_sign(words: int):
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Packed bits, each flipped once for every shingle that falls on it."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(shingles) - 1).bit_length()))
+    flips = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((flips & 1).astype(np.uint8))
+
+
+def with_bitmap(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                sets = shingle_sets(part.column("text"), words)
-                fine = [(minima(s, HASHES, FINE) >> np.uint32(24)).astype(np.uint8).tobytes() for s in sets]
-                coarse = [signature(s).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fine, pa.binary()), pa.array(coarse, pa.binary())], names=["id", "n", "sig", "coarse"])
+        for part in (p for batch in batches for p in slices(batch)):
+            bits = pa.array([parity(s).tobytes() for s in shingle_sets(part.column("text"), words)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, bits], names=[*part.schema.names, "bits"])
 
     return run
 
@@ -156,15 +160,41 @@ def confirm_groups(words: int, percent: int):
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are close; a's text travels once for every SALT partners, b's once a pair."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
-    members = pairs.join(salts, "a").select(F.col("a").alias("grp"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("id"))
-    leaders = salts.select(F.col("a").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("id"))
-    rows = members.unionByName(leaders).join(texts, "id").select("grp", "salt", "role", "id", "text")
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
+    # leaders with more than SALT partners are few beside the pairs; only they need to be known where the pairs are
+    many = sizes.where("salts > 1").select(F.col("a").alias("many"), "salts")
+    salt = F.coalesce(F.pmod(F.xxhash64("b"), "salts").cast("int"), F.lit(0))
+    members = pairs.join(many, F.col("a") == F.col("many"), "left").select(F.col("a").alias("grp"), salt.alias("salt"), F.lit(1).alias("role"), F.col("b").alias("id"))
+    leaders = sizes.select(F.col("a").alias("grp"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("id"))
+    rows = members.unionByName(leaders).join(texts.select("id", "text"), "id").select("grp", "salt", "role", "id", "text")
     return rows.repartition("grp", "salt").sortWithinPartitions("grp", "salt", "role").mapInArrow(confirm_groups(words, percent), "a long, b long")
 
 
-def agreeing(sig: np.ndarray, x: np.ndarray, y: np.ndarray, step: int = 10_000) -> np.ndarray:
-    return np.concatenate([np.empty(0, np.int64), *((sig[x[c : c + step]] == sig[y[c : c + step]]).sum(1) for c in range(0, len(x), step))])
+class Bitmaps:
+    """The parity bitmaps of some rows, each at its own width and folded to half of it: sets whose sizes allow a link
+    have widths that differ by a factor of two at most."""
+
+    def __init__(self, values: list[bytes]):
+        self.width = np.array([len(v) for v in values], np.int64)
+        self.place = {w: np.full(len(values), -1, np.int64) for w in set(self.width.tolist())}
+        self.rows: dict[int, np.ndarray] = {}
+        for w, place in self.place.items():
+            own, twice = np.flatnonzero(self.width == w), np.flatnonzero(self.width == 2 * w)
+            full = [np.frombuffer(b"".join(values[i] for i in at), np.uint64) for at in (own, twice)]
+            halves = full[1].reshape(len(twice), 2, w // 8)
+            self.rows[w] = np.concatenate([full[0].reshape(len(own), w // 8), halves[:, 0] ^ halves[:, 1]])
+            place[np.concatenate([own, twice])] = np.arange(len(own) + len(twice))
+
+    def differing(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bits in which the rows x and y differ, pair by pair."""
+        width, out = np.minimum(self.width[x], self.width[y]), np.zeros(len(x), np.int64)
+        for w in np.unique(width).tolist():
+            at, rows, place = np.flatnonzero(width == w), self.rows[w], self.place[w]
+            step = max(1, (1 << 22) // w)
+            for c in range(0, len(at), step):
+                some = at[c : c + step]
+                out[some] = np.bitwise_count(rows[place[x[some]]] ^ rows[place[y[some]]]).sum(1)
+        return out
 
 
 def first_shared_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -178,42 +208,41 @@ def first_shared_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def look_into(percent: int, closest: bool):
-    """Rows sorted by (bucket, i, j): pairs of members of different components that sizes and signatures allow; of each
-    member only its closest, if so asked, else each pair in the first bucket that it shares."""
+    """Rows sorted by (bucket, i, j): pairs of a member outside the bucket's largest component (side 0) and a member of
+    another component (side 1) that sizes and bitmaps allow; of each outsider only its closest, if so asked, else each
+    pair in the first bucket that it shares."""
 
     def pairs(rows: pa.Table) -> pa.RecordBatch | None:
         key = [rows.column(c).to_numpy() for c in ("bucket", "i", "j")]
-        ids, root, n, side = (rows.column(c).to_numpy() for c in ("id", "root", "n", "side"))
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, FINE)
-        coarse = np.frombuffer(b"".join(rows.column("coarse").to_pylist()), np.uint16).reshape(-1, HASHES)
+        ids, root, n, side, outside = (rows.column(c).to_numpy() for c in ("id", "root", "n", "side", "outside"))
+        coarse = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
         new = np.flatnonzero(np.any([np.diff(k) != 0 for k in key], axis=0)) + 1
         firsts = np.append(0, new)
         numbers = np.argmax(keys_of(coarse[firsts]).view(np.int64) == key[0][firsts][:, None], axis=1)  # which key a bucket is
+        maps = Bitmaps(rows.column("bits").to_pylist())
         out = []
         for s, e, number in zip(firsts.tolist(), [*new.tolist(), len(ids)], numbers.tolist()):
-            left = np.arange(s, e)[side[s:e] != 1]
-            right = np.arange(s, e)[side[s:e] != 0]
+            left, right = np.arange(s, e)[side[s:e] == 0], np.arange(s, e)[side[s:e] == 1]
             for at in range(0, len(left), 64):
                 own = left[at : at + 64]
                 ok = (root[own][:, None] != root[right][None, :]) & (100 * np.minimum(n[own][:, None], n[right][None, :]) >= percent * np.maximum(n[own][:, None], n[right][None, :]))
-                if side[s] == 2 and not closest:
-                    ok &= ids[own][:, None] < ids[right][None, :]
+                if not closest:  # two outsiders meet twice
+                    ok &= ~outside[right][None, :] | (ids[own][:, None] < ids[right][None, :])
                 x, y = np.nonzero(ok)
                 if not len(x):
                     continue
-                agree = agreeing(sig[:, :TIER], own[x], right[y])
-                some = agree >= TIER_LEAST
-                x, y = x[some], y[some]
-                agree = agreeing(sig, own[x], right[y])
+                x, y = own[x], right[y]
+                differ, both = maps.differing(x, y), n[x] + n[y]
+                near = differ * (100 + percent) <= both * (100 - percent)
+                x, y, share = x[near], y[near], (differ / both)[near]
                 if closest:
-                    order = np.lexsort((ids[right[y]], -agree, x))
+                    order = np.lexsort((ids[y], share, x))
                     first = order[np.unique(x[order], return_index=True)[1]]
-                    x, y, agree = x[first], y[first], agree[first]
-                near = agree >= FINE_LEAST
-                if not closest:
-                    near[near] = first_shared_key(coarse[own[x[near]]], coarse[right[y[near]]]) == number
-                a, b = ids[own[x[near]]], ids[right[y[near]]]
-                out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+                    x, y = x[first], y[first]
+                else:
+                    mine = first_shared_key(coarse[x], coarse[y]) == number
+                    x, y = x[mine], y[mine]
+                out.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]))
         if not out:
             return None
         found = np.unique(np.concatenate(out, axis=1), axis=1)
@@ -238,12 +267,15 @@ def look_into(percent: int, closest: bool):
 def within_buckets(members: DataFrame, fine: DataFrame, roots: DataFrame, percent: int, closest: bool) -> DataFrame:
     """Pairs (a, b) still to be confirmed: in one bucket, in different components."""
     placed = members.join(roots, members["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    open_keys = placed.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key", "tiles")
-    inside = placed.join(open_keys, "key").withColumn("t", F.pmod(F.xxhash64(F.lit("tile"), "id"), "tiles").cast("int"))
-    # a member of tile t meets every tile: pairs (i, j) of tiles with i <= j
-    inside = inside.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    inside = inside.select(F.col("key").alias("bucket"), F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), F.when(F.col("t") == F.col("o"), 2).when(F.col("t") < F.col("o"), 0).otherwise(1).alias("side"), "id", "root")
-    rows = inside.join(fine, "id").select("bucket", "i", "j", "side", "id", "root", "n", "sig", "coarse")
+    held = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"))
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    open_keys = held.where("roots > 1").select("key", F.col("most.root").alias("main"), tiles(F.col("n")).alias("tiles"), tiles(F.col("n") - F.col("most.n")).alias("outer"))
+    inside = placed.join(open_keys, "key").withColumn("outside", F.col("root") != F.col("main"))
+    tile = lambda of: F.pmod(F.xxhash64(F.lit(of), "id"), of).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    right = inside.select(F.col("key").alias("bucket"), each("outer").alias("i"), tile("tiles").alias("j"), F.lit(1).alias("side"), "outside", "id", "root")
+    left = inside.where("outside").select(F.col("key").alias("bucket"), tile("outer").alias("i"), each("tiles").alias("j"), F.lit(0).alias("side"), "outside", "id", "root")
+    rows = left.unionByName(right).join(fine, "id").select("bucket", "i", "j", "side", "outside", "id", "root", "n", "sig", "bits")
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(look_into(percent, closest), "a long, b long").distinct()
 
 
@@ -253,26 +285,27 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     signed = cut(read.mapInArrow(sign(words), SIGNED), "signed")
     reps = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "tie", "sig", "n_shingles")).alias("r"))
     # a doc_id may hold several sets: each has a number, which this file fixes
-    reps = cut(reps.select("h1", "h2", "r.doc_id", "r.tie", "r.sig").sortWithinPartitions("h1", "h2").withColumn("id", F.monotonically_increasing_id()), "reps")
+    reps = cut(reps.select("h1", "h2", "r.doc_id", "r.tie", "r.sig", F.col("r.n_shingles").alias("n")).sortWithinPartitions("h1", "h2").withColumn("id", F.monotonically_increasing_id()), "reps")
     keys = reps.select("id", "sig").mapInArrow(spread, "key long, id long")
     shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
     members = cut(keys.join(shared, "key"), "members")
-    used = reps.select("id", "doc_id", "tie").join(members.select("id").distinct(), "id", "left_semi")
-    texts = cut(read.join(used, ["doc_id", "tie"]).select("id", "text"), "texts")
+    used = reps.select("id", "doc_id", "tie", "sig", "n").join(members.select("id").distinct(), "id", "left_semi")
+    once = read.join(used, ["doc_id", "tie"]).groupBy("doc_id", "tie", "id", "n").agg(F.first("sig").alias("sig"), F.first("text").alias("text"))
+    texts = cut(once.select("id", "n", "sig", "text").mapInArrow(with_bitmap(words), "id long, n long, sig binary, text string, bits binary"), "texts")
+    fine = texts.select("id", "n", "sig", "bits")
     by_leader = members.where("id != leader").groupBy("id", "leader").count()
     stars = by_leader.groupBy("id").agg(F.max(F.struct("count", F.negate("leader").alias("minus"))).alias("m")).select(F.negate("m.minus").alias("a"), F.col("id").alias("b"))
     star_links = cut(confirm(stars, texts, words, percent), "links")
-    fine = cut(texts.mapInArrow(fine_sign(words), "id long, n long, sig binary, coarse binary").dropDuplicates(["id"]), "fine")
     near = cut(within_buckets(members, fine, components(star_links), percent, closest=True), "pairs")
-    links = cut(star_links.unionByName(confirm(near, texts, words, percent)), "links")
-    rest = cut(within_buckets(members, fine, components(links), percent, closest=False), "pairs")
-    links = cut(links.unionByName(confirm(rest, texts, words, percent)), "links")
+    more_links = cut(star_links.unionByName(confirm(near, texts, words, percent)), "links")
+    rest = cut(within_buckets(members, fine, components(more_links), percent, closest=False), "pairs")
+    links = cut(more_links.unionByName(confirm(rest, texts, words, percent)), "links")
     # documents that share an id are one: a row's set leads to its representative, an id leads to all its sets
     ids = reps.select("id", F.col("doc_id").alias("own"))
     linked = links.join(ids.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a").join(ids.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
     same = signed.where("n_shingles > 0").join(reps.select("h1", "h2", F.col("doc_id").alias("own")), ["h1", "h2"]).where("doc_id != own").select(F.col("own").alias("a"), F.col("doc_id").alias("b"))
     roots = components(linked.select(F.col("own_a").alias("a"), F.col("own_b").alias("b")).unionByName(same))
-    for t in (members, texts, fine, star_links, near, rest):
+    for t in (members, texts, star_links, more_links, near, rest):
         drop(t)
     out = signed.select("doc_id", "n_shingles").join(roots, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("root", "doc_id")

@@ -148,6 +148,45 @@ def test_signatures_within_the_distance_share_a_key():
     assert all(set(x) & set(y) for x, y in zip(a.tolist(), b.tolist()))
 
 
+def test_parity_bitmaps_never_tell_more_than_the_sets():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 64, n, np.uint64)) for n in (1, 3, 63, 64, 65, 800, 20_000)]
+    sets += [np.unique(np.concatenate([s[len(s) // 6 :], rng.integers(0, 1 << 64, len(s) // 6 + 1, np.uint64)])) for s in sets]
+    maps = minhash.Bitmaps([minhash.parity(s).tobytes() for s in sets])
+    for a in range(len(sets)):
+        for b in range(len(sets)):
+            if 100 * min(len(sets[a]), len(sets[b])) >= 75 * max(len(sets[a]), len(sets[b])):
+                differ = int(maps.differing(np.array([a]), np.array([b]))[0])
+                truth = len(np.setxor1d(sets[a], sets[b]))
+                assert differ <= truth and (a != b or differ == 0) and differ >= 0.5 * min(truth, 12_000)
+
+
+def test_op1_finds_pairs_just_above_the_threshold(spark, tmp_path):
+    rng, texts, want = random.Random(12), [], 0
+    for i in range(1500):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(204)]
+        gone = rng.choice((28, 29))  # 200 shingles, 5 new ones at each of so many words: similarity about 3/4
+        other = list(words)
+        other[100 : 100 + gone - 4] = [f"x{rng.randrange(10**9)}" for _ in range(gone - 4)]
+        texts += [" ".join(words), " ".join(other)]
+        want += 100 * (200 - gone) >= 75 * (200 + gone)
+    texts = write(str(tmp_path), texts)
+    got = {r["doc_id"]: r["component_id"] for r in rows(spark, "op1_minhash", str(tmp_path))}
+    linked = sum(got[i] == got[i + 1] for i in range(100, 100 + len(texts), 2))
+    assert 600 < linked == want  # 6 in a million pairs at the threshold share no key
+
+
+def test_op1_family_of_many_components(spark, tmp_path):
+    rng, frame, texts = random.Random(13), prose(100).split(), []
+    for i in range(250):  # one frame in all, similarity between groups about 0.55, inside groups above 0.9
+        own = [f"g{i}w{j}" for j in range(30)]
+        for j in range(3):
+            texts.append(" ".join([*frame, *own, f"e{rng.randrange(10**9)}"]))
+    texts = write(str(tmp_path), texts)
+    got = {r["doc_id"]: r["component_id"] for r in rows(spark, "op1_minhash", str(tmp_path))}
+    assert got == {i: 100 + (i - 100) // 3 * 3 for i in texts}
+
+
 def test_op2(spark, odd):
     folder, _ = odd
     vectors = odd_vectors()
