@@ -6,6 +6,8 @@ import argparse
 import logging
 import sys
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from .config import MergeConfig, PreprocessConfig, SimulateConfig, StandardConfig
@@ -43,7 +45,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             chunked.simulate(spark, SimulateConfig(a.prep, a.out, a.workers, a.compress, a.start_chunk, a.end_chunk))
         else:
             chunked.merge(spark, MergeConfig(a.chunks, a.out, not a.no_compress, a.order))
-    except (ValueError, OSError) as e:
+    except (ValueError, OSError, PySparkException, Py4JError) as e:  # settings, files, and what Spark or its file systems raise
         print(f"Error: {e}", file=sys.stderr)
         return 1
     return 0

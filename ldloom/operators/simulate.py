@@ -70,6 +70,9 @@ def gemm(df: DataFrame, matrix: np.ndarray | None = None, *, seed: int | None =
 def by_arrays(df: DataFrame, matrix: DataFrame, z: str = "z", out: str = "dosages", scale: bool = True) -> DataFrame:
     """The same by array functions: the matrix is one row (an array of trait rows), small enough to be broadcast.
     ``matrix``: trait, w."""
+    held = matrix.agg(F.coalesce(F.sum(F.size("w") * F.lit(8)), F.lit(0))).first()[0]
+    if held > MATRIX_BYTES:
+        raise ValueError("a matrix this large isn't broadcast: use gemm with its seed, or the long form")
     one = matrix.agg(F.transform(F.array_sort(F.collect_list(F.struct("trait", "w"))), lambda r: r["w"]).alias("_m"))
     y = F.transform("_m", lambda w: D.dot(F.col(z), w) / F.size(z))
     with_y = df.crossJoin(F.broadcast(one)).withColumn(out, y).drop("_m", z)

@@ -4,8 +4,8 @@ A frame of variants has row_idx, chrom, pos, id, ref, alt, info_af (double; null
 (array<float>; null: no dosages). Two modes differ on purpose:
 
 - ``standard`` counts an id among the rows that pass the frequency and have dosages; a NaN frequency passes.
-- ``chunked`` counts it among the rows that pass the frequency, with dosages or not; a NaN frequency isn't counted, so
-  its row leaves as if it were a duplicate.
+- ``chunked`` counts it among the rows whose frequency is a number in range, with dosages or not. A NaN frequency passes
+  without being counted: its row stays where exactly one row of its id was counted, and else leaves as a duplicate.
 """
 
 from __future__ import annotations
@@ -63,11 +63,12 @@ def without_repeated_ids(df: DataFrame, counted: DataFrame) -> DataFrame:
 
 def drop_nonunique_ids(df: DataFrame, maf: float, mode: str = "standard") -> DataFrame:
     """Variants that pass all filters. ``df`` has af; arrays are shuffled only if the planner can't broadcast the repeated ids."""
-    passed = maf_filter(df, maf, mode)
+    passed = maf_filter(df, maf)
     if mode == "standard":
         passed = has_dosages(passed)
         return without_repeated_ids(passed, passed)
-    return has_dosages(without_repeated_ids(passed, passed))
+    counted = passed.groupBy(F.col("id").alias("other_id")).agg(F.count_if(~F.isnan("af")).alias("n")).where("n != 1").select("other_id")
+    return has_dosages(passed.join(counted, passed["id"].eqNullSafe(counted["other_id"]), "left_anti"))
 
 
 def pipeline_stats(df: DataFrame, maf: float, mode: str = "standard") -> DataFrame:
@@ -80,10 +81,11 @@ def pipeline_stats(df: DataFrame, maf: float, mode: str = "standard") -> DataFra
         F.count_if(keep).alias("kept"),
         F.count_if(keep & has).alias("whole"),
         F.count_if(F.coalesce(nan, F.lit(False))).alias("nans"),
+        F.count_if(F.coalesce(nan, F.lit(False)) & has).alias("whole_nans"),
     )
     return per.agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("total"),
-        F.coalesce(F.sum(F.when(F.col("kept") == 1, F.col("whole")).otherwise(0)), F.lit(0)).alias("filtered"),
+        F.coalesce(F.sum(F.when(F.col("kept") == 1, F.col("whole") + F.col("whole_nans")).otherwise(0)), F.lit(0)).alias("filtered"),
         # a NaN row is let through to the duplicate test in chunked mode and leaves there unless its id is counted once
         F.coalesce(F.sum(F.when(F.col("kept") != 1, F.col("kept") + F.col("nans")).otherwise(0)), F.lit(0)).alias("duplicates"),
     )
@@ -91,7 +93,7 @@ def pipeline_stats(df: DataFrame, maf: float, mode: str = "standard") -> DataFra
 
 def with_rank(df: DataFrame, order: str = "row_idx", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """rank: 0, 1, ... in the order of a non-negative long column. Rows are summed by bucket of that column; only the
-    sums are ordered as a whole, and each bucket is ranked alone."""
+    sums are ordered as a whole, and each bucket is ranked alone. Whole rows are shuffled: give it narrow ones."""
     bucket = F.floor(F.col(order) / F.lit(bucket_rows)).cast("long")
     sums = df.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -101,10 +103,25 @@ def with_rank(df: DataFrame, order: str = "row_idx", bucket_rows: int = BUCKET_R
     return ranked.join(offsets, "_bucket").withColumn("rank", F.col("_offset") + F.col("_inside")).drop("_bucket", "_inside", "_offset")
 
 
+def chunk_bounds(df: DataFrame, chunk_size: int) -> DataFrame:
+    """chunk_id, first and end row_idx (end: null for the last), from the row_idx column alone: a row a chunk."""
+    starts = with_rank(df.select("row_idx")).where(F.col("rank") % chunk_size == 0)
+    return starts.select((F.col("rank") / chunk_size).cast("int").alias("chunk_id"), F.col("row_idx").alias("first"), F.lead("row_idx").over(Window.orderBy("row_idx")).alias("end"))
+
+
 def assign_chunks(df: DataFrame, chunk_size: int) -> DataFrame:
-    """chunk_id and row_in_chunk by rank among the rows that are left."""
-    ranked = with_rank(df)
-    return ranked.withColumn("chunk_id", F.floor(F.col("rank") / chunk_size).cast("int")).withColumn("row_in_chunk", (F.col("rank") % chunk_size).cast("int")).drop("rank")
+    """chunk_id and row_in_chunk by rank among the rows that are left. Only row_idx is ranked over all rows. A chunk
+    spans chunk_size values of row_idx at least, so a bucket of that width meets two chunks at most: rows find theirs by
+    an equi-join with the bounds (few, so the planner broadcasts them) and are shuffled once, chunk by chunk."""
+    width = F.lit(chunk_size)
+    bucket = lambda c: F.floor(c / width).cast("long")
+    top = df.agg(F.max("row_idx").alias("top"))
+    bounds = chunk_bounds(df, chunk_size).crossJoin(F.broadcast(top))  # one row on the right
+    upto = F.coalesce(F.col("end") - 1, F.col("top"))
+    met = bounds.select("chunk_id", "first", upto.alias("last"), F.explode(F.sequence(bucket(F.col("first")), bucket(upto))).alias("_bucket"))
+    placed = df.withColumn("_bucket", bucket(F.col("row_idx"))).join(met, "_bucket").where(F.col("row_idx").between(F.col("first"), F.col("last")))
+    place = F.row_number().over(Window.partitionBy("chunk_id").orderBy("row_idx")).cast("int") - 1
+    return placed.withColumn("row_in_chunk", place).select(*df.columns, "chunk_id", "row_in_chunk")
 
 
 def chunk_range(df: DataFrame, start: int = -1, end: int = -1) -> DataFrame:

@@ -14,8 +14,9 @@ from ..config import MergeConfig, PreprocessConfig, SimulateConfig, traits_per_t
 from ..operators import variants as V
 from ..operators.simulate import gemm
 from ..operators.traits import fresh_seed, traits
+from ..sources.store import stored
 from ..sources.vcf import numbered_lines, read_vcf
-from ..sources.vcf_write import write_lines, write_vcf
+from ..sources.vcf_write import in_order, write_files, write_lines
 from .standard import standardized, timed
 
 
@@ -27,7 +28,7 @@ def preprocess(spark: SparkSession, cfg: PreprocessConfig) -> dict:
     with timed("traits"):
         traits(spark, cfg.n_traits, len(names), seed, tile).write.mode("overwrite").partitionBy("tile_id").parquet(f"{cfg.out}/traits")
     with timed("chunks"):
-        z = V.assign_chunks(standardized(variants, cfg.maf, "chunked"), cfg.chunk_size)
+        z = V.assign_chunks(stored(standardized(variants, cfg.maf, "chunked"), "standardized"), cfg.chunk_size)
         z.write.mode("overwrite").partitionBy("chunk_id").parquet(f"{cfg.out}/chunks")
     chunks = read_chunks(spark, cfg.out)
     n = chunks.count()
@@ -52,18 +53,14 @@ def read_traits(spark: SparkSession, prep: str) -> DataFrame:
 
 
 def simulate(spark: SparkSession, cfg: SimulateConfig) -> list[str]:
-    """A file chunk_<id>.vcf[.gz] for every chunk in range; their paths. Tasks make the trait tiles anew from the seed."""
+    """A file chunk_<id>.vcf[.gz] for every chunk in range; their paths. One job for all chunks; tasks make the trait tiles
+    anew from the seed."""
     m = read_manifest(spark, cfg.prep)
     chunks = read_chunks(spark, cfg.prep, cfg.start_chunk, cfg.end_chunk)
-    out = []
-    for chunk_id in sorted(r[0] for r in chunks.select("chunk_id").distinct().collect()):
-        one = chunks.where(F.col("chunk_id") == chunk_id)
-        made = gemm(one, seed=m["seed"], n_traits=m["n_traits"], per_tile=min(m["traits_per_tile"], 2000))
-        path = f"{cfg.out}/chunk_{chunk_id}.vcf{'.gz' if cfg.compress else ''}"
-        with timed(path):
-            write_vcf(made, path, m["n_traits"], "chunked", cfg.compress)
-        out.append(path)
-    return out
+    dealt = chunks.repartition("chunk_id").sortWithinPartitions("chunk_id", "row_idx")
+    made = gemm(dealt, seed=m["seed"], n_traits=m["n_traits"], per_tile=min(m["traits_per_tile"], 2000))
+    with timed("simulate and write"):
+        return write_files(made, cfg.out, "chunk_id", lambda c: f"chunk_{c}.vcf{'.gz' if cfg.compress else ''}", m["n_traits"], "chunked", cfg.compress)
 
 
 def chunk_files(spark: SparkSession, folder: str, order: str = "numeric") -> list[str]:
@@ -87,14 +84,7 @@ def merge(spark: SparkSession, cfg: MergeConfig) -> int:
     files = chunk_files(spark, cfg.chunks, cfg.order)
     heads = spark.read.text(files[0]).where(F.col("value").startswith("#")).toLocalIterator()
     head = "".join(f"{r[0]}\n" for r in heads)
-    rows = None
-    at = 0
-    for path in files:
-        own = numbered_lines(spark, path).select((F.col("row_idx") + F.lit(at)).alias("row_idx"), F.col("value").alias("line"))
-        at += (own.agg(F.max("row_idx")).first()[0] or at) - at + 1
-        rows = own if rows is None else rows.unionByName(own)
+    rows = numbered_lines(spark, files).select("row_idx", F.col("value").alias("line"))
     n = rows.count()
-    write_lines(rows, cfg.out, head, cfg.compress)
+    write_lines(in_order(rows), cfg.out, head, cfg.compress)
     return n
-
-

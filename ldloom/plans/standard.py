@@ -13,8 +13,9 @@ from ..functions import dosage as D
 from ..operators import variants as V
 from ..operators.simulate import gemm
 from ..operators.traits import fresh_seed
+from ..sources.store import stored
 from ..sources.vcf import read_vcf
-from ..sources.vcf_write import write_vcf
+from ..sources.vcf_write import in_order, write_vcf
 
 log = logging.getLogger("ldloom")
 
@@ -36,12 +37,12 @@ def run_standard(spark: SparkSession, cfg: StandardConfig) -> int:
     """Writes the synthetic dosages; the number of variants written. Raises if none passes."""
     variants, names = read_vcf(spark, cfg.vcf, cfg.samples)
     seed = fresh_seed() if cfg.seed is None else cfg.seed
-    z = standardized(variants, cfg.maf)
-    with timed("filter"):
-        n = z.count()
+    with timed("filter and standardize"):
+        z = stored(standardized(variants, cfg.maf), "standardized")
+        n = z.count()  # of a written table
     if not n:
         raise ValueError("no variant passed the filters")
-    made = gemm(z, seed=seed, n_traits=cfg.n_traits, per_tile=min(cfg.n_traits, traits_per_tile(cfg.n_traits, len(names)), 2000))
+    made = gemm(in_order(z), seed=seed, n_traits=cfg.n_traits, per_tile=min(cfg.n_traits, traits_per_tile(cfg.n_traits, len(names)), 2000))
     with timed("simulate and write"):
-        write_vcf(made, cfg.out, cfg.n_traits, "standard", cfg.compress)
+        write_vcf(made, cfg.out, cfg.n_traits, "standard", cfg.compress, ordered=True)
     return n

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import traits_per_tile
+from .config import MergeConfig, PreprocessConfig, SimulateConfig, traits_per_tile
 from .functions import dosage as D
 from .operators import longform as L
 from .operators import simulate as S
@@ -20,13 +20,13 @@ from .operators import traits as T
 from .operators import variants as V
 from .plans import chunked
 from .sources import vcf, vcf_write
-from .sources.store import scratch
+from .sources.store import scratch, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-MAF, LONG_MAF, CHUNK, TRAITS = 0.12, 0.45, 100, 8
+MAF, LONG_MAF, CHUNK, TRAITS, SAMPLES = 0.12, 0.45, 100, 8, 64
 
 
 def query(name: str, sql: str | None = None):
@@ -72,11 +72,15 @@ def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def odd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The wide rows, every 7th without dosages, every 11th with a missing frequency, ids in pairs more often."""
+    """The wide rows with rarer cases, dealt in blocks of 20 rows: places 0-1 a plain pair of one id, 2-3 a pair with one
+    row out of range, 4-5 one without dosages, 6-7 one NaN, 12-13 two NaN, 14-16 two NaN and one in range; 8 the id '.',
+    9 a NaN alone, 10 no frequency, 11 no dosages. Other rows have an id of their own and the frequency they had."""
     w = whole(spark, sf_dir)
-    pair = F.concat(F.lit("p"), F.floor(F.col("row_idx") / 3).cast("string"))
-    af = F.when(F.col("row_idx") % 11 == 0, F.lit(float("nan"))).when(F.col("row_idx") % 13 != 0, F.col("af"))
-    return w.withColumn("id", F.when(F.col("row_idx") % 4 == 0, pair).otherwise(F.col("id"))).withColumn("af", af).withColumn("ds", F.when(F.col("row_idx") % 7 != 0, F.col("ds")))
+    place, block = F.col("row_idx") % 20, F.floor(F.col("row_idx") / 20).cast("string")
+    name = F.when(place < 8, F.concat(F.lit("p"), F.floor(place / 2).cast("string"), F.lit("-"), block)).when(place == 8, ".").when(place.isin(12, 13), F.concat(F.lit("n"), block))
+    name = F.coalesce(name.when(place.isin(14, 15, 16), F.concat(F.lit("t"), block)), F.concat(F.lit("v"), F.col("row_idx").cast("string")))
+    af = F.when(place == 3, F.lit(0.01)).when(place.isin(7, 9, 12, 13, 15, 16), F.lit(float("nan"))).when(place.isin(0, 1, 2, 4, 5, 6, 14), F.lit(0.25)).when(place != 10, F.col("af"))
+    return w.withColumn("id", name).withColumn("af", af).withColumn("ds", F.when(~place.isin(5, 11), F.col("ds")))
 
 
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +89,7 @@ def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """row_idx, value: a data line for each vector, 8 samples, all kinds of INFO and FORMAT."""
+    """row_idx, value: a data line for each vector, a sample for each of its components, all kinds of INFO and FORMAT."""
     i, e = F.col("vec_id"), load(spark, sf_dir, "embeddings")
     two = F.lpad((i % 100).cast("string"), 2, "0")
     info = F.when(i % 4 == 0, F.concat(F.lit("AF=0."), two)).when(i % 4 == 1, F.concat(F.lit("DP=3;AF=0."), two, F.lit(",0.05"))).when(i % 4 == 2, F.lit(".")).otherwise(F.lit("AF=."))
@@ -95,7 +99,7 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         value = F.when((i + j) % 11 == 0, F.lit(".")).otherwise(F.concat(F.lit("0."), F.lpad(k.cast("string"), 3, "0")))
         return F.when(i % 5 == 0, F.lit("0/1")).otherwise(F.concat(F.lit("0/1:"), value))
 
-    cells = F.array_join(F.transform(F.slice("embedding", 1, 8), cell), "\t")
+    cells = F.array_join(F.transform("embedding", cell), "\t")
     fields = [F.concat(F.lit("chr"), F.col("label").cast("string")), (i + 1).cast("string"), F.concat(F.lit("v"), i.cast("string")), F.lit("A"), F.when(i % 3 == 0, "G,T").otherwise("G"), F.lit("."), F.lit("PASS"), info, F.when(i % 5 == 0, "GT").otherwise("GT:DS"), cells]
     return e.select(i.cast("long").alias("row_idx"), F.concat_ws("\t", *fields).alias("value"))
 
@@ -118,12 +122,13 @@ def long_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of the variants that pass the frequency and have an id of their own."""
-    c = cells(spark, sf_dir)
+    """Cells of the variants that pass the frequency and have an id of their own; written once, since moments, scores and
+    products each read them."""
+    c = stored(cells(spark, sf_dir), "cells")
     af = c.groupBy("variant").agg((F.round(F.sum("dosage") / (F.count("*") * F.lit(2.0)) * F.lit(1e6), 0) / F.lit(1e6)).alias("af"))
     named = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("variant"), F.concat_ws("|", "p_name", "p_brand", "p_type", F.col("p_size").cast("string")).alias("id"))
     passed = V.maf_filter(af.join(named, "variant"), LONG_MAF)
-    return c.join(passed.join(V.unique_ids(passed), "id", "left_semi").select("variant"), "variant", "left_semi")
+    return stored(c.join(passed.join(V.unique_ids(passed), "id", "left_semi").select("variant"), "variant", "left_semi"), "kept-cells")
 
 
 def coded(af: Column) -> Column:
@@ -160,9 +165,13 @@ y AS (SELECT row_idx, trait, list_dot_product(z, w) / len(z) AS y FROM z, w),
 e AS (SELECT row_idx, trait, y, min(y) OVER (PARTITION BY row_idx) AS lo, max(y) OVER (PARTITION BY row_idx) - min(y) OVER (PARTITION BY row_idx) AS span FROM y)
 SELECT row_idx, trait, """ + r6("CASE WHEN span = 0 THEN 1.0 ELSE 2.0 * (y - lo) / span END") + " AS dosage FROM e"
 ODD = WIDE + """,
-odd AS (SELECT row_idx, CASE WHEN row_idx % 4 = 0 THEN 'p' || (row_idx // 3) ELSE id END AS id, row_idx % 7 <> 0 AS has_ds, row_idx % 11 = 0 AS nan,
-  CASE WHEN row_idx % 11 <> 0 AND row_idx % 13 <> 0 THEN af END AS af FROM af),
-tested AS (SELECT *, coalesce(af >= 0.12::DOUBLE AND af <= 1.0::DOUBLE - 0.12::DOUBLE, false) AS inside FROM odd)"""
+placed AS (SELECT *, row_idx % 20 AS place, row_idx // 20 AS block FROM af),
+odd AS (SELECT row_idx, CASE WHEN place < 8 THEN 'p' || (place // 2) || '-' || block WHEN place = 8 THEN '.' WHEN place IN (12, 13) THEN 'n' || block WHEN place IN (14, 15, 16) THEN 't' || block ELSE 'v' || row_idx END AS id,
+  place NOT IN (5, 11) AS has_ds, place IN (7, 9, 12, 13, 15, 16) AS nan,
+  CASE WHEN place = 3 THEN 0.01::DOUBLE WHEN place IN (0, 1, 2, 4, 5, 6, 14) THEN 0.25::DOUBLE WHEN place NOT IN (7, 9, 10, 12, 13, 15, 16) THEN af END AS af FROM placed),
+tested AS (SELECT *, coalesce(af >= 0.12::DOUBLE AND af <= 1.0::DOUBLE - 0.12::DOUBLE, false) AS inside FROM odd),
+first_pass AS (SELECT id, count(*) AS n FROM tested WHERE inside GROUP BY id),
+second_pass AS (SELECT row_idx, tested.id, has_ds, coalesce(n, 0) = 1 AS once FROM tested LEFT JOIN first_pass ON tested.id = first_pass.id WHERE inside OR nan)"""
 CELLS = """c AS (SELECT l_partkey AS variant, l_suppkey AS sample, (sum(round(l_discount * 100)::BIGINT)::DOUBLE / (count(*) * 5)::DOUBLE)::FLOAT::DOUBLE AS dosage
   FROM lineitem GROUP BY ALL), n AS (SELECT count(*)::DOUBLE AS n FROM supplier)"""
 LONG = CELLS + """,
@@ -174,27 +183,27 @@ m AS (SELECT variant, count(*) AS cells, sum(dosage) / any_value(n) AS mean FROM
 s AS (SELECT variant, m.cells, m.mean, sqrt((sum((dosage - mean) * (dosage - mean)) + (any_value(n) - m.cells) * m.mean * m.mean) / any_value(n)) AS sd FROM k JOIN m USING (variant), n GROUP BY variant, m.cells, m.mean)"""
 LINES = """lines AS (SELECT vec_id::BIGINT AS row_idx, 'chr' || label AS chrom, (vec_id + 1)::INTEGER AS pos, 'v' || vec_id AS id, 'A' AS ref, 'G' AS alt, vec_id % 5 <> 0 AS has_ds,
   CASE WHEN vec_id % 4 < 2 THEN round(('0.' || lpad((vec_id % 100)::VARCHAR, 2, '0'))::FLOAT::DOUBLE * 1e6) / 1e6 WHEN vec_id % 4 = 2 THEN -1.0 ELSE -2.0 END AS info_af,
-  list_sum([CASE WHEN (vec_id + i - 1) % 11 = 0 THEN 0.0::DOUBLE ELSE ('0.' || lpad(least(999, floor(abs(embedding[i]::DOUBLE) * 1000)::INTEGER)::VARCHAR, 3, '0'))::FLOAT::DOUBLE END for i in [1, 2, 3, 4, 5, 6, 7, 8]]) AS total FROM embeddings)"""
+  list_sum([CASE WHEN (vec_id + i - 1) % 11 = 0 THEN 0.0::DOUBLE ELSE ('0.' || lpad(least(999, floor(abs(embedding[i]::DOUBLE) * 1000)::INTEGER)::VARCHAR, 3, '0'))::FLOAT::DOUBLE END for i in range(1, 65)]) AS total FROM embeddings)"""
 
 
 # --- sources and projections --------------------------------------------------------------------------------------
 
 
-@query("vcf_record_parse", f"WITH {LINES} SELECT row_idx, chrom, pos, id, ref, alt, info_af, CASE WHEN has_ds THEN 8 ELSE -1 END::BIGINT AS n_ds, CASE WHEN has_ds THEN {r6('total')} ELSE -1.0 END AS ds_sum FROM lines")
+@query("vcf_record_parse", f"WITH {LINES} SELECT row_idx, chrom, pos, id, ref, alt, info_af, CASE WHEN has_ds THEN 64 ELSE -1 END::BIGINT AS n_ds, CASE WHEN has_ds THEN {r6('total')} ELSE -1.0 END AS ds_sum FROM lines")
 def vcf_record_parse(spark, sf_dir):
-    p = vcf.parse_lines(text_lines(spark, sf_dir), 8)
+    p = vcf.parse_lines(text_lines(spark, sf_dir), SAMPLES)
     total = F.aggregate(D.impute_zero(F.col("ds")), F.lit(0.0), lambda a, x: a + x)
     return p.select("row_idx", "chrom", "pos", "id", "ref", "alt", coded(F.col("info_af")).alias("info_af"), F.when(F.col("ds").isNull(), -1).otherwise(F.size("ds")).cast("long").alias("n_ds"), F.when(F.col("ds").isNull(), -1.0).otherwise(D.round6(total)).alias("ds_sum"))
 
 
 @query("first_alt_projection", f"WITH {LINES} SELECT row_idx, chrom, pos, id, ref, alt FROM lines")
 def first_alt_projection(spark, sf_dir):
-    return vcf.parse_lines(text_lines(spark, sf_dir), 8, af=False, ds=False).select("row_idx", "chrom", "pos", "id", "ref", "alt")
+    return vcf.parse_lines(text_lines(spark, sf_dir), SAMPLES, af=False, ds=False).select("row_idx", "chrom", "pos", "id", "ref", "alt")
 
 
 @query("af_from_info", f"WITH {LINES} SELECT row_idx, info_af AS af FROM lines")
 def af_from_info(spark, sf_dir):
-    return vcf.parse_lines(text_lines(spark, sf_dir), 8, ds=False).select("row_idx", coded(F.col("info_af")).alias("af"))
+    return vcf.parse_lines(text_lines(spark, sf_dir), SAMPLES, ds=False).select("row_idx", coded(F.col("info_af")).alias("af"))
 
 
 @query("af_from_dosage", f"WITH {WIDE} SELECT row_idx, {r6('af')} AS af FROM af")
@@ -204,7 +213,7 @@ def af_from_dosage(spark, sf_dir):
 
 @query("af_coalesce", f"WITH {WIDE}, {LINES} SELECT af.row_idx, CASE WHEN info_af = -1 THEN {r6('af')} ELSE info_af END AS af FROM af JOIN lines USING (row_idx)")
 def af_coalesce(spark, sf_dir):
-    info = vcf.parse_lines(text_lines(spark, sf_dir), 8, ds=False).select("row_idx", "info_af")
+    info = vcf.parse_lines(text_lines(spark, sf_dir), SAMPLES, ds=False).select("row_idx", "info_af")
     both = V.project_samples(wide(spark, sf_dir), None).drop("info_af").join(info, "row_idx")
     return V.derive_af(both).select("row_idx", coded(F.col("af")).alias("af"))
 
@@ -238,11 +247,10 @@ def parse_double_default(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", D.parse_double(text, -1.0).alias("value"))
 
 
-@query("dosage_round4", f"WITH {WIDE} SELECT row_idx, i AS trait, printf('%.4f', d[i + 1])::DOUBLE AS dosage FROM wide, range(8) t(i)")
+@query("dosage_round4", f"WITH {WIDE} SELECT row_idx, i AS trait, printf('%.4f', d[i + 1])::DOUBLE AS dosage FROM wide, range(64) t(i)")
 def dosage_round4(spark, sf_dir):
-    eight = wide(spark, sf_dir).withColumn("dosages", F.slice(D.impute_zero(F.col("ds")), 1, TRAITS))
-    values = F.slice(F.split("line", "\t"), vcf.FIXED + 1, TRAITS)
-    return vcf_write.lines(eight).select("row_idx", F.posexplode(values).alias("t", "v")).select("row_idx", F.col("t").cast("long").alias("trait"), F.col("v").cast("double").alias("dosage"))
+    values = F.slice(F.split("line", "\t"), vcf.FIXED + 1, SAMPLES)
+    return vcf_write.lines(wide(spark, sf_dir).withColumn("dosages", D.impute_zero(F.col("ds")))).select("row_idx", F.posexplode(values).alias("t", "v")).select("row_idx", F.col("t").cast("long").alias("trait"), F.col("v").cast("double").alias("dosage"))
 
 
 # --- filters and duplicates ---------------------------------------------------------------------------------------
@@ -273,7 +281,7 @@ def dedup_unique_id(spark, sf_dir):
     return V.drop_nonunique_ids(odd(spark, sf_dir), MAF).select("row_idx", "id")
 
 
-@query("dedup_chunked_semantics", f"WITH {ODD}, p AS (SELECT * FROM tested WHERE inside) SELECT row_idx, id FROM p WHERE has_ds AND id IN (SELECT id FROM p GROUP BY id HAVING count(*) = 1)")
+@query("dedup_chunked_semantics", f"WITH {ODD} SELECT row_idx, id FROM second_pass WHERE once AND has_ds")
 def dedup_chunked_semantics(spark, sf_dir):
     return V.drop_nonunique_ids(odd(spark, sf_dir), MAF, "chunked").select("row_idx", "id")
 
@@ -285,16 +293,19 @@ def pipeline_stats_standard(spark, sf_dir):
 
 @query(
     "pipeline_stats_chunked",
-    f"WITH {ODD}, u AS (SELECT id FROM tested WHERE inside GROUP BY id HAVING count(*) = 1), second AS (SELECT *, id IN (SELECT id FROM u) AS one FROM tested WHERE inside OR nan) "
-    "SELECT (SELECT count(*) FROM odd) AS total, (SELECT count(*) FROM second WHERE one AND has_ds) AS filtered, (SELECT count(*) FROM second WHERE NOT one) AS duplicates",
+    f"WITH {ODD} SELECT (SELECT count(*) FROM odd) AS total, (SELECT count(*) FROM second_pass WHERE once AND has_ds) AS filtered, (SELECT count(*) FROM second_pass WHERE NOT once) AS duplicates",
 )
 def pipeline_stats_chunked(spark, sf_dir):
     return V.pipeline_stats(odd(spark, sf_dir), MAF, "chunked")
 
 
-@query("sample_join_long", f"WITH {CELLS} SELECT variant, sample, {r6('dosage')} AS dosage FROM c JOIN supplier ON s_suppkey = sample WHERE s_suppkey % 3 = 0")
+#: The samples asked for, by name; the list is the operator's input, and one name in it is no supplier's.
+ASKED = ("Supplier#000000003", "Supplier#000000001", "nobody", "Supplier#000000007", "Supplier#000000010")
+
+
+@query("sample_join_long", f"WITH {CELLS} SELECT variant, sample, {r6('dosage')} AS dosage FROM c JOIN supplier ON s_suppkey = sample WHERE s_name IN {ASKED}")
 def sample_join_long(spark, sf_dir):
-    names = load(spark, sf_dir, "supplier").where(F.col("s_suppkey") % 3 == 0).select("s_name")
+    names = spark.createDataFrame([(n,) for n in ASKED], "s_name string")
     wanted = load(spark, sf_dir, "supplier").join(names, "s_name").select(F.col("s_suppkey").alias("sample"))
     return cells(spark, sf_dir).join(wanted, "sample").select("variant", "sample", D.round6(F.col("dosage")).alias("dosage"))
 
@@ -347,10 +358,11 @@ def simulate_long(spark, sf_dir):
     return L.scale(y).select("variant", F.col("trait").cast("long").alias("trait"), D.round6(F.col("dosage")).alias("dosage"))
 
 
-@query("trait_matrix_stats")
+@query("trait_matrix_stats", "SELECT t::INTEGER AS trait, (t // 10)::INTEGER AS tile_id, 4096 AS n, true AS centred, true AS unit FROM range(32) r(t)")
 def trait_matrix_stats(spark, sf_dir):
+    """Moments of standard normal rows, within 5 standard errors: 1/64 for the mean, about that over sqrt(2) for the spread."""
     rows = T.traits(spark, 32, 4096, seed=7, per_tile=10).withColumn("m", D.moments(F.col("w")))
-    return rows.select("trait", "tile_id", F.size("w").alias("n"), D.round6(F.col("m.mean")).alias("mean"), D.round6(F.col("m.sd")).alias("sd"))
+    return rows.select("trait", "tile_id", F.size("w").alias("n"), (F.abs("m.mean") < 5 / 64).alias("centred"), (F.abs(F.col("m.sd") - 1) < 5 / 64 / 2**0.5).alias("unit"))
 
 
 # --- order, chunks, merging ---------------------------------------------------------------------------------------
@@ -453,10 +465,55 @@ def merge_order_numeric(spark, sf_dir):
     return placed(chunk_names(spark, sf_dir), F.regexp_extract("name", r"chunk_(\d+)", 1).cast("int"))
 
 
-@query("vcf_roundtrip", f"WITH {KEPT} SELECT rank AS row_idx, pos, i AS trait, {r6("printf('%.4f', d[i + 1])::FLOAT::DOUBLE")} AS dosage FROM ranked, range(8) t(i)")
+@query("vcf_roundtrip", f"WITH {KEPT} SELECT rank AS row_idx, pos, i AS trait, {r6("printf('%.4f', d[i + 1])::FLOAT::DOUBLE")} AS dosage FROM ranked, range(64) t(i)")
 def vcf_roundtrip(spark, sf_dir):
     path = scratch(spark, "roundtrip") + ".vcf.gz"
-    vcf_write.write_vcf(kept(spark, sf_dir).withColumn("dosages", F.slice("ds", 1, TRAITS)), path, TRAITS)
+    vcf_write.write_vcf(kept(spark, sf_dir).withColumnRenamed("ds", "dosages"), path, SAMPLES)
     back, _ = vcf.read_vcf(spark, path)
     first = F.col("row_idx") - F.lit(4)  # four header lines come before the data
     return back.select(first.alias("row_idx"), "pos", F.posexplode("ds").alias("t", "v")).select("row_idx", "pos", F.col("t").cast("long").alias("trait"), D.round6(F.col("v")).alias("dosage"))
+
+
+# --- the chunked flow through its folders ---------------------------------------------------------------------------
+
+
+def prepared(spark: SparkSession, sf_dir: str) -> str:
+    """The odd rows as a VCF file, preprocessed: 5 traits in tiles of 2, chunks of 100."""
+    path, prep = scratch(spark, "in") + ".vcf", scratch(spark, "prep")
+    rows = odd(spark, sf_dir).where("ds IS NOT NULL").withColumnRenamed("ds", "dosages")
+    vcf_write.write_vcf(rows, path, SAMPLES)
+    chunked.preprocess(spark, PreprocessConfig(path, prep, maf=MAF, n_traits=5, chunk_size=CHUNK, traits_per_tile=2, seed=3))
+    return prep
+
+
+#: What the file holds of the odd rows: frequencies are made anew from dosages of four decimals.
+FILE = ODD + """,
+file AS (SELECT row_idx, odd.id, pos, round(list_sum(list_transform(d, lambda x: printf('%.4f', x)::FLOAT::DOUBLE)) / 128.0::DOUBLE * 1e6) / 1e6 AS af FROM odd JOIN placed USING (row_idx) WHERE has_ds),
+through AS (SELECT * FROM file WHERE af >= 0.12::DOUBLE AND af <= 1.0::DOUBLE - 0.12::DOUBLE),
+single AS (SELECT *, row_number() OVER (ORDER BY row_idx) - 1 AS rank FROM through WHERE id IN (SELECT id FROM through GROUP BY id HAVING count(*) = 1))"""
+
+
+@query("chunk_manifest", f"WITH {FILE} SELECT 5::BIGINT AS n_traits, 64::BIGINT AS n_samples, 3::BIGINT AS n_tiles, 2::BIGINT AS traits_per_tile, count(*) AS n_variants, ceil(count(*) / 100)::BIGINT AS n_chunks FROM single")
+def chunk_manifest(spark, sf_dir):
+    m = chunked.read_manifest(spark, prepared(spark, sf_dir))
+    names = ("n_traits", "n_samples", "n_tiles", "traits_per_tile", "n_variants", "n_chunks")
+    return spark.createDataFrame([tuple(m[n] for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+@query("trait_tile_scan", "SELECT t::INTEGER AS trait, (t // 2)::INTEGER AS tile_id, 64 AS n, true AS same FROM range(5) r(t)")
+def trait_tile_scan(spark, sf_dir):
+    """Stored tiles, compared with rows made anew from the seed in the manifest."""
+    prep = prepared(spark, sf_dir)
+    anew = T.traits(spark, 5, SAMPLES, chunked.read_manifest(spark, prep)["seed"], 2).select("trait", F.col("w").alias("anew"))
+    return chunked.read_traits(spark, prep).join(anew, "trait").select("trait", "tile_id", F.size("w").alias("n"), (F.col("w") == F.col("anew")).alias("same"))
+
+
+@query("merged_vcf", f"WITH {FILE} SELECT rank AS place, pos, id, 5 AS n, true AS full FROM single")
+def merged_vcf(spark, sf_dir):
+    """Preprocess, simulate and merge, and the merged file read back: rows in order, values that span 0 to 2."""
+    prep, folder, out = prepared(spark, sf_dir), scratch(spark, "chunks"), scratch(spark, "merged") + ".vcf.gz"
+    chunked.simulate(spark, SimulateConfig(prep, folder))
+    chunked.merge(spark, MergeConfig(folder, out))
+    back, _ = vcf.read_vcf(spark, out)
+    full = (F.array_min("ds") == 0) & (F.array_max("ds") == 2)
+    return back.select((F.col("row_idx") - F.lit(4)).alias("place"), "pos", "id", F.size("ds").alias("n"), full.alias("full"))

@@ -88,15 +88,18 @@ def parse_lines(lines: DataFrame, n_samples: int | None = None, af: bool = True,
     )
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """row_idx, value of the data lines. One light pass counts the lines of each split; the splits, few, are ordered by
-    file and place, and a line's number is its split's offset plus its place in the split."""
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """row_idx, value of the data lines of a file, a folder or several files in the order given (by name within a
+    folder). One light pass counts the lines of each split; the splits, few, are ordered by file and place, and a line's
+    number is its split's offset plus its place in the split."""
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_seq")
     )
     per = lines.groupBy("_file", "_start").agg(F.count("*").alias("n"), F.min("_seq").alias("first"))
-    splits, at, rows = sorted((r["_file"], r["_start"], r["n"], r["first"]) for r in per.collect()), 0, []
-    for file, start, n, first in splits:
+    nth = {} if isinstance(path, str) else {p.rsplit("/", 1)[-1]: i for i, p in enumerate(path)}
+    place = lambda file: (nth.get(file.rsplit("/", 1)[-1], 0), file)
+    splits, at, rows = sorted((place(r["_file"]), r["_start"], r["n"], r["first"]) for r in per.collect()), 0, []
+    for (_, file), start, n, first in splits:
         rows.append((file, start, at - first))
         at += n
     offsets = spark.createDataFrame(rows, "_file string, _start long, _shift long")

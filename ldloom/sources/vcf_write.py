@@ -1,19 +1,23 @@
 """VCF text out: lines are made in Arrow batches, files are plain text or block gzip.
 
-Values have four decimals as C's printf gives them, which none of Spark's formatters does. A single ordered file is one
-stream by nature: tasks make (and compress) its parts, the driver only appends them, one part at a time, through the
-file system that the path belongs to. ``write_parts`` leaves the parts as they are.
+Values have four decimals as C's printf gives them, which none of Spark's formatters does. Rows are put in order before
+their values are made, so nothing is made twice. A single ordered file is one stream by nature: tasks make (and compress)
+its parts, the driver only appends them, one part at a time, through the file system that the path belongs to.
+``write_parts`` and ``write_files`` are written by the tasks alone: a folder whose parts in the order of their names are
+the file, and a file for every value of a column.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 # What the two packagings write.
 PROFILES = {"standard": ("T", "PASS"), "chunked": ("", ".")}
@@ -41,7 +45,7 @@ def bgzf(data: bytes, level: int = 6) -> bytes:
     return b"".join(out)
 
 
-def lines(df: DataFrame, profile: str = "standard") -> DataFrame:
+def lines(df: DataFrame, profile: str = "standard", schema: str = "row_idx long, line string") -> DataFrame:
     """row_idx, line of variants with ``dosages``."""
     status = PROFILES[profile][1]
 
@@ -52,22 +56,36 @@ def lines(df: DataFrame, profile: str = "standard") -> DataFrame:
                 text.append("\t".join([*map(str, key), ".", status, ".", "DS", *("%.4f" % v for v in values)]))
             yield pa.RecordBatch.from_arrays([batch.column("row_idx"), pa.array(text, pa.string())], names=["row_idx", "line"])
 
-    return df.select("row_idx", "chrom", "pos", "id", "ref", "alt", "dosages").mapInArrow(make, "row_idx long, line string")
+    return df.select("row_idx", "chrom", "pos", "id", "ref", "alt", "dosages").mapInArrow(make, schema)
 
 
-def parts(rows: DataFrame, compress: bool, level: int = 6) -> DataFrame:
-    """part, data: rows (row_idx, line), sorted in each part, parts in row order."""
-    ordered = rows.repartitionByRange("row_idx").sortWithinPartitions("row_idx").withColumn("part", F.spark_partition_id())
+def key_lines(df: DataFrame, key: str, profile: str) -> DataFrame:
+    """key, row_idx, line; the row_idx of ``lines`` carries the key through."""
+    both = df.withColumn("row_idx", F.struct(F.col(key).alias("k"), F.col("row_idx").alias("i")))
+    made = lines(both, profile, "row_idx struct<k:int,i:long>, line string")
+    return made.select(F.col("row_idx.k").alias(key), F.col("row_idx.i").alias("row_idx"), "line")
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """Rows sorted by row_idx in each partition, partitions in row order. Do this before values are made."""
+    return df.repartitionByRange("row_idx").sortWithinPartitions("row_idx")
+
+
+def parts(ordered: DataFrame, compress: bool, level: int = 6, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, data: the lines of rows in order, joined and packed, a block of one set of keys at a time."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                piece = batch.slice(at, 1000)
-                data = "".join(f"{x}\n" for x in piece.column("line").to_pylist()).encode()
-                first = piece.column("row_idx")[0].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([bgzf(data, level) if compress else data])], names=["first", "data"])
+            own = list(zip(*(batch.column(k).to_pylist() for k in keys))) if keys else [()] * batch.num_rows
+            ends = [i for i in range(1, len(own)) if own[i] != own[i - 1] or i % 1000 == 0] + [len(own)]
+            start = 0
+            for end in ends if own else ():
+                data = "".join(f"{x}\n" for x in batch.column("line").slice(start, end - start).to_pylist()).encode()
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, 1) for k in keys), pa.array([bgzf(data, level) if compress else data])], names=[*keys, "data"])
+                start = end
 
-    return ordered.mapInArrow(pack, "first long, data binary")
+    fields = [*(f for f in ordered.schema.fields if f.name in keys), StructField("data", BinaryType())]
+    return ordered.select(*keys, "line").mapInArrow(pack, StructType(sorted(fields, key=lambda f: [*keys, "data"].index(f.name))))
 
 
 def _stream(spark: SparkSession, path: str):
@@ -75,20 +93,70 @@ def _stream(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
 
 
-def write_vcf(df: DataFrame, path: str, n_traits: int, profile: str = "standard", compress: bool = False, source: str = SOURCE, level: int = 6) -> None:
-    """One ordered file. Block gzip if asked for or if the name ends in .gz."""
-    write_lines(lines(df, profile), path, header(n_traits, profile, source), compress or path.endswith(".gz"), level)
+def write_vcf(df: DataFrame, path: str, n_traits: int, profile: str = "standard", compress: bool = False, source: str = SOURCE, level: int = 6, ordered: bool = False) -> None:
+    """One ordered file. Block gzip if asked for or if the name ends in .gz. ``ordered``: df comes from in_order()."""
+    write_lines(lines(df if ordered else in_order(df), profile), path, header(n_traits, profile, source), compress or path.endswith(".gz"), level)
 
 
-def write_lines(rows: DataFrame, path: str, head: str, packed: bool, level: int = 6) -> None:
-    spark = rows.sparkSession
-    made = parts(rows, packed, level).sort("first")
-    out = _stream(spark, path)
+def write_lines(ordered: DataFrame, path: str, head: str, packed: bool, level: int = 6) -> None:
+    """``ordered``: row_idx, line in row order."""
+    out = _stream(ordered.sparkSession, path)
     try:
         out.write(bytearray(bgzf(head.encode(), level) if packed else head.encode()))
-        for r in made.toLocalIterator(prefetchPartitions=True):
+        for r in parts(ordered, packed, level).toLocalIterator(prefetchPartitions=True):
             out.write(bytearray(r["data"]))
         if packed:
             out.write(bytearray(BGZF_END))
     finally:
         out.close()
+
+
+def write_parts(df: DataFrame, folder: str, n_traits: int, profile: str = "standard", compress: bool = False, source: str = SOURCE) -> None:
+    """A folder of text parts (gzip if asked for), written by the tasks: joined in the order of their names they are the
+    file. read_vcf reads such a folder."""
+    head = [(i - (1 << 20), x) for i, x in enumerate(header(n_traits, profile, source).splitlines())]
+    rows = lines(in_order(df), profile)
+    first = df.sparkSession.createDataFrame(head, "row_idx long, line string").coalesce(1)
+    first.unionByName(rows).select("line").write.mode("overwrite").option("compression", "gzip" if compress else "none").text(folder)
+
+
+def write_files(df: DataFrame, folder: str, key: str, name, n_traits: int, profile: str = "chunked", compress: bool = False, source: str = SOURCE, level: int = 6) -> list[str]:
+    """A file name(value) in folder for every value of an integer column; their paths. One job, however many values.
+
+    ``df`` is partitioned by ``key`` and sorted by (key, row_idx). Plain files are written by the tasks, and the driver
+    gives them their names; block-gzip parts are made by the tasks and appended by the driver."""
+    spark, made = df.sparkSession, key_lines(df, key, profile)
+    if compress:
+        out, at, names = None, None, []
+        for r in parts(made, True, level, (key,)).toLocalIterator(prefetchPartitions=True):
+            if r[key] != at:
+                if out:
+                    out.write(bytearray(BGZF_END))
+                    out.close()
+                at = r[key]
+                names.append((at, f"{folder}/{name(at)}"))
+                out = _stream(spark, names[-1][1])
+                out.write(bytearray(bgzf(header(n_traits, profile, source).encode(), level)))
+            out.write(bytearray(r["data"]))
+        if out:
+            out.write(bytearray(BGZF_END))
+            out.close()
+        return [n for _, n in sorted(names)]
+    head = header(n_traits, profile, source)[:-1]
+    first = F.lag(key).over(Window.partitionBy(key).orderBy("row_idx")).isNull()  # the partitioning and order are there already
+    titled = made.select(key, F.when(first, F.concat(F.lit(f"{head}\n"), F.col("line"))).otherwise(F.col("line")).alias("line"))
+    rough = f"{folder}/_parts-{uuid.uuid4().hex}"
+    titled.write.partitionBy(key).text(rough)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system, names = path(rough).getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for status in system.listStatus(path(rough)):
+        own = status.getPath().getName()
+        if not own.startswith(f"{key}="):
+            continue
+        (file,) = [x.getPath() for x in system.listStatus(status.getPath()) if x.getPath().getName().startswith("part-")]
+        value = int(own.split("=")[1])
+        names.append((value, f"{folder}/{name(value)}"))
+        system.delete(path(names[-1][1]), False)
+        system.rename(file, path(names[-1][1]))
+    system.delete(path(rough), True)
+    return [n for _, n in sorted(names)]

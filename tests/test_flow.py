@@ -6,12 +6,12 @@ import numpy as np
 import pytest
 
 from ldloom import cli
-from ldloom.config import PreprocessConfig, SimulateConfig, StandardConfig, traits_per_tile
+from ldloom.config import MergeConfig, PreprocessConfig, SimulateConfig, StandardConfig, traits_per_tile
 from ldloom.functions import dosage as D
 from ldloom.operators import variants as V
 from ldloom.operators.simulate import gemm, scaled_rows
 from ldloom.operators.traits import trait_row
-from ldloom.plans.chunked import chunk_files, preprocess, read_chunks, read_traits
+from ldloom.plans.chunked import chunk_files, merge, preprocess, read_chunks, read_traits, simulate
 from ldloom.plans.standard import run_standard, standardized
 from ldloom.sources import vcf, vcf_write
 
@@ -20,7 +20,7 @@ ROWS = [
     ("rs5", "G", ".", "0,.,2,1"), ("dup1", "G", "AF=0.2", "0,1,0,1"), ("dup1", "C", "AF=0.3", "1,1,0,0"), ("dup2", "G", "AF=0.2", "0,1,0,1"),
     ("dup2", "G", "AF=0.01", "0,0,0,0"), (".", "G", "AF=0.2", "0,1,0,1"), (".", "G", "AF=0.4", "1,1,0,1"), ("rs12", "G", "AF=0.2", None),
     ("rs13", "G", "AF=0.25", "0,1,1,0"), ("rs13", "G", "AF=0.25", None), ("rs15", "G", "AF=.", "0,1,1,0"), ("rs16", "G,T", "AF=0.3,0.05", "0,1,0,1"),
-    ("rs17", "G", "AF=0.5", "1,1,1,1"),
+    ("rs17", "G", "AF=0.5", "1,1,1,1"), ("rs18", "G", "AF=0.3", "0,1,1,0"), ("rs18", "G", "AF=.", "0,1,1,0"),
 ]
 HEADER = '##fileformat=VCFv4.2\n##INFO=<ID=AF,Number=A,Type=Float,Description="f">\n##FORMAT=<ID=DS,Number=1,Type=Float,Description="d">\n'
 
@@ -40,6 +40,11 @@ def golden(tmp_path_factory):
     return str(path)
 
 
+def rare_only(folder):
+    (folder / "rare.vcf").write_text("".join(x + "\n" for x in golden_text().splitlines() if x.startswith("#") or "rs2\t" in x))
+    return str(folder / "rare.vcf")
+
+
 def kept_rows(df):
     return sorted(r["pos"] - 99 for r in df.select("pos").collect())
 
@@ -49,9 +54,9 @@ def test_golden_fates(spark, golden):
     assert names == ["S1", "S2", "S3", "S4"]
     d = V.derive_af(df)
     assert kept_rows(V.drop_nonunique_ids(d, 0.1)) == [1, 3, 4, 5, 8, 13, 15, 16, 17]
-    assert kept_rows(V.drop_nonunique_ids(d, 0.1, "chunked")) == [1, 3, 4, 5, 8, 16, 17]
-    assert V.pipeline_stats(d, 0.1).first()[0:3] == (17, 9, 4)
-    assert V.pipeline_stats(d, 0.1, "chunked").first()[0:3] == (17, 7, 7)
+    assert kept_rows(V.drop_nonunique_ids(d, 0.1, "chunked")) == [1, 3, 4, 5, 8, 16, 17, 18, 19]
+    assert V.pipeline_stats(d, 0.1).first()[0:3] == (19, 9, 6)
+    assert V.pipeline_stats(d, 0.1, "chunked").first()[0:3] == (19, 9, 7)
     af = {r["pos"] - 99: (r["af"], r["alt"]) for r in d.collect()}
     assert af[5][0] == 0.375 and af[3][0] == 0.1 and af[4][0] == 0.9 and af[16] == (0.3, "G") and np.isnan(af[15][0])
 
@@ -78,7 +83,7 @@ def test_sample_order_and_subset(spark, golden):
 
 def test_genotypes_on_request(spark, golden):
     rows = vcf.read_vcf(spark, golden, dosage_field="GT")[0].collect()
-    assert len(rows) == 17 and all(r["ds"] == [1, 1, 1, 1] for r in rows)
+    assert len(rows) == 19 and all(r["ds"] == [1, 1, 1, 1] for r in rows)
     cells = spark.createDataFrame([("0|0",), ("1/2",), ("./1",), ("1",)], "g string")
     assert [r[0] for r in cells.select(vcf.alternate_alleles(cells["g"])).collect()] == [0, 2, None, 1]
 
@@ -86,7 +91,7 @@ def test_genotypes_on_request(spark, golden):
 def test_malformed_lines(spark, tmp_path):
     (tmp_path / "bad.vcf").write_text(golden_text() + "1\tx\tbad\n")
     path = str(tmp_path / "bad.vcf")
-    assert vcf.read_vcf(spark, path, mode="DROPMALFORMED")[0].count() == 17
+    assert vcf.read_vcf(spark, path, mode="DROPMALFORMED")[0].count() == 19
     with pytest.raises(Exception, match="malformed"):
         vcf.read_vcf(spark, path)[0].collect()
     (tmp_path / "none.vcf").write_text("##x\n")
@@ -115,16 +120,67 @@ def test_chunked_run_equals_itself_for_any_chunk_size(spark, golden, tmp_path):
     for size in (2, 100):
         at = tmp_path / str(size)
         m = preprocess(spark, PreprocessConfig(golden, f"{at}/prep", maf=0.1, n_traits=4, chunk_size=size, traits_per_tile=3, seed=5))
-        assert (m["n_variants"], m["n_chunks"], m["n_tiles"]) == (7, -(-7 // size), 2)
+        assert (m["n_variants"], m["n_chunks"], m["n_tiles"]) == (9, -(-9 // size), 2)
         assert cli.main(["simulate", "-prep", f"{at}/prep", "-out", f"{at}/chunks", "-compress"], spark) == 0
         assert cli.main(["merge", "-in", f"{at}/chunks", "-out", f"{at}/all.vcf", "-no-compress"], spark) == 0
         merged.append((at / "all.vcf").read_text())
-    assert merged[0] == merged[1] and merged[0].count("\n") == 4 + 7
+    assert merged[0] == merged[1] and merged[0].count("\n") == 4 + 9
     stored = {r["trait"]: r["w"] for r in read_traits(spark, f"{tmp_path}/2/prep").collect()}
     assert all(stored[t] == trait_row(5, t, 4).tolist() for t in range(4))
     assert {r[0] for r in read_chunks(spark, f"{tmp_path}/2/prep", 1, 2).select("chunk_id").distinct().collect()} == {1, 2}
     assert cli.main(["simulate", "-prep", f"{tmp_path}/2/prep", "-out", f"{tmp_path}/part", "-start-chunk", "1", "-end-chunk", "1"], spark) == 0
     assert [p.rsplit("/", 1)[1] for p in chunk_files(spark, f"{tmp_path}/part")] == ["chunk_1.vcf"]
+    packed = gzip.open(f"{tmp_path}/2/chunks/chunk_1.vcf.gz", "rt").read()
+    assert packed == (tmp_path / "part/chunk_1.vcf").read_text() and packed.count("\n") == 4 + 2
+
+
+def test_many_chunks_take_no_more_jobs(spark, golden, tmp_path):
+    jobs = []
+    for size in (1, 3):
+        at = f"{tmp_path}/{size}"
+        preprocess(spark, PreprocessConfig(golden, f"{at}/prep", maf=0.1, n_traits=2, chunk_size=size, seed=1))
+        spark.sparkContext.setJobGroup(f"chunks of {size}", "")
+        assert len(simulate(spark, SimulateConfig(f"{at}/prep", f"{at}/out"))) == 9 // size
+        assert merge(spark, MergeConfig(f"{at}/out", f"{at}/all.vcf.gz")) == 9
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chunks of {size}")))
+        spark.sparkContext.setJobGroup("rest", "")
+    assert jobs[0] <= jobs[1] + 2
+    assert gzip.open(f"{tmp_path}/1/all.vcf.gz").read() == gzip.open(f"{tmp_path}/3/all.vcf.gz").read()
+
+
+def test_parts_in_the_order_of_their_names_are_the_file(spark, golden, tmp_path):
+    made = standardized(vcf.read_vcf(spark, golden)[0], 0.1).withColumnRenamed("z", "dosages")
+    vcf_write.write_vcf(made, str(tmp_path / "one.vcf"), 4)
+    vcf_write.write_parts(made, str(tmp_path / "parts"), 4)
+    joined = "".join(p.read_text() for p in sorted((tmp_path / "parts").glob("part-*")))
+    assert joined == (tmp_path / "one.vcf").read_text() and joined.count("\n") == 4 + 9
+    assert vcf.read_vcf(spark, str(tmp_path / "parts"))[0].count() == 9
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from ldloom.sources.store import shared_folder
+
+    context = SimpleNamespace(getConf=dict, getCheckpointDir=lambda: None, master="spark://somewhere:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context))
+
+
+def test_ranks_and_chunks_of_scattered_rows(spark):
+    rows = sorted({(i * i * 37) % 5003 for i in range(400)})
+    df = spark.createDataFrame([(r, [1.0]) for r in rows], "row_idx long, z array<double>").repartition(7)
+    for size in (1, 7, 1000):
+        got = {r["row_idx"]: (r["chunk_id"], r["row_in_chunk"]) for r in V.assign_chunks(df, size).collect()}
+        assert got == {r: divmod(i, size) for i, r in enumerate(rows)}
+    assert V.assign_chunks(df.where("row_idx < 0"), 5).count() == 0
+
+
+def test_no_variant_left_is_an_error_in_both_modes(spark, tmp_path):
+    with pytest.raises(ValueError, match="no variant"):
+        preprocess(spark, PreprocessConfig(rare_only(tmp_path), str(tmp_path / "p"), maf=0.2))
+    with pytest.raises(ValueError, match="no variant"):
+        run_standard(spark, StandardConfig(rare_only(tmp_path), str(tmp_path / "y.vcf"), maf=0.2))
 
 
 def test_chunk_files_orders(spark, tmp_path):
@@ -137,9 +193,9 @@ def test_chunk_files_orders(spark, tmp_path):
 def test_errors_are_reported(spark, golden, tmp_path, capsys):
     assert cli.main(["run", "-vcf", golden, "-out", str(tmp_path / "x.vcf"), "-maf", "0.7"], spark) == 1
     assert "Error:" in capsys.readouterr().err
-    (tmp_path / "rare.vcf").write_text("".join(x + "\n" for x in golden_text().splitlines() if x.startswith("#") or "rs2\t" in x))
-    with pytest.raises(ValueError):
-        run_standard(spark, StandardConfig(str(tmp_path / "rare.vcf"), str(tmp_path / "y.vcf"), maf=0.2))
+    assert cli.main(["run", "-vcf", str(tmp_path / "missing.vcf"), "-out", str(tmp_path / "x.vcf")], spark) == 1
+    assert cli.main(["merge", "-in", str(tmp_path / "missing"), "-out", str(tmp_path / "x.vcf")], spark) == 1
+    assert capsys.readouterr().err.count("Error:") == 2
     with pytest.raises(ValueError):
         SimulateConfig("a", "b") and PreprocessConfig("a", "b", n_traits=0)
 
