@@ -28,12 +28,11 @@ def preprocess(spark: SparkSession, cfg: PreprocessConfig) -> dict:
     with timed("traits"):
         traits(spark, cfg.n_traits, len(names), seed, tile).write.mode("overwrite").partitionBy("tile_id").parquet(f"{cfg.out}/traits")
     with timed("chunks"):
-        z = V.assign_chunks(stored(standardized(variants, cfg.maf, "chunked"), "standardized"), cfg.chunk_size)
-        z.write.mode("overwrite").partitionBy("chunk_id").parquet(f"{cfg.out}/chunks")
-    chunks = read_chunks(spark, cfg.out)
-    n = chunks.count()
-    if not n:
-        raise ValueError("no variant passed the filters")
+        z = stored(standardized(variants, cfg.maf, "chunked"), "standardized")
+        n = z.count()  # of a written table
+        if not n:
+            raise ValueError("no variant passed the filters")
+        V.assign_chunks(z, cfg.chunk_size).write.mode("overwrite").partitionBy("chunk_id").parquet(f"{cfg.out}/chunks")
     manifest = {"n_traits": cfg.n_traits, "n_samples": len(names), "n_tiles": -(-cfg.n_traits // tile), "traits_per_tile": tile, "n_variants": n, "n_chunks": -(-n // cfg.chunk_size), "seed": seed}
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{cfg.out}/manifest")
     return manifest
