@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,9 +33,12 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; a folder of our own only where none is set (tests)."""
+    """The cluster's shared folder, from spark.checkpoint.dir. Where none is set: a folder of our own on one machine (tests);
+    on a cluster that would be a different folder on each machine, so it raises."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder := tempfile.mkdtemp(prefix="ldloom-"))
     return folder
 

@@ -8,7 +8,7 @@ most ``BROADCAST_SOURCES`` of them (their number is read from the written table)
 
 Defined cases: a null or wordless text has size 0 and is taken 0 words (copies are still drawn); a null source is a
 source of its own, ordered last; a source without words has target 0 and gives no copies; a null id draws like any id;
-repeated rows draw alike; an empty table gives no rows. Other columns are kept; ``size``, ``source_size``, ``target``,
+repeated rows draw alike; an empty table gives no rows. Other columns are kept, whatever their names; ``size``, ``source_size``, ``target``,
 ``copies`` and ``taken`` replace columns so named.
 """
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, table
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 CAP = 3
@@ -49,7 +49,8 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     wanted = cut(targets(sized.select(source, "size"), source, cap), "targets")
     if wanted.count() <= BROADCAST_SOURCES:
         wanted = F.broadcast(wanted)
-    out = sized.join(wanted.withColumnRenamed(source, "_source"), sized[source].eqNullSafe(F.col("_source"))).drop("_source")
+    own = fresh(sized, "own_source")
+    out = sized.join(wanted.withColumnRenamed(source, own), sized[source].eqNullSafe(F.col(own))).drop(own)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
     copies = F.floor(rate) + F.when(drawn < rate - F.floor(rate), 1).otherwise(0)
@@ -58,7 +59,8 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """Each row ``copies`` times."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_copy")
+    nth = fresh(mixed, "nth")
+    return mixed.where("copies > 0").withColumn(nth, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop(nth)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

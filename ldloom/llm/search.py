@@ -2,8 +2,8 @@
 
 A dimension is a term, with the sign of the query's weight on it: of its posting list a shard knows the largest and the
 smallest value, which bound what the term can add. Per query, terms are sorted by bound; those whose bounds together
-stay below the k-th best score so far are non-essential. Essential terms are scored for a chunk of vectors at once; the
-others are probed only for vectors whose score plus the bounds that remain still reaches the k-th best. Each shard
+stay below the k-th best score so far are non-essential. Queries with the same essential terms are scored on these alone for a chunk of
+vectors at once (a product over those columns, the others aren't read); the others are probed only for vectors whose score plus the bounds that remain still reaches the k-th best. Each shard
 yields k rows a query, and a ranked window merges the shards.
 
 Vectors are packed into shards of ``SHARD`` rows and queries into blocks of ``QUERIES`` rows; every query block meets
@@ -35,6 +35,8 @@ SCALE = 1024
 PACKED = "dim int, n int, ids binary, values binary"
 FOUND = "query_id long, vec_id long, score long"
 LONG = 2**63 - 1
+#: Components beyond are taken as this, so that their multiples stay finite; scores of such vectors end at long's range anyway.
+LARGEST = 2.0**1000
 
 
 def bundle(size: int):
@@ -57,7 +59,7 @@ def bundle(size: int):
                     continue
                 ids, values = held.setdefault(len(v), ([], []))
                 ids.append(vec_id)
-                values.append(np.floor(v * SCALE))
+                values.append(np.floor(np.clip(v, -LARGEST, LARGEST) * SCALE))
                 if len(ids) >= size:
                     yield row(len(v))
         for dim in list(held):
@@ -75,6 +77,7 @@ class Best:
 
     def __init__(self, queries: int, k: int):
         self.k = k
+        self.touched = 0  # terms added to scores, of queries x vectors x dimensions
         self.score = np.full((queries, k), -np.inf)
         self.ids = np.full((queries, k), np.iinfo(np.int64).max)
 
@@ -87,6 +90,28 @@ class Best:
         self.score[q], self.ids[q] = s[top], i[top]
 
 
+def essential(mask: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(queries, their essential terms) for every distinct set of essential terms."""
+    kinds, of = np.unique(np.packbits(mask, axis=1), axis=0, return_inverse=True)
+    by_kind = np.argsort(of.ravel(), kind="stable")
+    for group in np.split(by_kind, np.cumsum(np.bincount(of.ravel(), minlength=len(kinds)))[:-1]):
+        yield group, np.flatnonzero(mask[group[0]])
+
+
+def probe(best: Best, i: int, q, c, c_ids, own, score, rest, floor, order, spare, bound) -> None:
+    """Add query i's non-essential terms to its candidates ``own``, the largest bounds first; what can't compete drops out."""
+    left = rest[i]
+    for term in order[i, : spare[i]][::-1].tolist():
+        keep = score + left >= floor[i]
+        own, score = own[keep], score[keep]
+        if not len(own):
+            return
+        score = score + q[i, term] * c[own, term]
+        best.touched += len(own)
+        left -= bound[i, term]
+    best.offer(i, c_ids[own], score)
+
+
 def maxscore(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int = K, chunk: int = CHUNK) -> Best:
     best = Best(len(q), k)
     high, low = v.max(0), v.min(0)
@@ -94,23 +119,20 @@ def maxscore(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k
     order = np.argsort(bound, axis=1, kind="stable")  # least first: non-essential terms are a prefix of it
     upto = np.cumsum(np.take_along_axis(bound, order, 1), 1)
     rank = np.argsort(order, axis=1)
+    columns = np.ascontiguousarray(v.T)  # a posting list a term
     for at in range(0, len(ids), chunk):
         c_ids, c = ids[at : at + chunk], v[at : at + chunk]
         floor = best.threshold()
         spare = (upto < floor[:, None]).sum(1)  # so many terms can't lift a vector over the k-th best by themselves
         rest = np.where(spare > 0, np.take_along_axis(upto, np.maximum(spare - 1, 0)[:, None], 1)[:, 0], 0.0)
-        part = (q * (rank >= spare[:, None])) @ c.T
-        alive = part + rest[:, None] >= floor[:, None]
-        alive &= q_ids[:, None] != c_ids[None, :]
-        for i in np.flatnonzero(alive.any(1)):
-            own = np.flatnonzero(alive[i])
-            score, left = part[i, own], rest[i]
-            for term in order[i, : spare[i]][::-1].tolist():  # probe the largest bounds first, drop what can't compete
-                keep = score + left >= floor[i]
-                own, score = own[keep], score[keep]
-                score = score + q[i, term] * c[own, term]
-                left -= bound[i, term]
-            best.offer(i, c_ids[own], score)
+        for group, terms in essential(rank >= spare[:, None]):
+            part = q[np.ix_(group, terms)] @ columns[terms, at : at + len(c)]
+            best.touched += part.size * len(terms)
+            alive = part + rest[group][:, None] >= floor[group][:, None]
+            alive &= q_ids[group][:, None] != c_ids[None, :]
+            for row in np.flatnonzero(alive.any(1)):
+                own = np.flatnonzero(alive[row])
+                probe(best, group[row], q, c, c_ids, own, part[row, own], rest, floor, order, spare, bound)
     return best
 
 

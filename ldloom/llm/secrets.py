@@ -90,9 +90,9 @@ def find_secrets(docs: DataFrame, repo=None, owner=None, example_owners: int = E
     """One row per document: uid, doc_id, tie (a hash of its text), spans array<struct<start,end,kind,n_owners,n_repos,live>> by start, then kind.
 
     Added candidates are spans only while they look live; base spans always stay."""
-    repo = F.concat_ws("/", "source", "lang") if repo is None else repo
+    repo = F.to_json(F.struct("source", "lang")) if repo is None else repo
     owner = F.col("source") if owner is None else owner
-    read = docs.select(F.col("doc_id").cast("long"), F.coalesce(repo, F.lit("")).alias("repo"), F.coalesce(owner, F.lit("")).alias("owner"), F.xxhash64("text").alias("tie"), "text")
+    read = docs.select(F.col("doc_id").cast("long"), repo.alias("repo"), owner.alias("owner"), F.xxhash64("text").alias("tie"), "text")
     seen = cut(read.mapInArrow(scan, SCANNED), "secrets")
     cands = seen.select("uid", "repo", "owner", F.explode("cands").alias("c")).select("uid", "repo", "owner", "c.*")
     judged = cands.join(ownership(cands), "h").withColumn("live", F.col("n_owners") < example_owners).where("kind < 3 OR live")

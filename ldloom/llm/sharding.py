@@ -12,7 +12,7 @@ when a shard is added.
 
 Defined cases: a null key is a key like any other; a null tie column too. Rows that share a key share a slot and are
 split over its parts by their tie columns, so a hot key is ranked in several tasks; rows equal in key and tie columns are
-interchangeable. An empty table gives no rows. Input columns are kept; ``shard`` and ``slot`` replace columns so named.
+interchangeable. An empty table gives no rows. Input columns are kept, whatever their names; ``shard`` and ``slot`` replace columns so named.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 SLOTS = 1 << 13
 PARTS = 8
@@ -78,20 +78,21 @@ def shard(df: DataFrame, key: str, tie: list[str], shards: int = SHARDS, virtual
     bins = (slot * PARTS + part).cast("int")
     counts = {r[0]: r[1] for r in df.groupBy(bins.alias("b")).count().collect()}  # SLOTS * PARTS rows at most
     plan = walk(counts, shards, virtual_nodes, slack)
-    names, kinds = ("_bin", "_from", "_to", "shard", "_base"), (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-    plan_df = spark.createDataFrame(pa.table([pa.array([r[i] for r in plan], t) for i, t in enumerate(kinds)], names=list(names)))
-    order = Window.partitionBy("_bin").orderBy(F.xxhash64(F.lit("rank"), F.col(key), *tie), F.col(key), *tie)
-    ranked = df.drop("shard", "slot").withColumn("_bin", bins).withColumn("_rank", F.row_number().over(order).cast("long") - 1)
-    p = F.broadcast(plan_df)
-    joined = ranked.join(p, (ranked["_bin"] == p["_bin"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    return joined.withColumn("slot", F.col("_base") + F.col("_rank") - F.col("_from")).drop(ranked["_bin"]).drop(p["_bin"]).drop("_rank", "_from", "_to", "_base")
+    kept = df.drop("shard", "slot")
+    b, rank, own, start, end, base = (fresh(kept, x) for x in ("bin", "rank", "own_bin", "start", "end", "base"))
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+    plan_df = F.broadcast(spark.createDataFrame(pa.table([pa.array([r[i] for r in plan], t) for i, t in enumerate(kinds)], names=[own, start, end, "shard", base])))
+    order = Window.partitionBy(b).orderBy(F.xxhash64(F.lit("rank"), F.col(key), *tie), F.col(key), *tie)
+    ranked = kept.withColumn(b, bins).withColumn(rank, F.row_number().over(order).cast("long") - 1)
+    joined = ranked.join(plan_df, (F.col(b) == F.col(own)) & (F.col(rank) >= F.col(start)) & (F.col(rank) < F.col(end)))
+    return joined.select(*kept.columns, "shard", (F.col(base) + F.col(rank) - F.col(start)).alias("slot"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards; law ``rows``: the counts of any two shards differ by one at most. Null text: no bytes."""
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "source", "lang", "n_chars"
+        "doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("tie")
     )
-    out = shard(docs, "doc_id", ["source", "lang", "n_chars"])
+    out = shard(docs, "doc_id", ["tie"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

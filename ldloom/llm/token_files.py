@@ -199,7 +199,7 @@ def read_bits(lengths: bytes):
 def write_token_files(docs: DataFrame, path: str, end_id: int = 0, spaced: bool = True, vocabulary: int = 50_257) -> tuple[DataFrame, bytes]:
     """(files, code lengths): all documents' ids in ascending order of doc_id."""
     read = docs.select(F.col("doc_id").cast("long"), "text")
-    volume = 2 * int(str(read._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the planner's estimate; text files are packed
+    volume = read.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-volume // RANGE_BYTES))
     tie = F.xxhash64("text")
     dealt = read.repartitionByRange(int(ranges), F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)

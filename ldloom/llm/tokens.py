@@ -2,12 +2,14 @@
 
 Both vocabularies split a text by a left-to-right pattern before anything else: at white space, and where a run of
 letters ends. A text's ids are therefore those of its segments in a row. Segments met before come from a bounded cache;
-texts with a character on which Python and the tokenizer could disagree (rare white space, special-token strings) are
-encoded whole by the library.
+texts with a character on which Python and the tokenizer could disagree (rare white space, special-token strings, a
+capital whose lower case isn't one character) are encoded whole by the library. The rules of a file are compared with the two
+below when it is loaded; with any other rules every text is encoded by the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import repeat
@@ -20,8 +22,24 @@ from .common import at_work, remembers
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Characters that only one of the two counts as white space, white space beyond ASCII, and special-token strings.
-_WHOLE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|<\|(?:start|end)oftext\|>"
+#: Characters that only one of the two counts as white space, white space beyond ASCII.
+_WHOLE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The one character whose lower case is two, the second a mark that joins what follows.
+_TWO_LOWER = "\u0130"
+# The rules (normalizer, split) that the segments below follow, by ``spaced``.
+_RULES = {
+    True: (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    False: (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    ),
+}
 _LETTERS = "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ]+(?=[\t-\r -@\\[-`{-~]|$)"
 #: A run of Latin letters that an ASCII character or the end closes, else all up to the next white space.
 _SPACED = re.compile(rf" ?{_LETTERS}| ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
@@ -75,6 +93,9 @@ class BatchEncoder:
         self.cache_entries = cache_entries
         self.short: dict[str, list[int]] = {}  # of pieces that aren't runs of letters
         self.tokenize = self.library.model.tokenize
+        file = json.loads(self.library.to_str())
+        self.by_segments = (file["normalizer"], file["pre_tokenizer"]) == _RULES[spaced] and not file["model"]["dropout"]
+        self.whole = "|".join([_WHOLE, *([] if spaced else [_TWO_LOWER]), *(re.escape(t["content"]) for t in file["added_tokens"])])
         self._clear()
 
     def _clear(self) -> None:
@@ -190,11 +211,13 @@ class BatchEncoder:
     def _way(self, texts: pa.Array) -> np.ndarray:
         """0: split by Arrow, 1: by the pattern in Python, 2: the library takes the whole text."""
         way = np.zeros(len(texts), np.int8)
+        if not self.by_segments:
+            return way + 2
         if self.spaced:  # white space beside white space, or at an end of the text
             way[pc.match_substring_regex(texts, r"^[\t-\r ]|[\t-\r ]$|[\t-\r ][\t-\r ]").to_numpy(zero_copy_only=False)] = 1
         else:
             way[pc.match_substring_regex(texts, r"[^\x{0}-\x{12f}\x{131}-\x{24f}]").to_numpy(zero_copy_only=False)] = 1
-        way[pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)] = 2
+        way[pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)] = 2
         return way
 
     def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
