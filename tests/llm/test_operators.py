@@ -202,6 +202,36 @@ def test_op2(spark, odd):
             assert (r["n_links"], r["component_id"], r["kept"]) == (n[r["vec_id"]], want[r["vec_id"]], want[r["vec_id"]] == r["vec_id"]), r
 
 
+def test_op2_thousands_of_links_in_cells_of_every_kind(spark, monkeypatch):
+    rng, vectors = np.random.default_rng(9), []
+    for label, centres in ((0, 400), (1, 30), (2, 1)):
+        for c in rng.standard_normal((centres, 64)):
+            vectors += [(c + 0.27 * rng.standard_normal(64), label) for _ in range(1200 // centres)]
+    data = np.array([v for v, _ in vectors], np.float32)
+    unit, label = data.astype(float), np.array([g for _, g in vectors])
+    unit /= np.sqrt((unit * unit).sum(1))[:, None]
+    near = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    assert near.sum() > 20_000
+    want = roots(range(len(data)), np.argwhere(near).tolist())
+    df = spark.createDataFrame([(i, data[i].tolist(), int(label[i])) for i in range(len(data))], "vec_id long, embedding array<float>, label int")
+    for bundle, part in ((1024, 8), (40, 2)):  # the second cuts along two axes and deals a cell's bundles out
+        monkeypatch.setattr(embedding_dedup, "BUNDLE", bundle)
+        monkeypatch.setattr(embedding_dedup, "PART", part)
+        got = {r["vec_id"]: r for r in embedding_dedup.near_vectors(df).collect()}
+        assert all((got[i]["n_links"], got[i]["component_id"]) == (near[i].sum(), want[i]) for i in range(len(data)))
+
+
+def test_op2_more_axes_leave_fewer_pairs():
+    rng = np.random.default_rng(11)
+    unit = embedding_dedup.units(rng.standard_normal((3000, 64)))[0]
+    share = []
+    for axes in (1, 3, 8):
+        cells = np.floor(embedding_dedup.rotated(unit, embedding_dedup.rotation(64)[:axes]) / np.sqrt(embedding_dedup.budgets(64, 0.93)[0])).astype(int)
+        share.append(np.mean([(np.abs(cells - c).max(1) <= 1).mean() for c in cells]))
+    assert share[0] > 0.6 and share[1] < 0.45 and share[2] < 0.1  # of pairs in cells that meet
+
+
 def without_repeats(texts, k=20):
     seen, out = set(), {}
     for i, t in sorted(texts.items()):
