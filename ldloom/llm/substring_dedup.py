@@ -45,6 +45,8 @@ _OTHER = np.uint64(0x2545F4914F6CDD1D)
 
 #: Rows of a key that meet its sum in one task.
 HOT = 4096
+#: So many hot keys, some bytes each, are sent to all tasks; more are joined like any table.
+BROADCAST_KEYS = 50_000
 #: Bytes of text that a bucket of documents is meant to hold.
 BUCKET_BYTES = 32 << 20
 
@@ -217,10 +219,15 @@ def keep_rest(k: int):
 
 
 def meet(rows: DataFrame, sums: DataFrame, keys: list[str], most: int = HOT) -> DataFrame:
-    """rows joined with the one row per key in ``sums``, which has n, the key's number of rows. Keys with more than
-    ``most`` rows are few beside all rows; theirs are dealt out by a salt, and the sum is repeated for each."""
+    """rows joined with the one row per key in ``sums``, a written table with n, the key's number of rows. Keys with more
+    than ``most`` rows are few beside all rows; theirs are dealt out by a salt, and the sum is repeated for each."""
     salts = F.ceil(F.col("n") / most).cast("int")
     many = sums.where(F.col("n") > most).select(*(F.col(c).alias(f"hot_{c}") for c in keys), salts.alias("salts"))
+    found = many.count()
+    if not found:
+        return rows.join(sums.drop("n"), keys)
+    if found <= BROADCAST_KEYS:
+        many = F.broadcast(many)
     on = [F.col(c) == F.col(f"hot_{c}") for c in keys]
     dealt = rows.join(many, on, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("did", "tie"), "salts").cast("int"), F.lit(0))).drop("salts", *(f"hot_{c}" for c in keys))
     return dealt.join(sums.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n"), [*keys, "salt"]).drop("salt")
@@ -308,9 +315,10 @@ def without_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     for t in (edges, spans):
         drop(t)
     seeds = cut(texts.join(gone, ["did", "tie"], "left").mapInArrow(emit_seeds(k), SEEDS), "seeds")
-    repeated = seeds.groupBy("m").agg(F.count("*").alias("n")).where("n > 1")
+    repeated = cut(seeds.groupBy("m").agg(F.count("*").alias("n")).where("n > 1"), "minimizers")
     wanted = cut(meet(seeds, repeated, ["m"]).groupBy("did", "tie").agg(F.collect_set("m").alias("ms")), "repeated-seeds")
-    drop(seeds)
+    for t in (seeds, repeated):
+        drop(t)
     windows = cut(texts.join(wanted.join(gone, ["did", "tie"], "left"), ["did", "tie"]).mapInArrow(emit_windows(k), EDGES), "windows")
     drop(wanted)
     short = later_spans(windows)

@@ -252,6 +252,22 @@ def test_op3(spark, odd):
     assert got == without_repeats(texts)
 
 
+def test_op3_hot_passages_and_branches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 16)  # keys with more rows are dealt out by a salt
+    hot, other, tail = prose(60), prose(50), prose(40)
+    texts = [f"{prose(15)} {hot} {prose(12)}" for _ in range(120)] + [f"{hot} {tail}", f"{prose(9)} {other} {tail}", f"{other} {hot} {tail}", tail, f"{tail} {tail}", "a b " * 60]
+    texts = write(str(tmp_path), texts)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows(spark, "op3_substring_dedup", str(tmp_path))}
+    assert got == without_repeats(texts)
+
+
+def test_op3_paths_end_at_branches(spark):
+    edges = [(0, 1, 2, 0), (1, 2, 3, 5), (2, 3, 4, 9), (3, 4, 5, 20), (4, 4, 6, 30), (5, 6, 7, 35)]  # node 4 has two edges out
+    df = spark.createDataFrame([(e, a, b, 5, (7, 0, pos)) for e, a, b, pos in edges], "edge long, a long, b long, size int, source struct<did:long,tie:long,pos:int>")
+    got = {r["edge"]: r["path"] for r in substring_dedup.without_branch(df).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4}
+
+
 def encoded(texts, name, end):
     from tokenizers import Tokenizer
 
