@@ -293,10 +293,11 @@ def verified(spans: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
 
 def by_document(read: DataFrame) -> tuple[DataFrame, str]:
-    """(the rows in a table bucketed by did and tie, its name): joins on these leave the texts where they are."""
+    """(the rows in a table bucketed by did and tie, its name): joins on these leave the texts where they are, since there are
+    at least as many buckets as shuffle partitions; with fewer, Spark would deal the texts out anew for each join."""
     spark = read.sparkSession
     volume = read.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = int(max(2 * spark.sparkContext.defaultParallelism, -(-volume // BUCKET_BYTES)))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, -(-volume // BUCKET_BYTES))
     name = f"texts_{uuid.uuid4().hex}"
     dealt = read.repartition(buckets, "did", "tie")
     dealt.write.bucketBy(buckets, "did", "tie").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
