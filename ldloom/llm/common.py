@@ -18,6 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 WRITE_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 #: Texts handled at once by a Python worker: bounds its memory, not the work.
 SLICE_BYTES = 4 << 20
+#: Bytes of a word hashed eight at a time together with other words.
+LONG_WORD = 512
+#: Masks of the first 0 to 8 bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,47 +105,44 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHashes(dict):
-    """64-bit hash of a word (bytes); remembers up to ``most`` words."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-_words = WordHashes()
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of a text; bytes.split() splits at just these bytes."""
-    return _words.of(text.split())
+def hashes_of_words(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word data[start : start + size] (bytes), eight bytes of all words at a time.
+
+    A step is a bijection of what it takes in, so words of one size that differ in their last eight bytes alone never meet. Words
+    over ``LONG_WORD`` bytes are hashed one by one."""
+    out = mix64(sizes.astype(np.uint64) + np.uint64(1))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    long = sizes > LONG_WORD
+    at, done = np.flatnonzero((sizes > 0) & ~long), 0
+    while len(at):
+        left = np.minimum(sizes[at] - done, 8)
+        piece = eight[starts[at] + done] & _FIRST[left]
+        out[at] = mix64((out[at] ^ piece) * np.uint64(0xD6E8FEB86659FD93))
+        done += 8
+        at = at[sizes[at] > done]
+    for i in np.flatnonzero(long).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : starts[i] + sizes[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def words_of_all(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts in a row, and where each text's begin and end. Each distinct word is hashed once; A-Z
-    count as a-z if ``lower``. Arrow's ASCII white space is the same six characters as the words' separators."""
+    """Word hashes of all texts in a row, and where each text's begin and end; A-Z count as a-z if ``lower``. Arrow's ASCII
+    white space is the same six characters as the words' separators ``[\\x20\\x09-\\x0D]``."""
     import pyarrow.compute as pc
 
     at_work("words")
     texts = texts.fill_null("")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     upto = lists.offsets.to_numpy().astype(np.int64)
-    coded = lists.values.slice(upto[0], upto[-1] - upto[0]).dictionary_encode()
-    names = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
-    at = coded.indices.to_numpy()
-    hashes = _words.of(names)[at]
-    full = np.array([len(n) > 0 for n in names], bool)[at]  # white space at an end of a text splits off an empty word
-    return hashes[full], np.concatenate([[0], np.cumsum(full)])[upto - upto[0]]
+    words = lists.values.slice(upto[0], upto[-1] - upto[0])
+    wide = np.int64 if pa.types.is_large_string(words.type) else np.int32
+    _, offsets, data = words.buffers()
+    bounds = np.frombuffer(offsets, wide)[words.offset : words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    data = np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]
+    full = np.diff(bounds) > 0  # white space at an end of a text splits off an empty word
+    hashes = hashes_of_words(data, (bounds[:-1] - bounds[0])[full], np.diff(bounds)[full])
+    return hashes, np.concatenate([[0], np.cumsum(full)])[upto - upto[0]]
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -185,9 +186,6 @@ def at_work(kind: str) -> None:
         pass
 
 
-remembers("words", _words.clear)
-
-
 def task_uid() -> Iterator[int]:
     """Numbers that no two tasks of a stage share and that a retried task repeats: partition id, then row."""
     from pyspark import TaskContext

@@ -155,3 +155,41 @@ def test_vectors_of_very_large_components(spark):
     df = spark.createDataFrame([(0, [1e308, 1.0]), (1, [1e308, 2.0]), (2, [-1e308, 1.0])], "vec_id long, embedding array<double>")
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in search.top_k(df, df["vec_id"] == 0).collect()]
     assert got == [(0, 1, 1), (0, 2, 2)]
+
+
+def test_words_are_hashed_as_they_are_split():
+    """Equal words have equal hashes and different ones don't, whatever their length and place in a batch."""
+    import pyarrow as pa
+
+    from ldloom.llm.common import LONG_WORD, words_of_all
+
+    words = ["a", "b", "ab", "ba", "A", "é", "\x00", "\x00\x00", "abcdefgh", "abcdefgi", "abcdefghi", *("x" * n for n in (LONG_WORD - 1, LONG_WORD, LONG_WORD + 1, 5000)), "y" * 5000]
+    texts = [None, "", " \t\n\x0b\x0c\r ", *words, *(f" {w}\t\n{w} " for w in words)]
+    for kind in (pa.string(), pa.large_string()):
+        for of in (pa.array(texts, kind), pa.array(["front", *texts], kind).slice(1)):
+            hashes, upto = words_of_all(of)
+            assert np.diff(upto).tolist() == [0, 0, 0, *[1] * len(words), *[2] * len(words)]
+            assert len(set(hashes.tolist())) == len(words)
+            assert hashes[len(words) :].tolist() == np.repeat(hashes[: len(words)], 2).tolist()
+    low = words_of_all(pa.array(["A É a"]), lower=True)[0]
+    assert low[0] == low[2] != low[1]
+
+
+def test_joins_leave_texts_where_they_are(spark):
+    """However many shuffle partitions there are, the bucketed texts aren't dealt out anew."""
+    from ldloom.llm.common import remove, shared_folder
+    from ldloom.llm.substring_dedup import by_document
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.shuffle.partitions", "67")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts, name = by_document(spark.createDataFrame([(i, i, 0, f"text {i}") for i in range(20)], "doc_id long, did long, tie long, text string"))
+        lists = spark.createDataFrame([(i, 0) for i in range(20)], "did long, tie long").groupBy("did", "tie").count()
+        plan = texts.join(lists, ["did", "tie"], "left")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1, plan
+        spark.sql(f"DROP TABLE {name}")
+        remove(spark, f"{shared_folder(spark)}/{name}")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
