@@ -59,13 +59,17 @@ def cut(df: DataFrame, name: str = "table", compression: str = "zstd") -> DataFr
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    delete_on_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ldloom_path = path
     return out
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that cut() wrote, once nothing reads it any more."""
     remove(df.sparkSession, df._ldloom_path)

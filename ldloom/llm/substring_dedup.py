@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, mix64, remove, shared_folder, slices, table, window_hashes, words_of_all
+from .common import cut, delete_on_exit, drop, mix64, remove, shared_folder, slices, table, window_hashes, words_of_all
 from .components import components
 
 K = 20
@@ -47,7 +47,7 @@ _OTHER = np.uint64(0x2545F4914F6CDD1D)
 HOT = 4096
 #: So many hot keys, some bytes each, are sent to all tasks; more are joined like any table.
 BROADCAST_KEYS = 50_000
-#: Bytes of text that a bucket of documents is meant to hold.
+#: Bytes of text that a bucket of documents is meant to hold; more where Spark allows no more buckets.
 BUCKET_BYTES = 32 << 20
 
 EDGES = "h long, g int, a long, b long, did long, tie long, pos int, size int"
@@ -297,10 +297,12 @@ def by_document(read: DataFrame) -> tuple[DataFrame, str]:
     at least as many buckets as shuffle partitions; with fewer, Spark would deal the texts out anew for each join."""
     spark = read.sparkSession
     volume = read.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, -(-volume // BUCKET_BYTES))
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    buckets = min(max(least, -(-volume // BUCKET_BYTES)), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     name = f"texts_{uuid.uuid4().hex}"
     dealt = read.repartition(buckets, "did", "tie")
-    dealt.write.bucketBy(buckets, "did", "tie").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    delete_on_exit(spark, path := f"{shared_folder(spark)}/{name}")
+    dealt.write.bucketBy(buckets, "did", "tie").option("compression", "zstd").option("path", path).saveAsTable(name)
     return spark.table(name), name
 
 
@@ -310,6 +312,14 @@ def without_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     own = F.col("doc_id").cast("long")
     read = docs.select(own.alias("doc_id"), F.coalesce(own, last).alias("did"), F.xxhash64("text").alias("tie"), "text")
     texts, name = by_document(read)
+    try:
+        return _without_repeats(texts, k)
+    finally:  # the result is a table of its own
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(docs.sparkSession, f"{shared_folder(docs.sparkSession)}/{name}")
+
+
+def _without_repeats(texts: DataFrame, k: int) -> DataFrame:
     edges = cut(texts.mapInArrow(emit_sampled(k), EDGES), "edges")
     spans = later_spans(edges)
     gone = verified(spans, texts, k)
@@ -330,8 +340,6 @@ def without_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     out = cut(texts.join(both, ["did", "tie"], "left").select("doc_id", "text", "starts", "lengths").mapInArrow(keep_rest(k), KEPT), "kept")
     for t in (gone, more):
         drop(t)
-    docs.sparkSession.sql(f"DROP TABLE {name}")
-    remove(docs.sparkSession, f"{shared_folder(docs.sparkSession)}/{name}")
     return out
 
 

@@ -193,3 +193,23 @@ def test_joins_leave_texts_where_they_are(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_buckets_of_texts_stay_under_sparks_limit(spark, tmp_path, monkeypatch):
+    """A corpus that would fill more buckets than Spark allows takes as many as it allows; a job that fails leaves no table."""
+    from ldloom.llm import substring_dedup
+    from ldloom.llm.common import shared_folder
+
+    docs = spark.createDataFrame([(i, f"text {i} " * 30) for i in range(12)], "doc_id long, text string")
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 1)
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "16")
+    try:
+        assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.without_repeats(docs).collect()} == {i: 58 for i in range(12)}
+        monkeypatch.setattr(substring_dedup, "later_spans", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            substring_dedup.without_repeats(docs)
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("texts_")]
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    assert not [s for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path) if s.getPath().getName().startswith("texts_")]
