@@ -54,7 +54,7 @@ def test_every_row_is_encoded_in_turn(spark, folder):
     assert [x[2] for x in ordered] == [None, None, 5, 5, 5, 6, 7, 8]
 
 
-@pytest.mark.parametrize("name", ["op5_mixing", "op6_sharding", "op8_secrets", "op9_toxicity", "op10_packing"])
+@pytest.mark.parametrize("name", ["op5_mixing", "op6_sharding", "op8_secrets", "op9_toxicity", "op10_packing", "op13_best_fit"])
 def test_every_row_has_its_result(spark, folder, name):
     assert [x[0] for x in found(spark, folder, name, "doc_id")] == sorted([r[0] for r in ROWS], key=str)
 
