@@ -10,7 +10,7 @@ A frame of variants has row_idx, chrom, pos, id, ref, alt, info_af (double; null
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import dosage as D
@@ -26,8 +26,8 @@ def project_samples(df: DataFrame, indices: list[int] | None) -> DataFrame:
 
 
 def derive_af(df: DataFrame) -> DataFrame:
-    """af: from INFO, else from the dosages, else null."""
-    return df.withColumn("af", F.coalesce("info_af", D.af_from_dosage(F.col("ds"))))
+    """af: from INFO, else from the dosages, else null. A reader may have made it already."""
+    return df if "af" in df.columns else df.withColumn("af", F.coalesce("info_af", D.af_from_dosage(F.col("ds"))))
 
 
 def passes_maf(maf: float, mode: str = "standard", af: str = "af") -> Column:
@@ -40,8 +40,13 @@ def maf_filter(df: DataFrame, maf: float, mode: str = "standard") -> DataFrame:
     return df.where(passes_maf(maf, mode))
 
 
+def dosages_there(df: DataFrame) -> Column:
+    """Whether a row has dosages; rows that were read without them say so in has_ds."""
+    return F.col("ds").isNotNull() if "ds" in df.columns else F.col("has_ds")
+
+
 def has_dosages(df: DataFrame) -> DataFrame:
-    return df.where("ds IS NOT NULL")
+    return df.where(dosages_there(df))
 
 
 def unique_ids(df: DataFrame) -> DataFrame:
@@ -61,21 +66,61 @@ def without_repeated_ids(df: DataFrame, counted: DataFrame) -> DataFrame:
     return df.join(repeated, df["id"].eqNullSafe(repeated["repeated_id"]), "left_anti")
 
 
-def drop_nonunique_ids(df: DataFrame, maf: float, mode: str = "standard") -> DataFrame:
+class Counters:
+    """What the three filters let through, counted while a plan runs: read it after the plan's result was written.
+
+    One use each: an observation belongs to one action."""
+
+    def __init__(self) -> None:
+        self.points = {name: Observation(name) for name in ("total", "passed", "single", "whole")}
+
+    def at(self, name: str, df: DataFrame) -> DataFrame:
+        return df.observe(self.points[name], F.count(F.lit(1)).alias("n"))
+
+    def get(self) -> dict[str, int]:
+        """total, filtered, duplicates, as pipeline_stats has them."""
+        n = {name: point.get["n"] for name, point in self.points.items()}
+        return {"total": n["total"], "filtered": n["whole"], "duplicates": n["passed"] - n["single"]}
+
+
+def drop_nonunique_ids(df: DataFrame, maf: float, mode: str = "standard", counters: Counters | None = None) -> DataFrame:
     """Variants that pass all filters. ``df`` has af; arrays are shuffled only if the planner can't broadcast the repeated ids."""
-    passed = maf_filter(df, maf)
+    seen = counters.at if counters else lambda _, rows: rows
+    through = (lambda rows: has_dosages(maf_filter(rows, maf))) if mode == "standard" else (lambda rows: maf_filter(rows, maf))
+    passed, counted = seen("passed", through(seen("total", df))), through(df)  # what is counted stands once in the plan
     if mode == "standard":
-        passed = has_dosages(passed)
-        return without_repeated_ids(passed, passed)
-    counted = passed.groupBy(F.col("id").alias("other_id")).agg(F.count_if(~F.isnan("af")).alias("n")).where("n != 1").select("other_id")
-    return has_dosages(passed.join(counted, passed["id"].eqNullSafe(counted["other_id"]), "left_anti"))
+        single = without_repeated_ids(passed, counted)
+    else:
+        other = counted.groupBy(F.col("id").alias("other_id")).agg(F.count_if(~F.isnan("af")).alias("n")).where("n != 1").select("other_id")
+        single = passed.join(other, passed["id"].eqNullSafe(other["other_id"]), "left_anti")
+    return seen("whole", has_dosages(seen("single", single)))
+
+
+#: Rows that one row of bits tells of, as bitmap_construct_agg makes them.
+BITS = 1 << 15
+#: Rows of bits, 4 KB each, that are sent to all tasks; more are joined like any table.
+BROADCAST_BITS = 1 << 14
+
+
+def bitmap(rows: DataFrame) -> DataFrame:
+    """bucket, bits: which values of row_idx there are, a bit each."""
+    return rows.groupBy(F.floor(F.col("row_idx") / BITS).cast("long").alias("bucket")).agg(F.bitmap_construct_agg(F.col("row_idx") % BITS).alias("bits"))
+
+
+def rows_in(df: DataFrame, bits: DataFrame) -> DataFrame:
+    """Rows of df whose row_idx is in a bitmap, a written table; df isn't shuffled while the bits are few."""
+    few = F.broadcast(bits) if bits.count() <= BROADCAST_BITS else bits
+    place = F.col("row_idx") % BITS
+    byte = F.conv(F.hex(F.expr(f"substring(bits, cast(row_idx % {BITS} as int) div 8 + 1, 1)")), 16, 10).cast("long")
+    met = df.withColumn("bucket", F.floor(F.col("row_idx") / BITS).cast("long")).join(few, "bucket")
+    return met.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*df.columns)
 
 
 def pipeline_stats(df: DataFrame, maf: float, mode: str = "standard") -> DataFrame:
     """One row: total, filtered, duplicates, as the two modes count them. ``df`` has af."""
-    keep = passes_maf(maf, mode) & (F.col("ds").isNotNull() if mode == "standard" else F.lit(True))
+    keep = passes_maf(maf, mode) & (dosages_there(df) if mode == "standard" else F.lit(True))
     nan = F.isnan("af") if mode == "chunked" else F.lit(False)
-    has = F.col("ds").isNotNull()
+    has = dosages_there(df)
     per = df.groupBy("id").agg(
         F.count("*").alias("rows"),
         F.count_if(keep).alias("kept"),

@@ -15,25 +15,24 @@ from ..operators import variants as V
 from ..operators.simulate import gemm
 from ..operators.traits import fresh_seed, traits
 from ..sources.store import stored
-from ..sources.vcf import numbered_lines, read_vcf
+from ..sources.vcf import numbered_lines
 from ..sources.vcf_write import in_order, write_files, write_lines
-from .standard import standardized, timed
+from .standard import passing, timed, with_z
 
 
 def preprocess(spark: SparkSession, cfg: PreprocessConfig) -> dict:
     """out/traits (tiles), out/chunks (standardized dosages), out/manifest; returns the manifest."""
-    variants, names = read_vcf(spark, cfg.vcf, cfg.samples)
+    variants, names, counts = passing(spark, cfg.vcf, cfg.samples, cfg.maf, "chunked")
+    if not (n := counts["filtered"]):
+        raise ValueError("no variant passed the filters")
     seed = fresh_seed() if cfg.seed is None else cfg.seed
     tile = traits_per_tile(cfg.n_traits, len(names), cfg.traits_per_tile)
     with timed("traits"):
         traits(spark, cfg.n_traits, len(names), seed, tile).write.mode("overwrite").partitionBy("tile_id").parquet(f"{cfg.out}/traits")
     with timed("chunks"):
-        z = stored(standardized(variants, cfg.maf, "chunked"), "standardized")
-        n = z.count()  # of a written table
-        if not n:
-            raise ValueError("no variant passed the filters")
+        z = stored(with_z(variants), "standardized")
         V.assign_chunks(z, cfg.chunk_size).write.mode("overwrite").partitionBy("chunk_id").parquet(f"{cfg.out}/chunks")
-    manifest = {"n_traits": cfg.n_traits, "n_samples": len(names), "n_tiles": -(-cfg.n_traits // tile), "traits_per_tile": tile, "n_variants": n, "n_chunks": -(-n // cfg.chunk_size), "seed": seed}
+    manifest = {"n_traits": cfg.n_traits, "n_samples": len(names), "n_tiles": -(-cfg.n_traits // tile), "traits_per_tile": tile, "n_variants": n, "n_chunks": -(-n // cfg.chunk_size), "seed": seed, "n_total": counts["total"], "n_duplicates": counts["duplicates"]}
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{cfg.out}/manifest")
     return manifest
 

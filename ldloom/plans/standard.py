@@ -7,6 +7,7 @@ import time
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import StandardConfig, traits_per_tile
 from ..functions import dosage as D
@@ -14,7 +15,7 @@ from ..operators import variants as V
 from ..operators.simulate import gemm
 from ..operators.traits import fresh_seed
 from ..sources.store import stored
-from ..sources.vcf import read_vcf
+from ..sources.vcf import VcfFile
 from ..sources.vcf_write import in_order, write_vcf
 
 log = logging.getLogger("ldloom")
@@ -27,20 +28,36 @@ def timed(what: str):
     log.info("%s: %.1f s", what, time.monotonic() - began)
 
 
+def passing(spark: SparkSession, path: str, samples: str, maf: float, mode: str = "standard") -> tuple[DataFrame, list[str], dict[str, int]]:
+    """(variants that pass all filters, sample names, what the filters counted).
+
+    A first pass reads ids, frequencies and whether a line has dosages, in a narrow table; what passes is kept as a bitmap of row numbers, and only these
+    lines' cells are decoded."""
+    file, counters = VcfFile(spark, path, samples), V.Counters()
+    heads = stored(file.heads().select("row_idx", "id", "af", "has_ds"), "heads")
+    bits = stored(V.bitmap(V.drop_nonunique_ids(heads, maf, mode, counters)), "passing")
+    counts = counters.get()
+    log.info("total %(total)d, filtered %(filtered)d, duplicates %(duplicates)d", counts)
+    return file.variants(V.rows_in(file.lines, bits)).drop("has_ds"), file.names, counts
+
+
+def with_z(kept: DataFrame) -> DataFrame:
+    """z in place of ds."""
+    return kept.withColumn("z", D.standardize(F.col("ds"))).drop("ds", "info_af")
+
+
 def standardized(variants: DataFrame, maf: float, mode: str = "standard") -> DataFrame:
     """Variants that pass, with z in place of ds."""
-    kept = V.drop_nonunique_ids(V.derive_af(variants), maf, mode)
-    return kept.withColumn("z", D.standardize(kept["ds"])).drop("ds", "info_af")
+    return with_z(V.drop_nonunique_ids(V.derive_af(variants), maf, mode))
 
 
 def run_standard(spark: SparkSession, cfg: StandardConfig) -> int:
     """Writes the synthetic dosages; the number of variants written. Raises if none passes."""
-    variants, names = read_vcf(spark, cfg.vcf, cfg.samples)
     seed = fresh_seed() if cfg.seed is None else cfg.seed
     with timed("filter and standardize"):
-        z = stored(standardized(variants, cfg.maf), "standardized")
-        n = z.count()  # of a written table
-    if not n:
+        variants, names, counts = passing(spark, cfg.vcf, cfg.samples, cfg.maf)
+        z = stored(with_z(variants), "standardized")
+    if not (n := counts["filtered"]):
         raise ValueError("no variant passed the filters")
     made = gemm(in_order(z), seed=seed, n_traits=cfg.n_traits, per_tile=min(cfg.n_traits, traits_per_tile(cfg.n_traits, len(names)), 2000))
     with timed("simulate and write"):

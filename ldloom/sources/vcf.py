@@ -1,25 +1,24 @@
-"""VCF text in: plain, gzip or block gzip (a sequence of gzip members, which Spark's text reader takes as they are).
+"""VCF text in: plain, gzip or block gzip.
 
-A file is read as lines; the header's last line gives the samples, header declarations say whether AF and DS may be used.
-Row order is line order: lines are numbered per file split, and only the counts of the splits are put in order.
+A file is read as lines; the header's last line gives the samples, header declarations say whether AF and DS may be used. Plain files are split by
+Spark's text reader, block gzip by ``splits``; a single gzip stream is one task. Row order is line order: lines are numbered per split, and only the counts of the
+splits are put in order. Lines become columns in ``decode``, once.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dosage as D
-from ..operators.variants import project_samples
+from . import splits
+from .decode import FIXED, VcfError, decode
 
-FIXED = 9
 RAW = "row_idx long, chrom string, pos int, id string, ref string, alt string, info_af double, ds array<float>"
-
-
-class VcfError(ValueError):
-    """The input isn't a VCF file this reader can use."""
+LINES = "_file string, _start long, _seq long, value string"
 
 
 def split_text(text: str, delimiter: str) -> list[str]:
@@ -28,13 +27,31 @@ def split_text(text: str, delimiter: str) -> list[str]:
     return parts[:-1] if parts and parts[-1] == "" else parts
 
 
+def header_lines(spark: SparkSession, path: str) -> list[str]:
+    """A file is read up to its first data line; a folder of parts is searched for lines that start with #."""
+    file = splits.opened(uri := splits.qualified(spark, path))
+    if file is None:
+        return [r[0] for r in spark.read.text(path).where(F.col("value").startswith("#")).toLocalIterator()]
+    file.close()
+    out = []
+    with pa.input_stream(splits.opened(uri), compression="gzip" if re.search(r"\.b?gz$", path) else None) as text:
+        rest = b""
+        while data := text.read(1 << 16):
+            *lines, rest = (rest + data).split(b"\n")
+            for line in lines:
+                if not line.startswith(b"#"):
+                    return out
+                out.append(line.decode().rstrip("\r"))
+    return out
+
+
 def read_header(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
-    """(sample names, header lines). Only lines that start with # leave the executors."""
-    lines = [r[0] for r in spark.read.text(path).where(F.col("value").startswith("#")).toLocalIterator()]
+    """(sample names, header lines)."""
+    lines = header_lines(spark, path)
     named = [x for x in lines if x.startswith("#CHROM")]
     if not named:
         raise VcfError(f"{path}: no #CHROM line")
-    samples = split_text(named[0].rstrip("\r"), "\t")[FIXED:]
+    samples = split_text(named[0], "\t")[FIXED:]
     if not samples:
         raise VcfError(f"{path}: no samples")
     return samples, lines
@@ -56,50 +73,73 @@ def is_float(lines: list[str], kind: str, name: str) -> bool:
     return any(re.match(rf"##{kind}=<(?=.*\bID={name}[,>])(?=.*\bType=Float[,>])", x) for x in lines)
 
 
-def alternate_alleles(genotype: Column) -> Column:
-    """How many alleles of a genotype (0/1, 1|1, ...) aren't the reference; null if one is missing."""
-    alleles = F.transform(F.split(genotype, "[/|]"), lambda a: a.try_cast("int"))
-    count = F.aggregate(alleles, F.lit(0), lambda n, a: n + F.when(a > 0, 1).when(a == 0, 0))
-    return count.cast("float")
-
-
 def parse_lines(lines: DataFrame, n_samples: int | None = None, af: bool = True, ds: bool = True, value: str = "value", dosage_field: str = "DS") -> DataFrame:
     """The raw columns of data lines; other columns of ``lines`` stay. A DS with several values gives its first. With
-    ``dosage_field="GT"`` dosages are counted from genotypes instead."""
-    f = F.split(value, "\t")
-    field = lambda i: F.get(f, F.lit(i))
-    place = F.array_position(F.split(field(8), ":"), dosage_field).cast("int") - 1
-    cells = F.slice(f, FIXED + 1, F.greatest(F.size(f) - FIXED, F.lit(0)) if n_samples is None else F.lit(n_samples))
-
-    def first_value(cell: Column, at: Column) -> Column:
-        whole = F.get(F.split(cell, ":"), at)
-        return alternate_alleles(whole) if dosage_field == "GT" else F.get(F.split(whole, ","), F.lit(0)).try_cast("float")
-
-    dosages = D.let(place, lambda at: F.when(at >= 0, F.transform(cells, lambda c: first_value(c, at))))
-    return lines.select(
-        *(c for c in lines.columns if c != value),
-        field(0).alias("chrom"),
-        field(1).try_cast("int").alias("pos"),
-        F.coalesce(field(2), F.lit(".")).alias("id"),
-        field(3).alias("ref"),
-        F.get(F.split(field(4), ","), F.lit(0)).alias("alt"),
-        (D.af_from_info(field(7)) if af else F.lit(None).cast("double")).alias("info_af"),
-        (dosages if ds else F.lit(None).cast("array<float>")).alias("ds"),
-    )
+    ``dosage_field="GT"`` dosages are counted from genotypes instead. A line with fewer fields has nulls for them."""
+    return decode(lines, n_samples, af=af, ds=ds, field=dosage_field, value=value)
+
+
+def _packed_lines(groups: list[list[tuple[str, int, int]]], count: bool):
+    """A partition's ranges of block-gzip files -> their lines, or how many they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, start, end in (r for i in batch.column("id").to_pylist() for r in groups[i]):
+                n = 0
+                for data in splits.whole_lines(uri, start, end):
+                    lines = splits.line_array(data)
+                    if not count:
+                        columns = [pa.array([uri] * len(lines)), pa.array([start] * len(lines)), pa.array(range(n, n + len(lines)), pa.int64()), lines]
+                        yield pa.RecordBatch.from_arrays(columns, names=["_file", "_start", "_seq", "value"])
+                    n += len(lines)
+                if count and n:
+                    yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([start]), pa.array([n], pa.int64()), pa.array([0], pa.int64())], names=["_file", "_start", "n", "first"])
+
+    return run
+
+
+def packed_lines(spark: SparkSession, files: list[str], count: bool = False) -> DataFrame:
+    """Lines of block-gzip files by byte range, a task for about ``SPLIT_BYTES`` of them."""
+    groups, held = [], splits.SPLIT_BYTES
+    for r in (r for f in files for r in splits.ranges(f, file_size(spark, f), splits.SPLIT_BYTES)):
+        if held >= splits.SPLIT_BYTES:
+            groups.append([])
+            held = 0
+        groups[-1].append(r)
+        held += r[2] - r[1]
+    schema = "_file string, _start long, n long, first long" if count else LINES
+    return spark.range(0, len(groups), 1, max(1, len(groups))).mapInArrow(_packed_lines(groups, count), schema)
+
+
+def file_size(spark: SparkSession, path: str) -> int:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).getLen()
+
+
+def located_lines(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(_file, _start, _seq, value of all lines; _file, _start, n, first of each split)."""
+    files = [path] if isinstance(path, str) else path
+    packed = [u for f in files if re.search(r"\.b?gz$", f) and splits.kind_of(u := splits.qualified(spark, f)) == "block"]
+    rest = [f for f in files if splits.qualified(spark, f) not in packed] if packed else files
+    lines = counts = None
+    if rest:
+        lines = spark.read.text(rest).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_seq"), "value")
+        counts = lines.groupBy("_file", "_start").agg(F.count("*").alias("n"), F.min("_seq").alias("first"))
+    if packed:
+        own, n = packed_lines(spark, packed), packed_lines(spark, packed, count=True)
+        lines, counts = (lines.unionByName(own), counts.unionByName(n)) if rest else (own, n)
+    return lines, counts
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """row_idx, value of the data lines of a file, a folder or several files in the order given (by name within a
     folder). One light pass counts the lines of each split; the splits, few, are ordered by file and place, and a line's
     number is its split's offset plus its place in the split."""
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_seq")
-    )
-    per = lines.groupBy("_file", "_start").agg(F.count("*").alias("n"), F.min("_seq").alias("first"))
+    lines, per = located_lines(spark, path)
     nth = {} if isinstance(path, str) else {p.rsplit("/", 1)[-1]: i for i, p in enumerate(path)}
     place = lambda file: (nth.get(file.rsplit("/", 1)[-1], 0), file)
-    splits, at, rows = sorted((place(r["_file"]), r["_start"], r["n"], r["first"]) for r in per.collect()), 0, []
-    for (_, file), start, n, first in splits:
+    found, at, rows = sorted((place(r["_file"]), r["_start"], r["n"], r["first"]) for r in per.collect()), 0, []
+    for (_, file), start, n, first in found:
         rows.append((file, start, at - first))
         at += n
     offsets = spark.createDataFrame(rows, "_file string, _start long, _shift long")
@@ -107,18 +147,26 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return data.join(F.broadcast(offsets), ["_file", "_start"]).select((F.col("_seq") + F.col("_shift")).alias("row_idx"), "value")
 
 
+class VcfFile:
+    """A VCF file with some of its samples chosen."""
+
+    def __init__(self, spark: SparkSession, path: str, samples: str = "", mode: str = "FAILFAST", dosage_field: str = "DS"):
+        header, head = read_header(spark, path)
+        self.chosen = resolve_samples(header, samples)
+        self.names, self.lines = [header[i] for i in self.chosen], numbered_lines(spark, path)
+        self.how = {"samples": len(header), "chosen": self.chosen, "af": is_float(head, "INFO", "AF"), "ds": dosage_field == "GT" or is_float(head, "FORMAT", dosage_field), "field": dosage_field, "mode": mode}
+
+    def variants(self, lines: DataFrame | None = None) -> DataFrame:
+        """row_idx, chrom, pos, id, ref, alt, info_af, af, has_ds, ds (missing ones 0) of all lines, or of some."""
+        return decode(self.lines if lines is None else lines, **self.how, impute=True, emit_af=True)
+
+    def heads(self) -> DataFrame:
+        """The same without ds: cells are read only where a frequency must be made from them."""
+        return decode(self.lines, **self.how, impute=True, emit_af=True, emit_ds=False)
+
+
 def read_vcf(spark: SparkSession, path: str, samples: str = "", mode: str = "FAILFAST", dosage_field: str = "DS") -> tuple[DataFrame, list[str]]:
     """(variants with the chosen samples' dosages, their names). ``mode``: FAILFAST raises on a line with a bad position
     or a wrong number of fields, DROPMALFORMED leaves it out."""
-    header, lines = read_header(spark, path)
-    chosen = resolve_samples(header, samples)
-    data = numbered_lines(spark, path)
-    fields = F.size(F.split("value", "\t"))
-    good = (fields == FIXED + len(header)) & F.get(F.split("value", "\t"), F.lit(1)).rlike("^[0-9]+$")
-    if mode == "DROPMALFORMED":
-        data = data.where(good)
-    else:
-        no_data = F.col("value").startswith("#") | (F.length("value") == 0)  # the planner may look at the value before it drops these
-        data = data.withColumn("value", F.when(good | no_data, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("malformed line: "), F.substring("value", 1, 80)))))
-    raw = parse_lines(data, len(header), is_float(lines, "INFO", "AF"), dosage_field == "GT" or is_float(lines, "FORMAT", dosage_field), dosage_field=dosage_field)
-    return project_samples(raw, chosen), [header[i] for i in chosen]
+    file = VcfFile(spark, path, samples, mode, dosage_field)
+    return file.variants(), file.names
