@@ -47,6 +47,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths of the tables that cut() wrote and nothing deleted yet, oldest first.
+_written: list[str] = []
+
+
 def cut(df: DataFrame, name: str = "table", compression: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: later jobs neither redo its lineage nor lose it with an executor."""
     spark = df.sparkSession
@@ -60,11 +64,24 @@ def cut(df: DataFrame, name: str = "table", compression: str = "zstd") -> DataFr
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     delete_on_exit(spark, path)
+    _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ldloom_path = path
     return out
 
 
+def written() -> int:
+    """How many tables stand now: a mark for sweep()."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Delete all tables written since a mark but this one: what operators left for a result that is itself a table now."""
+    for path in _written[mark:]:
+        if path != keep._ldloom_path:
+            remove(spark, path)
+
+
 def delete_on_exit(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
@@ -76,6 +93,8 @@ def drop(df: DataFrame) -> None:
 
 
 def remove(spark: SparkSession, path: str) -> None:
+    if path in _written:
+        _written.remove(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 

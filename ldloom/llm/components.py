@@ -15,9 +15,8 @@ from .common import cut, drop
 
 def _is_star_forest(edges: DataFrame) -> bool:
     """Whether each upper node has one edge and is no one's lower node."""
-    nodes = edges.groupBy(F.col("u").alias("n")).agg(F.count("*").alias("up"), F.lit(0).alias("down"))
-    lower = edges.groupBy(F.col("v").alias("n")).agg(F.lit(0).cast("long").alias("up"), F.lit(1).alias("down"))
-    both = nodes.unionByName(lower).groupBy("n").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    both = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
     return not both.where("up > 1 OR (up > 0 AND down > 0)").limit(1).count()
 
 
@@ -28,7 +27,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not _is_star_forest(kept):
         both = kept.unionByName(kept.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(least.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = cut(rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")

@@ -296,10 +296,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     by_leader = members.where("id != leader").groupBy("id", "leader").count()
     stars = by_leader.groupBy("id").agg(F.max(F.struct("count", F.negate("leader").alias("minus"))).alias("m")).select(F.negate("m.minus").alias("a"), F.col("id").alias("b"))
     star_links = cut(confirm(stars, texts, words, percent), "links")
-    near = cut(within_buckets(members, fine, components(star_links), percent, closest=True), "pairs")
-    more_links = cut(star_links.unionByName(confirm(near, texts, words, percent)), "links")
-    rest = cut(within_buckets(members, fine, components(more_links), percent, closest=False), "pairs")
-    links = cut(more_links.unionByName(confirm(rest, texts, words, percent)), "links")
+    # what is linked so far goes on as its components' stars, so each time only new links take rounds
+    as_links = lambda roots: roots.where("node != root").select(F.col("node").alias("b"), F.col("root").alias("a"))
+    star_roots = components(star_links)
+    near = cut(within_buckets(members, fine, star_roots, percent, closest=True), "pairs")
+    more_links = cut(as_links(star_roots).unionByName(confirm(near, texts, words, percent)), "links")
+    more_roots = components(more_links)
+    rest = cut(within_buckets(members, fine, more_roots, percent, closest=False), "pairs")
+    links = cut(as_links(more_roots).unionByName(confirm(rest, texts, words, percent)), "links")
     # documents that share an id are one: a row's set leads to its representative, an id leads to all its sets
     ids = reps.select("id", F.col("doc_id").alias("own"))
     linked = links.join(ids.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a").join(ids.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")

@@ -8,12 +8,14 @@ to 6 characters, numbered by their crc32, ranked by z, the standard errors by wh
 ``MAX_FEATURES`` are kept. A feature counts by z**SHARP / (z**SHARP + c**SHARP) with c = ``HALF_Z``, or the best z if
 that is less: of a large vocabulary's chance differences few count much, and however few the positives are, those
 features that tell them apart best count in half at least. Few positives can be learned by heart, and the correction
-then raises the bias; so the bias is the log odds of the prior, or of half the threshold, at most: a text without evidence isn't called toxic by it.
+then raises the bias; so the risk is minimised under a bound on it, the log odds of the prior or of half the threshold: each step ends
+inside the bound, and a text without evidence isn't called toxic.
 
-The fit reads a bounded sample: ``POSITIVES`` and ``UNLABELLED`` rows by the smallest hashes of their ids, and of either no
-more than ``SAMPLE_BYTES`` of feature numbers. Texts become feature numbers where they lie; one task learns from these and
-returns the weights, ``MAX_FEATURES`` at most, which go by name to the tasks that score every whole text in one pass, with no
-shuffle. ``MAX_FEATURES`` binds where a sample has more features with a difference; those left out have the least z.
+The fit reads a bounded sample of rows: ``POSITIVES`` and ``UNLABELLED`` by the smallest hashes of their ids, none of them left out for its length. Texts become
+feature numbers where they lie; Spark sums how many rows of either class have each feature, and only the best ``MAX_FEATURES`` by z go on. One task learns from these, two
+bytes for each that a row has, so it holds 400 MB at most whatever the texts' lengths, and returns the weights, which go by name to the tasks
+that score every whole text in one pass, with no shuffle. ``MAX_FEATURES`` binds where a sample has more features with a difference; those left out
+have the least z.
 
 Defined cases: a null or empty text scores by the bias alone; repeated rows score alike; texts of any length are scored
 whole; without a confirmed positive, or a feature that tells positives apart, every score is 0; a null id is hashed as an empty string; of several texts with
@@ -36,8 +38,8 @@ from .common import at_work, cut, drop, remembers, slices, table
 POSITIVES = 2500
 UNLABELLED = 7500
 MAX_FEATURES = 20_000
-#: Four bytes a feature: some 100 MB of text a class.
-SAMPLE_BYTES = 128 << 20
+#: Feature occurrences that a step of the fit handles at once.
+STEP_ENTRIES = 1 << 20
 HALF_Z, SHARP = 6.0, 8
 PREFIXES = (3, 4, 5, 6)
 STEPS = 200
@@ -101,14 +103,6 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def z_scores(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
-    """How many standard errors apart the rates a/n and b/m are."""
-    if not n or not m:
-        return np.zeros(len(a))
-    p = (a + b) / (n + m)
-    return (a / n - b / m) / np.sqrt(np.maximum(p * (1 - p) * (1 / n + 1 / m), 1e-24))
-
-
 def risk(g: np.ndarray, is_p: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
     """(positive part, negative part, slope of the part that counts) of the risk of the margins g.
 
@@ -121,36 +115,62 @@ def risk(g: np.ndarray, is_p: np.ndarray, prior: float) -> tuple[float, float, n
     return prior * np.logaddexp(0, -g[is_p]).sum() / n_p, negative, slope
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY, half_z: float = HALF_Z) -> tuple[dict[int, float], float]:
-    """(weights by feature number, bias) after full-batch Adam on the non-negative risk; rows of distinct feature numbers."""
-    docs = positive + unlabelled
-    lengths = [len(d) for d in docs]
-    names, flat = np.unique(np.concatenate([np.empty(0, np.uint32), *docs]), return_inverse=True)
-    row = np.repeat(np.arange(len(docs), dtype=np.int32), lengths)
-    is_p = np.arange(len(docs)) < len(positive)
-    among_p = np.bincount(flat[is_p[row]], minlength=len(names))
-    among_u = np.bincount(flat, minlength=len(names)) - among_p
-    z = np.abs(z_scores(among_p, len(positive), among_u, len(unlabelled)))
-    kept = np.flatnonzero(z > 0)
-    kept = kept[np.lexsort((names[kept], -z[kept]))][:MAX_FEATURES]
-    if not len(kept):
-        return {}, -np.inf
-    counts = 1 / (1 + (min(half_z, z.max()) / z[kept]) ** SHARP)
-    number = np.full(len(names), -1, np.int32)
-    number[kept] = np.arange(len(kept))
-    flat = number[flat]
-    row, flat = row[flat >= 0], flat[flat >= 0]
-    x = counts[flat]
-    w, m, v = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
-    w[-1] = most = np.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0
+class Rows:
+    """Which of the kept features each row has, as 16-bit numbers in a row; sums over them are made a few rows at a time."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        sizes = np.array([len(r) for r in rows], np.int64)
+        self.ends = np.cumsum(sizes)
+        self.flat = np.concatenate([np.empty(0, np.uint16), *rows]).astype(np.uint16, copy=False)
+        edges, at = [0], 0
+        for i, end in enumerate(self.ends.tolist()):
+            if end - at >= STEP_ENTRIES:
+                edges.append(i + 1)
+                at = end
+        self.parts = list(zip(edges, [*edges[1:], len(rows)]))
+
+    def _part(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        start = self.ends[first - 1] if first else 0
+        return self.flat[start : self.ends[last - 1]] if last > first else self.flat[:0], np.diff(self.ends[first:last], prepend=start)
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """Each row's sum of its features' weights."""
+        out = np.zeros(len(self.ends))
+        for first, last in self.parts:
+            own, sizes = self._part(first, last)
+            out[first:last] = np.bincount(np.repeat(np.arange(last - first), sizes), weights[own], last - first)
+        return out
+
+    def spread(self, values: np.ndarray, features: int) -> np.ndarray:
+        """Each feature's sum of its rows' values."""
+        out = np.zeros(features)
+        for first, last in self.parts:
+            own, sizes = self._part(first, last)
+            out += np.bincount(own, np.repeat(values[first:last], sizes), features)
+        return out
+
+
+def weight_of(z: np.ndarray, half_z: float = HALF_Z) -> np.ndarray:
+    """How much features count, by their z."""
+    return 1 / (1 + (min(half_z, z.max()) / z) ** SHARP)
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], counts: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> tuple[np.ndarray, float]:
+    """(weight of each feature, bias) after full-batch Adam on the non-negative risk. counts: how much each feature counts; rows: places in counts."""
+    rows, kept = Rows(positive + unlabelled), len(counts)
+    is_p = np.arange(len(rows.ends)) < len(positive)
+    w, m, v = np.zeros(kept + 1), np.zeros(kept + 1), np.zeros(kept + 1)
+    most = min(np.log(prior / (1 - prior)) if 0 < prior < 1 else 0.0, np.log(THRESHOLD / (2 - THRESHOLD)))
+    w[-1] = most
     for t in range(1, steps + 1):
-        slope = risk(np.bincount(row, x * w[flat], len(docs)) + w[-1], is_p, prior)[2]
-        grad = np.append(np.bincount(flat, x * slope[row], len(kept)), slope.sum())
+        slope = risk(rows.sums(counts * w[:-1]) + w[-1], is_p, prior)[2]
+        grad = np.append(counts * rows.spread(slope, kept), slope.sum())
         grad[:-1] += decay * w[:-1]
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return dict(zip(names[kept].tolist(), (counts * w[:-1]).tolist())), float(min(w[-1], most, np.log(THRESHOLD / (2 - THRESHOLD))))
+        w[-1] = min(w[-1], most)
+    return counts * w[:-1], float(w[-1])
 
 
 def held_out(doc_id="doc_id"):
@@ -165,20 +185,46 @@ def as_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("p", "turn", "doc_id")), found], names=["p", "turn", "doc_id", "features"])
 
 
-def learn(prior: float, most: int = SAMPLE_BYTES):
-    """Rows in the order of their turn -> (feature, weight); feature -1 is the bias."""
+def class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of feature numbers -> feature, rows of either class that have it, summed within a batch."""
+    for batch in batches:
+        is_p = batch.column("p").to_numpy()
+        rows = [np.frombuffer(x, np.uint32) for x in batch.column("features").to_pylist()]
+        names, at = np.unique(np.concatenate([np.empty(0, np.uint32), *rows]), return_inverse=True)
+        among_p = np.bincount(at[np.repeat(is_p, [len(r) for r in rows]) == 1], minlength=len(names))
+        columns = (names.astype(np.int64), among_p, np.bincount(at, minlength=len(names)) - among_p)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["feature", "n_p", "n_u"])
+
+
+def as_places(names: np.ndarray):
+    """Rows of feature numbers -> rows of places among the kept features."""
+    order = np.argsort(names)
+    ordered = names[order]
+
+    def places(value: bytes) -> bytes:
+        own = np.frombuffer(value, np.uint32)
+        at = np.minimum(np.searchsorted(ordered, own), len(names) - 1)
+        return order[at[ordered[at] == own]].astype(np.uint16).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([places(x) for x in batch.column("features").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("p", "turn", "doc_id")), found], names=["p", "turn", "doc_id", "places"])
+
+    return run
+
+
+def learn(names: np.ndarray, z: np.ndarray, prior: float):
+    """Rows in the order of their turn -> (feature, weight); feature -1 is the bias. names: the kept features, z theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_work("learning")
         rows: tuple[list, list] = ([], [])
-        held = [0, 0]
         for batch in batches:
-            for p, value in zip(batch.column("p").to_pylist(), batch.column("features").to_pylist()):
-                if held[p] + len(value) <= most or not held[p]:
-                    held[p] += len(value)
-                    rows[p].append(np.frombuffer(value, np.uint32))
-        weights, bias = fit(rows[1], rows[0], prior)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *weights], pa.int64()), pa.array([bias, *weights.values()], pa.float64())], names=["feature", "weight"])
+            for p, value in zip(batch.column("p").to_pylist(), batch.column("places").to_pylist()):
+                rows[p].append(np.frombuffer(value, np.uint16))
+        weights, bias = fit(rows[1], rows[0], weight_of(z), prior)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *names.tolist()], pa.int64()), pa.array([bias, *weights.tolist()], pa.float64())], names=["feature", "weight"])
 
     return run
 
@@ -196,6 +242,19 @@ def named(numbers: set[int]):
     return run
 
 
+def best_features(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, z) of the features whose rates among positives and unlabelled differ most, ``most`` of them. Counts are summed in Spark."""
+    n_p, n_u = rows.agg(F.count_if(F.col("p") == 1), F.count_if(F.col("p") == 0)).first()
+    if not n_p or not n_u:
+        return np.empty(0, np.uint32), np.empty(0)
+    each = rows.select("p", "features").mapInArrow(class_counts, "feature long, n_p long, n_u long").groupBy("feature").agg(F.sum("n_p").alias("a"), F.sum("n_u").alias("b"))
+    rate = (F.col("a") + F.col("b")) / F.lit(float(n_p + n_u))
+    error = F.sqrt(F.greatest(rate * (1 - rate) * F.lit(1 / n_p + 1 / n_u), F.lit(1e-24)))
+    z = F.abs((F.col("a") / F.lit(float(n_p)) - F.col("b") / F.lit(float(n_u))) / error)
+    found = each.withColumn("z", z).where("z > 0").orderBy(F.col("z").desc(), "feature").limit(most).select("feature", "z").collect()
+    return np.array([r[0] for r in found], np.uint32), np.array([r[1] for r in found])
+
+
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """From rows that aren't held out: confirmed toxic texts, and texts of unknown class."""
     known = labels.where(~held_out() & F.col("toxic").isNotNull())
@@ -207,9 +266,16 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     wanted = first(known.where("toxic = 1"), positives).withColumn("p", F.lit(1)).unionByName(first(docs.where(~held_out()), unlabelled).withColumn("p", F.lit(0)))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id")  # positives + unlabelled ids at most
     one = cut(texts.groupBy("p", "turn", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "sample")
-    rows = one.mapInArrow(as_features, "p int, turn long, doc_id long, features binary").repartition(1).sortWithinPartitions("turn", "doc_id")
-    got = dict(map(tuple, rows.mapInArrow(learn(toxic / n), "feature long, weight double").collect()))  # MAX_FEATURES + 1 rows at most
-    bias = got.pop(-1, -np.inf)
+    rows = cut(one.mapInArrow(as_features, "p int, turn long, doc_id long, features binary"), "features")
+    best = best_features(rows, MAX_FEATURES)
+    if not len(best[0]):
+        drop(one)
+        drop(rows)
+        return Model({}, -np.inf)
+    ordered = rows.mapInArrow(as_places(best[0]), "p int, turn long, doc_id long, places binary").repartition(1).sortWithinPartitions("turn", "doc_id")  # positives + unlabelled rows at most
+    got = dict(map(tuple, ordered.mapInArrow(learn(*best, toxic / n), "feature long, weight double").collect()))  # MAX_FEATURES + 1 rows at most
+    bias = got.pop(-1)
+    drop(rows)
     names = [r[0] for r in one.select("text").mapInArrow(named(set(got)), "name string").distinct().collect()]
     drop(one)
     return Model({f: got[zlib.crc32(f.encode())] for f in names}, bias)

@@ -213,3 +213,21 @@ def test_buckets_of_texts_stay_under_sparks_limit(spark, tmp_path, monkeypatch):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("texts_")]
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     assert not [s for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path) if s.getPath().getName().startswith("texts_")]
+
+
+def test_stages_leave_one_table(spark, tmp_path):
+    """While the pipeline runs, what earlier stages wrote goes; documents need no n_chars."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(90)}" for _ in range(60)) + (" password = hunter2hunter2" if i % 3 == 0 else "") for i in range(30)]
+    texts = [t + " vile foul nasty" * (i in (1, 11, 21)) for i, t in enumerate(texts)]
+    pq.write_table(pa.table({"doc_id": list(range(30)), "text": texts, "lang": ["en"] * 30, "source": ["a", "b", None] * 10}), f"{tmp_path}/documents.parquet")
+    pq.write_table(pa.table({"doc_id": list(range(30)), "toxic": pa.array([int(i in (1, 11, 21)) for i in range(30)], pa.int32())}), f"{tmp_path}/labels.parquet")
+    before = common.written()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in common._written[before:]]
+    assert out.count() > 0 and left == ["stage-mixing", "pieces"]
