@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ldloom.llm import minhash, mixing, packing, secrets, toxicity
-from ldloom.llm.common import cut, fresh, slices, table
+from ldloom.llm.common import cut, fresh, slices, sweep, table, written
 
 #: What stands in a text for a secret: one that looks live, one that is copied widely.
 LIVE, EXAMPLE = "<secret>", "<example-secret>"
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below the threshold stay as they are."""
+    """Documents scored below the threshold stay as they are, null and empty texts and repeated rows too: each row is scored by itself. Without a
+    confirmed toxic row all stay; an empty table stays empty."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     name = fresh(docs, "score")
     return toxicity.with_score(docs, model, name).where(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
@@ -57,22 +58,27 @@ def redact(name: str):
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; each secret found gives way to a mark that says whether it looked live."""
+    """All documents; each secret found gives way to a mark that says whether it looked live, and n_chars, if there is such a column, is counted anew. Null
+    texts stay null; repeated rows lose the same spans; an empty table stays empty."""
     own, tie, spans = fresh(docs, "own_id"), fresh(docs, "tie"), fresh(docs, "spans")
     found = secrets.find_secrets(docs).where("spans IS NOT NULL").dropDuplicates(["doc_id", "tie"])
     found = found.select(F.col("doc_id").alias(own), F.col("tie").alias(tie), F.col("spans").alias(spans))
     same = docs["doc_id"].eqNullSafe(F.col(own)) & (F.xxhash64(docs["text"]) == F.col(tie))
     marked = docs.join(found, same, "left").select(*docs.columns, spans).mapInArrow(redact(spans), docs.schema)
-    return marked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        marked = marked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    return marked.select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, its columns unchanged. A null source is a source; null texts have no words and are
+    drawn like any others; rows that repeat an id are taken equally often; an empty table stays empty."""
     row = F.struct(*docs.columns).alias("row")
     return mixing.repeated(mixing.mix(docs.select("doc_id", "text", "source", row))).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows, copies included, in sequences of 4096 ids; a null or empty text is its end id alone; an empty table gives no rows."""
     return packing.pack(docs, packing.tokenizer_file("word_bpe_49k.json"))
 
 
@@ -88,8 +94,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written and read again; what a stage wrote on its way goes when its result stands, and that when the next one's does."""
+    docs, start = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        sweep(spark, start, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
