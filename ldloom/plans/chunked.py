@@ -7,16 +7,20 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import MergeConfig, PreprocessConfig, SimulateConfig, traits_per_tile
 from ..operators import variants as V
-from ..operators.simulate import gemm
-from ..operators.traits import fresh_seed, traits
+from ..operators.blocked import blocked_product
+from ..operators.simulate import MATRIX_BYTES, gemm
+from ..operators.traits import SAMPLES, fresh_seed, traits, whole_rows
+from ..sources import splits
 from ..sources.store import stored
-from ..sources.vcf import numbered_lines
-from ..sources.vcf_write import in_order, write_files, write_lines
+from ..sources.vcf import header_lines, numbered_lines
+from ..sources.vcf_merge import merge_blocks
+from ..sources.vcf_write import ByteStream, in_order, write_files, write_lines
 from .standard import passing, timed, with_z
 
 
@@ -45,20 +49,35 @@ def read_chunks(spark: SparkSession, prep: str, start: int = -1, end: int = -1)
     return V.chunk_range(spark.read.parquet(f"{prep}/chunks"), start, end)
 
 
+def read_trait_blocks(spark: SparkSession, prep: str) -> DataFrame:
+    """trait, tile_id, block, w as preprocess wrote them. The seed in the manifest makes the same numbers."""
+    return spark.read.parquet(f"{prep}/traits").select("trait", "tile_id", "block", "w")
+
+
 def read_traits(spark: SparkSession, prep: str) -> DataFrame:
-    """trait, w, tile_id as preprocess wrote them. The seed in the manifest makes the same rows."""
-    return spark.read.parquet(f"{prep}/traits").select("trait", "tile_id", "w")
+    """trait, tile_id, w: whole rows."""
+    return whole_rows(read_trait_blocks(spark, prep))
+
+
+def product(z: DataFrame, matrix: DataFrame, n_traits: int, n_samples: int) -> DataFrame:
+    """Stored rows z times stored trait blocks: a matrix up to ``MATRIX_BYTES`` goes to all tasks, a larger one is multiplied in blocks."""
+    if 8 * n_traits * n_samples > MATRIX_BYTES:
+        return blocked_product(z, matrix, n_samples)
+    held = np.zeros((n_traits, n_samples))
+    for r in matrix.toLocalIterator():
+        held[r["trait"], r["block"] * SAMPLES : r["block"] * SAMPLES + len(r["w"])] = r["w"]
+    return gemm(z, held)
 
 
 def simulate(spark: SparkSession, cfg: SimulateConfig) -> list[str]:
-    """A file chunk_<id>.vcf[.gz] for every chunk in range; their paths. One job for all chunks; tasks make the trait tiles
-    anew from the seed."""
+    """A file chunk_<id>.vcf[.gz] for every chunk in range; their paths. One job for all chunks, from the stored trait tiles."""
     m = read_manifest(spark, cfg.prep)
-    chunks = read_chunks(spark, cfg.prep, cfg.start_chunk, cfg.end_chunk)
-    dealt = chunks.repartition("chunk_id").sortWithinPartitions("chunk_id", "row_idx")
-    made = gemm(dealt, seed=m["seed"], n_traits=m["n_traits"], per_tile=min(m["traits_per_tile"], 2000))
+    chunks, matrix = read_chunks(spark, cfg.prep, cfg.start_chunk, cfg.end_chunk), read_trait_blocks(spark, cfg.prep)
+    by_chunk = lambda rows: rows.repartition("chunk_id").sortWithinPartitions("chunk_id", "row_idx")
+    small = 8 * m["n_traits"] * m["n_samples"] <= MATRIX_BYTES  # then the narrower z is dealt out, else the products are
+    made = product(by_chunk(chunks) if small else chunks, matrix, m["n_traits"], m["n_samples"])
     with timed("simulate and write"):
-        return write_files(made, cfg.out, "chunk_id", lambda c: f"chunk_{c}.vcf{'.gz' if cfg.compress else ''}", m["n_traits"], "chunked", cfg.compress)
+        return write_files(made if small else by_chunk(made), cfg.out, "chunk_id", "chunk_{}.vcf" + ".gz" * cfg.compress, m["n_traits"], "chunked", cfg.compress)
 
 
 def chunk_files(spark: SparkSession, folder: str, order: str = "numeric") -> list[str]:
@@ -78,11 +97,17 @@ def merge_lines(files: DataFrame, order: list[str]) -> DataFrame:
 
 
 def merge(spark: SparkSession, cfg: MergeConfig) -> int:
-    """One file from all chunk files; the number of data lines. A file that can't be read raises."""
+    """One file from all chunk files; how many they are. Block-gzip files that become one are copied block by block. A file that can't be read raises."""
     files = chunk_files(spark, cfg.chunks, cfg.order)
-    heads = spark.read.text(files[0]).where(F.col("value").startswith("#")).toLocalIterator()
-    head = "".join(f"{r[0]}\n" for r in heads)
+    uris = [splits.qualified(spark, f) for f in files]
+    if cfg.compress and all(splits.kind_of(u) == "block" for u in uris):
+        out = ByteStream(spark, cfg.out)
+        try:
+            merge_blocks(uris, out)
+        finally:
+            out.close()
+        return len(files)
+    head = "".join(f"{x}\n" for x in header_lines(spark, files[0]))
     rows = numbered_lines(spark, files).select("row_idx", F.col("value").alias("line"))
-    n = rows.count()
     write_lines(in_order(rows), cfg.out, head, cfg.compress)
-    return n
+    return len(files)

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..config import StandardConfig, traits_per_tile
 from ..functions import dosage as D
 from ..operators import variants as V
-from ..operators.simulate import gemm
-from ..operators.traits import fresh_seed
+from ..operators.blocked import blocked_product
+from ..operators.simulate import MATRIX_BYTES, gemm
+from ..operators.traits import fresh_seed, traits
 from ..sources.store import stored
 from ..sources.vcf import VcfFile
 from ..sources.vcf_write import in_order, write_vcf
@@ -59,7 +60,11 @@ def run_standard(spark: SparkSession, cfg: StandardConfig) -> int:
         z = stored(with_z(variants), "standardized")
     if not (n := counts["filtered"]):
         raise ValueError("no variant passed the filters")
-    made = gemm(in_order(z), seed=seed, n_traits=cfg.n_traits, per_tile=min(cfg.n_traits, traits_per_tile(cfg.n_traits, len(names)), 2000))
+    if 8 * cfg.n_traits * len(names) <= MATRIX_BYTES:
+        made = gemm(in_order(z), seed=seed, n_traits=cfg.n_traits, per_tile=min(cfg.n_traits, 2000))
+    else:  # no task makes a tile anew for each of its rows
+        tile = traits_per_tile(cfg.n_traits, len(names))
+        made = in_order(blocked_product(z, traits(spark, cfg.n_traits, len(names), seed, tile), len(names)))
     with timed("simulate and write"):
         write_vcf(made, cfg.out, cfg.n_traits, "standard", cfg.compress, ordered=True)
     return n

@@ -18,6 +18,7 @@ from .operators import longform as L
 from .operators import simulate as S
 from .operators import traits as T
 from .operators import variants as V
+from .operators.blocked import blocked_product
 from .plans import chunked
 from .sources import vcf, vcf_write
 from .sources.store import scratch, stored
@@ -358,11 +359,23 @@ def simulate_long(spark, sf_dir):
     return L.scale(y).select("variant", F.col("trait").cast("long").alias("trait"), D.round6(F.col("dosage")).alias("dosage"))
 
 
-@query("trait_matrix_stats", "SELECT t::INTEGER AS trait, (t // 10)::INTEGER AS tile_id, 4096 AS n, true AS centred, true AS unit FROM range(32) r(t)")
+def generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trait for each part, with a sample for each supplier, in blocks that are made one by one."""
+    n = load(spark, sf_dir, "supplier").count()
+    return T.traits(spark, load(spark, sf_dir, "part").count(), n, seed=7, per_tile=10)
+
+
+@query(
+    "trait_matrix_stats",
+    """WITH s AS (SELECT count(*) AS n FROM supplier), p AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS trait FROM part)
+SELECT trait::INTEGER AS trait, (trait // 10)::INTEGER AS tile_id, n AS n, true AS centred, true AS unit FROM p, s""",
+)
 def trait_matrix_stats(spark, sf_dir):
-    """Moments of standard normal rows, within 5 standard errors: 1/64 for the mean, about that over sqrt(2) for the spread."""
-    rows = T.traits(spark, 32, 4096, seed=7, per_tile=10).withColumn("m", D.moments(F.col("w")))
-    return rows.select("trait", "tile_id", F.size("w").alias("n"), (F.abs("m.mean") < 5 / 64).alias("centred"), (F.abs(F.col("m.sd") - 1) < 5 / 64 / 2**0.5).alias("unit"))
+    """Moments of standard normal rows, within 6 standard errors: 1 / sqrt(n) for the mean, n - 1 degrees of freedom for the squares."""
+    rows = T.whole_rows(generated(spark, sf_dir)).withColumn("m", D.moments(F.col("w"))).withColumn("n", F.size("w").cast("long"))
+    square = F.col("m.sd") * F.col("m.sd")
+    within = F.abs(square - 1) * F.sqrt(F.col("n") / 2) < 6 + 12 / F.sqrt("n")  # the squares' tail is longer in few samples
+    return rows.select("trait", "tile_id", "n", (F.abs("m.mean") * F.sqrt("n") < 6).alias("centred"), within.alias("unit"))
 
 
 # --- order, chunks, merging ---------------------------------------------------------------------------------------
@@ -500,12 +513,14 @@ def chunk_manifest(spark, sf_dir):
     return spark.createDataFrame([tuple(m[n] for n in names)], ", ".join(f"{n} long" for n in names))
 
 
-@query("trait_tile_scan", "SELECT t::INTEGER AS trait, (t // 2)::INTEGER AS tile_id, 64 AS n, true AS same FROM range(5) r(t)")
+@query("trait_tile_scan", f"WITH {KEPT}{MOMENTS}, w AS (SELECT vec_id::BIGINT AS trait, list_transform(embedding, lambda x: x::DOUBLE * 8.0::DOUBLE) AS w FROM embeddings WHERE vec_id < 8) SELECT row_idx, trait, {r6('list_dot_product(z, w) / len(z)')} AS y FROM z, w")
 def trait_tile_scan(spark, sf_dir):
-    """Stored tiles, compared with rows made anew from the seed in the manifest."""
-    prep = prepared(spark, sf_dir)
-    anew = T.traits(spark, 5, SAMPLES, chunked.read_manifest(spark, prep)["seed"], 2).select("trait", F.col("w").alias("anew"))
-    return chunked.read_traits(spark, prep).join(anew, "trait").select("trait", "tile_id", F.size("w").alias("n"), (F.col("w") == F.col("anew")).alias("same"))
+    """Stored tiles read back in blocks of 16 samples and multiplied with rows of the table, block by block."""
+    tiles, rows = scratch(spark, "tiles"), stored(kept(spark, sf_dir).withColumn("z", D.standardize(F.col("ds"))).select("row_idx", "z"), "z")
+    cut = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: F.slice("w", b * 16 + 1, F.lit(16)))
+    weights(spark, sf_dir).select("trait", F.floor(F.col("trait") / 3).cast("int").alias("tile_id"), F.posexplode(cut).alias("block", "w")).write.partitionBy("tile_id").parquet(f"{tiles}/traits")
+    made = blocked_product(rows, chunked.read_trait_blocks(spark, tiles), SAMPLES, scale=False, rows=50, traits=3, width=16, cell=2)
+    return spread(made, F.col("dosages"), "trait", "y")
 
 
 @query("merged_vcf", f"WITH {FILE} SELECT rank AS place, pos, id, 5 AS n, true AS full FROM single")

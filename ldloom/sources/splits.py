@@ -31,17 +31,26 @@ def qualified(spark: SparkSession, path: str) -> str:
     return f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
-def opened(uri: str):
-    """The file for reading at any place, or None if Arrow has no file system for it."""
+def system_of(uri: str):
+    """(file system, path in it), or None if Arrow has none for it."""
     from pyarrow import fs
 
     try:
-        system, path = fs.FileSystem.from_uri(uri)
-        return system.open_input_file(path)
+        return fs.FileSystem.from_uri(uri)
     except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
         return None
 
 
+def opened(uri: str):
+    """The file for reading at any place, or None if Arrow can't open it."""
+    if (there := system_of(uri)) is None:
+        return None
+    try:
+        return there[0].open_input_file(there[1])
+    except OSError:
+        return None
+
+
 def block_size(data: bytes, at: int = 0) -> int:
     """The size that a block's header tells; 0 if no such header is here."""
     if data[at : at + 4] != MAGIC or len(data) < at + 12:
@@ -83,14 +92,18 @@ def blocks(file, at: int, size: int) -> Iterator[tuple[int, bytes]]:
             return
         if not n or len(data) < n:
             raise OSError(f"a block of the file is cut off or damaged at byte {at}")
-        header = 12 + struct.unpack_from("<H", data, 10)[0]
-        text = zlib.decompress(data[header : n - 8], -15)
-        if struct.unpack_from("<II", data, n - 8) != (zlib.crc32(text), len(text)):
-            raise OSError(f"a block of the file is damaged at byte {at}")
-        yield at, text
+        yield at, unpacked(data[:n], at)
         at, data = at + n, data[n:]
 
 
+def unpacked(block: bytes, at: int = 0) -> bytes:
+    header = 12 + struct.unpack_from("<H", block, 10)[0]
+    text = zlib.decompress(block[header:-8], -15)
+    if struct.unpack_from("<II", block, len(block) - 8) != (zlib.crc32(text), len(text)):
+        raise OSError(f"a block of the file is damaged at byte {at}")
+    return text
+
+
 def whole_lines(uri: str, start: int, end: int) -> Iterator[bytes]:
     """The lines of a range, some at once, each with its line end (the file's last line may have none)."""
     file = opened(uri)

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
 # What the two packagings write.
 PROFILES = {"standard": ("T", "PASS"), "chunked": ("", ".")}
@@ -45,16 +44,17 @@ def bgzf(data: bytes, level: int = 6) -> bytes:
     return b"".join(out)
 
 
+def line_texts(batch: pa.RecordBatch, status: str) -> list[str]:
+    return ["\t".join([*map(str, key), ".", status, ".", "DS", *("%.4f" % v for v in values)]) for *key, values in zip(*(batch.column(c).to_pylist() for c in ("chrom", "pos", "id", "ref", "alt", "dosages")))]
+
+
 def lines(df: DataFrame, profile: str = "standard", schema: str = "row_idx long, line string") -> DataFrame:
     """row_idx, line of variants with ``dosages``."""
     status = PROFILES[profile][1]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = []
-            for *key, values in zip(*(batch.column(c).to_pylist() for c in ("chrom", "pos", "id", "ref", "alt", "dosages"))):
-                text.append("\t".join([*map(str, key), ".", status, ".", "DS", *("%.4f" % v for v in values)]))
-            yield pa.RecordBatch.from_arrays([batch.column("row_idx"), pa.array(text, pa.string())], names=["row_idx", "line"])
+            yield pa.RecordBatch.from_arrays([batch.column("row_idx"), pa.array(line_texts(batch, status), pa.string())], names=["row_idx", "line"])
 
     return df.select("row_idx", "chrom", "pos", "id", "ref", "alt", "dosages").mapInArrow(make, schema)
 
@@ -71,26 +71,43 @@ def in_order(df: DataFrame) -> DataFrame:
     return df.repartitionByRange("row_idx").sortWithinPartitions("row_idx")
 
 
-def parts(ordered: DataFrame, compress: bool, level: int = 6, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, data: the lines of rows in order, joined and packed, a block of one set of keys at a time."""
+def parts(ordered: DataFrame, compress: bool, level: int = 6) -> DataFrame:
+    """data: the lines of rows in order, joined and packed, some at a time."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = list(zip(*(batch.column(k).to_pylist() for k in keys))) if keys else [()] * batch.num_rows
-            ends = [i for i in range(1, len(own)) if own[i] != own[i - 1] or i % 1000 == 0] + [len(own)]
-            start = 0
-            for end in ends if own else ():
-                data = "".join(f"{x}\n" for x in batch.column("line").slice(start, end - start).to_pylist()).encode()
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, 1) for k in keys), pa.array([bgzf(data, level) if compress else data])], names=[*keys, "data"])
-                start = end
+            for at in range(0, batch.num_rows, 1000):
+                data = "".join(f"{x}\n" for x in batch.column("line").slice(at, 1000).to_pylist()).encode()
+                yield pa.RecordBatch.from_arrays([pa.array([bgzf(data, level) if compress else data])], names=["data"])
+
+    return ordered.select("line").mapInArrow(pack, "data binary")
+
 
-    fields = [*(f for f in ordered.schema.fields if f.name in keys), StructField("data", BinaryType())]
-    return ordered.select(*keys, "line").mapInArrow(pack, StructType(sorted(fields, key=lambda f: [*keys, "data"].index(f.name))))
+class ByteStream:
+    """A new file in whatever file system its path belongs to."""
 
+    def __init__(self, spark: SparkSession, path: str):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+        self.held, self.size = [], 0
 
-def _stream(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    def write(self, data: bytes) -> None:
+        """Some megabytes at a time go to the file."""
+        self.held.append(data)
+        self.size += len(data)
+        if self.size >= 1 << 22:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            self.out.write(bytearray(b"".join(self.held)))
+        self.held, self.size = [], 0
+
+    def close(self) -> None:
+        try:
+            self.flush()
+        finally:
+            self.out.close()
 
 
 def write_vcf(df: DataFrame, path: str, n_traits: int, profile: str = "standard", compress: bool = False, source: str = SOURCE, level: int = 6, ordered: bool = False) -> None:
@@ -100,13 +117,13 @@ def write_vcf(df: DataFrame, path: str, n_traits: int, profile: str = "standard"
 
 def write_lines(ordered: DataFrame, path: str, head: str, packed: bool, level: int = 6) -> None:
     """``ordered``: row_idx, line in row order."""
-    out = _stream(ordered.sparkSession, path)
+    out = ByteStream(ordered.sparkSession, path)
     try:
-        out.write(bytearray(bgzf(head.encode(), level) if packed else head.encode()))
+        out.write(bgzf(head.encode(), level) if packed else head.encode())
         for r in parts(ordered, packed, level).toLocalIterator(prefetchPartitions=True):
-            out.write(bytearray(r["data"]))
+            out.write(bytes(r["data"]))
         if packed:
-            out.write(bytearray(BGZF_END))
+            out.write(BGZF_END)
     finally:
         out.close()
 
@@ -120,43 +137,29 @@ def write_parts(df: DataFrame, folder: str, n_traits: int, profile: str = "stand
     first.unionByName(rows).select("line").write.mode("overwrite").option("compression", "gzip" if compress else "none").text(folder)
 
 
-def write_files(df: DataFrame, folder: str, key: str, name, n_traits: int, profile: str = "chunked", compress: bool = False, source: str = SOURCE, level: int = 6) -> list[str]:
-    """A file name(value) in folder for every value of an integer column; their paths. One job, however many values.
+def write_files(df: DataFrame, folder: str, key: str, names: str, n_traits: int, profile: str = "chunked", compress: bool = False, source: str = SOURCE, level: int = 6) -> list[str]:
+    """A file in folder for every value of an integer column, named by ``names`` with the value for {}; their paths. One job, however many values.
+
+    ``df`` is partitioned by ``key`` and sorted by (key, row_idx). The tasks write the files and the driver renames them (``vcf_sink``). In file systems
+    that Arrow doesn't reach, Spark's text writer takes its place, for plain files only."""
+    from . import splits, vcf_sink
 
-    ``df`` is partitioned by ``key`` and sorted by (key, row_idx). Plain files are written by the tasks, and the driver
-    gives them their names; block-gzip parts are made by the tasks and appended by the driver."""
-    spark, made = df.sparkSession, key_lines(df, key, profile)
+    spark = df.sparkSession
+    if vcf_sink.reached(uri := splits.qualified(spark, folder)):
+        return [f"{folder}/{n}" for n in vcf_sink.write_files(df, uri, key, names, n_traits, profile, compress, source, level)]
     if compress:
-        out, at, names = None, None, []
-        for r in parts(made, True, level, (key,)).toLocalIterator(prefetchPartitions=True):
-            if r[key] != at:
-                if out:
-                    out.write(bytearray(BGZF_END))
-                    out.close()
-                at = r[key]
-                names.append((at, f"{folder}/{name(at)}"))
-                out = _stream(spark, names[-1][1])
-                out.write(bytearray(bgzf(header(n_traits, profile, source).encode(), level)))
-            out.write(bytearray(r["data"]))
-        if out:
-            out.write(bytearray(BGZF_END))
-            out.close()
-        return [n for _, n in sorted(names)]
+        raise ValueError(f"{folder}: compressed files need a file system that Arrow reaches")
     head = header(n_traits, profile, source)[:-1]
     first = F.lag(key).over(Window.partitionBy(key).orderBy("row_idx")).isNull()  # the partitioning and order are there already
-    titled = made.select(key, F.when(first, F.concat(F.lit(f"{head}\n"), F.col("line"))).otherwise(F.col("line")).alias("line"))
+    titled = key_lines(df, key, profile).select(key, F.when(first, F.concat(F.lit(f"{head}\n"), F.col("line"))).otherwise(F.col("line")).alias("line"))
     rough = f"{folder}/_parts-{uuid.uuid4().hex}"
-    titled.write.partitionBy(key).text(rough)
+    titled.write.option("maxRecordsPerFile", 0).partitionBy(key).text(rough)
     path = spark._jvm.org.apache.hadoop.fs.Path
-    system, names = path(rough).getFileSystem(spark._jsc.hadoopConfiguration()), []
-    for status in system.listStatus(path(rough)):
-        own = status.getPath().getName()
-        if not own.startswith(f"{key}="):
-            continue
-        (file,) = [x.getPath() for x in system.listStatus(status.getPath()) if x.getPath().getName().startswith("part-")]
-        value = int(own.split("=")[1])
-        names.append((value, f"{folder}/{name(value)}"))
-        system.delete(path(names[-1][1]), False)
-        system.rename(file, path(names[-1][1]))
+    system, found = path(rough).getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for file in spark.read.text(rough).select("_metadata.file_path").distinct().collect():  # a row a file
+        value = int(file[0].rsplit("/", 2)[1].split("=")[1])
+        found.append((value, f"{folder}/{names.replace('{}', str(value))}"))
+        system.delete(path(found[-1][1]), False)
+        system.rename(path(file[0]), path(found[-1][1]))
     system.delete(path(rough), True)
-    return [n for _, n in sorted(names)]
+    return [n for _, n in sorted(found)]

@@ -140,7 +140,7 @@ def test_many_chunks_take_no_more_jobs(spark, golden, tmp_path):
         preprocess(spark, PreprocessConfig(golden, f"{at}/prep", maf=0.1, n_traits=2, chunk_size=size, seed=1))
         spark.sparkContext.setJobGroup(f"chunks of {size}", "")
         assert len(simulate(spark, SimulateConfig(f"{at}/prep", f"{at}/out"))) == 9 // size
-        assert merge(spark, MergeConfig(f"{at}/out", f"{at}/all.vcf.gz")) == 9
+        assert merge(spark, MergeConfig(f"{at}/out", f"{at}/all.vcf.gz")) == 9 // size
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chunks of {size}")))
         spark.sparkContext.setJobGroup("rest", "")
     assert jobs[0] <= jobs[1] + 2
