@@ -20,7 +20,7 @@ from .operators import traits as T
 from .operators import variants as V
 from .operators.blocked import blocked_product
 from .plans import chunked
-from .sources import vcf, vcf_write
+from .sources import vcf, vcf_source, vcf_write
 from .sources.store import scratch, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -490,20 +490,39 @@ def vcf_roundtrip(spark, sf_dir):
 # --- the chunked flow through its folders ---------------------------------------------------------------------------
 
 
+#: Declares what the files below hold.
+HEAD = "\n".join(["##fileformat=VCFv4.2", '##INFO=<ID=AF,Number=A,Type=Float,Description="f">', '##FORMAT=<ID=DS,Number=1,Type=Float,Description="d">', "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *(f"S{i}" for i in range(SAMPLES))])]) + "\n"
+
+
+def odd_file(spark: SparkSession, sf_dir: str) -> str:
+    """The odd rows as a VCF file: frequencies of their own in INFO, NaN as a missing value there, rows without dosages with genotypes only."""
+    place = F.col("row_idx") % 20
+    info = F.when(place == 3, "AF=0.01").when(place.isin(0, 1, 2, 4, 5, 6, 14), "AF=0.25").when(place.isin(7, 9, 12, 13, 15, 16), "AF=.").otherwise(".")
+    rows = odd(spark, sf_dir).drop("ds", "af", "info_af").join(whole(spark, sf_dir).select("row_idx", F.col("ds").alias("dosages")), "row_idx")
+    part = F.split("line", "\t")
+    bare = place.isin(5, 11)
+    cells = F.when(bare, F.array_repeat(F.lit("0/1"), SAMPLES)).otherwise(F.slice(part, vcf.FIXED + 1, SAMPLES))
+    text = F.concat_ws("\t", F.slice(part, 1, 7), info, F.when(bare, "GT").otherwise("DS"), cells)
+    path = scratch(spark, "in") + ".vcf.gz"
+    vcf_write.write_lines(vcf_write.lines(vcf_write.in_order(rows)).select("row_idx", text.alias("line")), path, HEAD, True)
+    return path
+
+
 def prepared(spark: SparkSession, sf_dir: str) -> str:
-    """The odd rows as a VCF file, preprocessed: 5 traits in tiles of 2, chunks of 100."""
-    path, prep = scratch(spark, "in") + ".vcf", scratch(spark, "prep")
-    rows = odd(spark, sf_dir).where("ds IS NOT NULL").withColumnRenamed("ds", "dosages")
-    vcf_write.write_vcf(rows, path, SAMPLES)
-    chunked.preprocess(spark, PreprocessConfig(path, prep, maf=MAF, n_traits=5, chunk_size=CHUNK, traits_per_tile=2, seed=3))
+    """The file of odd rows, preprocessed: 5 traits in tiles of 2, chunks of 100."""
+    prep = scratch(spark, "prep")
+    chunked.preprocess(spark, PreprocessConfig(odd_file(spark, sf_dir), prep, maf=MAF, n_traits=5, chunk_size=CHUNK, traits_per_tile=2, seed=3))
     return prep
 
 
-#: What the file holds of the odd rows: frequencies are made anew from dosages of four decimals.
+#: What the file holds of the odd rows: frequencies that INFO doesn't tell are made anew from dosages of four decimals.
 FILE = ODD + """,
-file AS (SELECT row_idx, odd.id, pos, round(list_sum(list_transform(d, lambda x: printf('%.4f', x)::FLOAT::DOUBLE)) / 128.0::DOUBLE * 1e6) / 1e6 AS af FROM odd JOIN placed USING (row_idx) WHERE has_ds),
-through AS (SELECT * FROM file WHERE af >= 0.12::DOUBLE AND af <= 1.0::DOUBLE - 0.12::DOUBLE),
-single AS (SELECT *, row_number() OVER (ORDER BY row_idx) - 1 AS rank FROM through WHERE id IN (SELECT id FROM through GROUP BY id HAVING count(*) = 1))"""
+file AS (SELECT row_idx, odd.id, pos, has_ds, nan, CASE WHEN place = 3 THEN 0.01::DOUBLE WHEN place IN (0, 1, 2, 4, 5, 6, 14) THEN 0.25::DOUBLE
+  WHEN has_ds AND NOT nan THEN round(list_sum(list_transform(d, lambda x: printf('%.4f', x)::FLOAT::DOUBLE)) / 128.0::DOUBLE * 1e6) / 1e6 END AS af FROM odd JOIN placed USING (row_idx)),
+met AS (SELECT *, coalesce(af >= 0.12::DOUBLE AND af <= 1.0::DOUBLE - 0.12::DOUBLE, false) AS ok FROM file),
+met_ids AS (SELECT id, count(*) AS n FROM met WHERE ok GROUP BY id),
+through AS (SELECT met.*, coalesce(n, 0) = 1 AS once FROM met LEFT JOIN met_ids ON met.id = met_ids.id WHERE ok OR nan),
+single AS (SELECT *, row_number() OVER (ORDER BY row_idx) - 1 AS rank FROM through WHERE once AND has_ds)"""
 
 
 @query("chunk_manifest", f"WITH {FILE} SELECT 5::BIGINT AS n_traits, 64::BIGINT AS n_samples, 3::BIGINT AS n_tiles, 2::BIGINT AS traits_per_tile, count(*) AS n_variants, ceil(count(*) / 100)::BIGINT AS n_chunks FROM single")
@@ -523,12 +542,46 @@ def trait_tile_scan(spark, sf_dir):
     return spread(made, F.col("dosages"), "trait", "y")
 
 
-@query("merged_vcf", f"WITH {FILE} SELECT rank AS place, pos, id, 5 AS n, true AS full FROM single")
-def merged_vcf(spark, sf_dir):
+@query("flow_counters", f"WITH {FILE} SELECT (SELECT count(*) FROM file) AS total, (SELECT count(*) FROM single) AS filtered, (SELECT count(*) FROM through WHERE NOT once) AS duplicates")
+def flow_counters(spark, sf_dir):
+    """What preprocess counts while it runs."""
+    m = chunked.read_manifest(spark, prepared(spark, sf_dir))
+    return spark.createDataFrame([(m["n_total"], m["n_variants"], m["n_duplicates"])], "total long, filtered long, duplicates long")
+
+
+def merged(spark: SparkSession, sf_dir: str, compress: bool) -> DataFrame:
     """Preprocess, simulate and merge, and the merged file read back: rows in order, values that span 0 to 2."""
     prep, folder, out = prepared(spark, sf_dir), scratch(spark, "chunks"), scratch(spark, "merged") + ".vcf.gz"
-    chunked.simulate(spark, SimulateConfig(prep, folder))
+    chunked.simulate(spark, SimulateConfig(prep, folder, compress=compress))
     chunked.merge(spark, MergeConfig(folder, out))
     back, _ = vcf.read_vcf(spark, out)
     full = (F.array_min("ds") == 0) & (F.array_max("ds") == 2)
     return back.select((F.col("row_idx") - F.lit(4)).alias("place"), "pos", "id", F.size("ds").alias("n"), full.alias("full"))
+
+
+MERGED = f"WITH {FILE} SELECT rank AS place, pos, id, 5 AS n, true AS full FROM single"
+
+
+@query("merged_vcf", MERGED)
+def merged_vcf(spark, sf_dir):
+    """Chunk files as text, merged by lines."""
+    return merged(spark, sf_dir, False)
+
+
+@query("merged_vcf_blocks", MERGED)
+def merged_vcf_blocks(spark, sf_dir):
+    """Chunk files as block gzip, merged by blocks."""
+    return merged(spark, sf_dir, True)
+
+
+@query("vcf_source_filter", f"WITH {LINES} SELECT row_idx, chrom, pos, id, alt, info_af, has_ds, CASE WHEN has_ds THEN {r6('total')} ELSE -1.0 END AS ds_sum FROM lines WHERE chrom IN ('chr1', 'chr3') AND pos > 40 AND pos <= 400")
+def vcf_source_filter(spark, sf_dir):
+    """All kinds of lines as block gzip, indexed in ranges of 8 KB, read by the data source with filters on chromosome and position."""
+    vcf_source.register(spark)
+    path = scratch(spark, "lines") + ".vcf.gz"
+    ordered = vcf_write.in_order(text_lines(spark, sf_dir).withColumnRenamed("value", "line"))
+    vcf_write.write_lines(ordered, path, HEAD, True)
+    index = vcf_source.build_index(spark, path, split_bytes=1 << 13)
+    found = spark.read.format("vcf").option("index", index).load(path).where("chrom IN ('chr1', 'chr3') AND pos > 40 AND pos <= 400")
+    total = F.aggregate("ds", F.lit(0.0), lambda a, x: a + x)
+    return found.select("row_idx", "chrom", "pos", "id", "alt", coded(F.col("info_af")).alias("info_af"), "has_ds", F.when(F.col("has_ds"), D.round6(total)).otherwise(-1.0).alias("ds_sum"))
