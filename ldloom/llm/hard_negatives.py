@@ -9,7 +9,7 @@ wanted are left out whole, then single rows. What survives is checked exactly.
 2. Negatives: for each positive the best rows of other labels whose score lies in its window. One pass serves all windows of an anchor.
 
 Both passes are one search, for the k best of each window of scores; a window's k-th best so far raises its lower end. Every block of the anchors
-meets every shard (a stated query set against all rows, in blocks): blocks and shards are dealt into cells of ``CELL`` by ``CELL``, so neither a label with a third
+meets every shard (a stated query set against all rows, in blocks): blocks and shards are dealt into cells of a few of each, so neither a label with a third
 of the rows nor a table with many anchors makes a task large, and a task yields k rows a window, not a pair list. Ranked windows merge the cells.
 
 Defined cases: rows with a null id, label or vector or a null or non-finite component take no part; vectors of different lengths don't meet; rows with the
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import cut, drop, table, task_uid
 from .search import LARGEST
 
-SHARD, CHUNK, BLOCK, CELL = 2048, 128, 512, 64
+SHARD, CHUNK, BLOCK = 2048, 128, 512
+#: Shards and blocks of a cell: some 10**9 scores a task, and a shard travels once for 32,768 anchors.
+CELL_SHARDS, CELL_BLOCKS = 16, 64
 #: Pivots of a vector length, taken from so many rows, those with the least hashes, each far from the ones before. Lengths that the sample doesn't hold have none.
 PIVOTS, SAMPLE = 8, 256
 #: Keys with more shards or blocks than a cell takes are sent to all tasks if they are no more than these.
@@ -288,10 +290,10 @@ def search(kind: str, pivots: dict[int, np.ndarray], same: bool, k: int):
 
 
 def in_cells(asked: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Every block with every shard of its key. A key with more than ``CELL`` of either is a grid of cells of about ``CELL`` by ``CELL``: each block is in a row of
-    cells, each shard in a column of them."""
+    """Every block with every shard of its key. A key with more of either than a cell takes is a grid of cells: each block is in a row of cells, each shard in
+    a column of them."""
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).join(asked.groupBy(*keys).agg(F.count("*").alias("_a")), keys)
-    many = sizes.where((F.col("_n") > CELL) | (F.col("_a") > CELL)).select(*keys, F.ceil(F.col("_n") / CELL).alias("across"), F.ceil(F.col("_a") / CELL).alias("down"))
+    many = sizes.where((F.col("_n") > CELL_SHARDS) | (F.col("_a") > CELL_BLOCKS)).select(*keys, F.ceil(F.col("_n") / CELL_SHARDS).alias("across"), F.ceil(F.col("_a") / CELL_BLOCKS).alias("down"))
     if many.count() <= BROADCAST_KEYS:
         many = F.broadcast(many)
 

@@ -51,9 +51,9 @@ def quantised(vectors, scale):
     return [(i, [int(np.floor(float(np.float32(x)) * scale)) for x in v], label) for i, v, label in finite(vectors)]
 
 
-@pytest.mark.parametrize("sizes", [(2048, 512, 64), (7, 2, 2)])
+@pytest.mark.parametrize("sizes", [(2048, 512, 16, 64), (7, 2, 2, 1)])
 def test_op11(spark, odd, tmp_path, monkeypatch, sizes):
-    for name, n in zip(("SHARD", "BLOCK", "CELL"), sizes):
+    for name, n in zip(("SHARD", "BLOCK", "CELL_SHARDS", "CELL_BLOCKS"), sizes):
         monkeypatch.setattr(hard_negatives, name, n)
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((6, 64))
