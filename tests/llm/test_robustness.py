@@ -105,8 +105,8 @@ def second_walk(counts, shards, virtual_nodes, slots, parts):
     room = [total // shards + (s < total % shards) for s in range(shards)]
     nodes = sorted((int.from_bytes(hashlib.blake2b(b"%d:%d" % (s, v), digest_size=8).digest(), "big") % slots, s) for s in range(shards) for v in range(virtual_nodes))
     places, load, out = [p for p, _ in nodes], [0] * shards, {}
-    for b in range(slots * parts):
-        for rank in range(counts.get(b, 0)):
+    for b in sorted(counts):
+        for rank in range(counts[b]):
             at = bisect.bisect_left(places, b // parts) % len(nodes)
             while load[nodes[at][1]] >= room[nodes[at][1]]:
                 at = (at + 1) % len(nodes)
@@ -124,6 +124,25 @@ def test_the_ring_equals_a_second_walk():
     assert got == second_walk(counts, 9, 8, 256, 4)
 
 
+def test_every_row_goes_where_a_plain_version_puts_it(spark):
+    """Hash, slot, bin, rank, walk: each step again in Python, but for the hashes; a null key holds a third of the rows."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(4000).selectExpr("IF(id % 3 = 0, NULL, id % 700) AS k", "id AS other")
+    hashes = df.select("k", "other", F.xxhash64(F.lit("ring"), "k").alias("s"), F.xxhash64(F.lit("part"), "k", "other").alias("p"), F.xxhash64(F.lit("rank"), "k", "other").alias("h")).collect()
+    per = Counter(r["s"] % sharding.SLOTS for r in hashes)
+    parts = {s: min(sharding.FINE, max(sharding.PARTS, 1 << math.ceil(math.log2(n * sharding.BIN_SHARE / 4000)))) for s, n in per.items()}
+    assert max(parts.values()) == sharding.FINE and min(parts.values()) == sharding.PARTS
+    bins = {}
+    for r in hashes:
+        s = r["s"] % sharding.SLOTS
+        bins.setdefault(s * sharding.FINE + r["p"] % sharding.FINE % parts[s], []).append((r["h"], r["k"] is not None, r["k"] or 0, r["other"]))
+    assert max(map(len, bins.values())) < 30
+    place = second_walk({b: len(x) for b, x in bins.items()}, 7, sharding.VIRTUAL_NODES, sharding.SLOTS, sharding.FINE)
+    want = {x[3]: place[b, rank] for b, own in bins.items() for rank, x in enumerate(sorted(own))}
+    assert {r["other"]: (r["shard"], r["slot"]) for r in sharding.shard(df, "k", ["other"], shards=7).collect()} == want
+
+
 def test_movement_with_full_shards():
     rng = random.Random(1)
     counts = Counter(rng.randrange(sharding.SLOTS * sharding.PARTS) for _ in range(20_000))
