@@ -17,7 +17,10 @@ Links are confirmed on the full sets. What keeps hot groups cheap:
   first look confirms each outsider's closest partner of another component in each bucket: that joins nearly all that
   belongs together, at one pair a row. A last look confirms every pair of different components that both bounds
   allow, in the first bucket it shares, so no link that would join two components is left out; pairs inside a
-  component are not needed.
+  component are not needed;
+- a family of texts that share much but not enough fills buckets with members of as many components. Buckets over ``MOST_TILES`` pairs of tiles aren't
+  looked into; their members meet by rare shingles: in one order of all shingles, those rare among these members first, two sets within the threshold share one
+  among the first seventh of the smaller and the first quarter of the larger (the prefix filter), so what a family has in common brings no two together.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; fewer words than a shingle are one shingle; texts of any
 length are used whole; rows that share an id are one document, linked by the links of each; a null id links with nothing and has
@@ -43,6 +46,10 @@ HASHES = CHUNKS * PER_CHUNK
 #: Bits of a parity bitmap: four a shingle, a power of two between these. Beyond the most a bitmap tells less, never wrong.
 LEAST_BITS, MOST_BITS = 256, 1 << 16
 TILE = 2048
+#: Pairs of tiles in a bucket that are compared whole.
+MOST_TILES = 16
+#: Counters by which shingles are ordered. Any order is right; they only tell the common ones.
+COUNTERS = 1 << 18
 #: Members confirmed against one leader in one group of rows.
 SALT = 128
 
@@ -264,13 +271,18 @@ def look_into(percent: int, closest: bool):
     return run
 
 
-def within_buckets(members: DataFrame, fine: DataFrame, roots: DataFrame, percent: int, closest: bool) -> DataFrame:
-    """Pairs (a, b) still to be confirmed: in one bucket, in different components."""
+def open_buckets(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members with their components; the buckets that hold several, with their largest and how many tiles of members and of outsiders they have)."""
     placed = members.join(roots, members["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     held = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"))
     tiles = lambda n: F.ceil(n / TILE).cast("int")
-    open_keys = held.where("roots > 1").select("key", F.col("most.root").alias("main"), tiles(F.col("n")).alias("tiles"), tiles(F.col("n") - F.col("most.n")).alias("outer"))
-    inside = placed.join(open_keys, "key").withColumn("outside", F.col("root") != F.col("main"))
+    return placed, held.where("roots > 1").select("key", F.col("most.root").alias("main"), tiles(F.col("n")).alias("tiles"), tiles(F.col("n") - F.col("most.n")).alias("outer"))
+
+
+def within_buckets(members: DataFrame, fine: DataFrame, roots: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """Pairs (a, b) still to be confirmed: in one bucket, in different components."""
+    placed, open_keys = open_buckets(members, roots)
+    inside = placed.join(open_keys.where(F.col("outer") * F.col("tiles") <= MOST_TILES), "key").withColumn("outside", F.col("root") != F.col("main"))
     tile = lambda of: F.pmod(F.xxhash64(F.lit(of), "id"), of).cast("int")
     each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     right = inside.select(F.col("key").alias("bucket"), each("outer").alias("i"), tile("tiles").alias("j"), F.lit(1).alias("side"), "outside", "id", "root")
@@ -279,6 +291,59 @@ def within_buckets(members: DataFrame, fine: DataFrame, roots: DataFrame, percen
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(look_into(percent, closest), "a long, b long").distinct()
 
 
+def count_shingles(words: int):
+    """Texts -> how many of their sets each counter counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for part in (p for batch in batches for p in slices(batch)):
+            for s in shingle_sets(part.column("text"), words):
+                total += np.bincount((s % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        own = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], names=["counter", "n"])
+
+    return run
+
+
+def first_shingles(words: int, percent: int, counts: np.ndarray):
+    """Texts -> the first shingles of each set in the order of their counters: shingle, id, n, root, whether it is among those that a larger set meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for batch in batches for p in slices(batch)):
+            found = []
+            for i, s in enumerate(shingle_sets(part.column("text"), words)):
+                n = len(s)
+                asking = n + percent * n // -100 + 1  # n - ceil(n * percent / 100) + 1
+                asked = n + 2 * percent * n // -(100 + percent) + 1
+                order = np.lexsort((s, counts[(s % np.uint64(COUNTERS)).astype(np.int64)]))[:asking]
+                found.append((s[order].view(np.int64), np.full(len(order), i), np.arange(len(order)) < asked))
+            shingle, row, short = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+            own = [part.column(c).take(pa.array(row)) for c in ("id", "n", "root")]
+            yield pa.RecordBatch.from_arrays([pa.array(shingle), *own, pa.array(short)], names=["shingle", "id", "n", "root", "short"])
+
+    return run
+
+
+def by_rare_shingles(members: DataFrame, texts: DataFrame, roots: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """Pairs (a, b) of different components among the members of buckets that are too large to look into; None if there are no such buckets."""
+    placed, open_keys = open_buckets(members, roots)
+    crowd = cut(placed.join(open_keys.where(F.col("outer") * F.col("tiles") > MOST_TILES), "key").select("id", "root").distinct(), "crowd")
+    if not crowd.limit(1).count():
+        drop(crowd)
+        return None
+    own = cut(texts.join(crowd, "id").select("id", "n", "root", "text"), "crowd-texts")
+    counts = np.zeros(COUNTERS, np.int64)
+    for r in own.select("text").mapInArrow(count_shingles(words), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toLocalIterator():  # COUNTERS rows at most
+        counts[r["counter"]] = r["n"]
+    rows = cut(own.select("id", "n", "root", "text").mapInArrow(first_shingles(words, percent, counts), "shingle long, id long, n long, root long, short boolean"), "first-shingles")
+    several = rows.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1").select("shingle")
+    rows = cut(rows.join(several, "shingle", "left_semi"), "shared-shingles")
+    small = rows.where("short").select("shingle", F.col("id").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"))
+    large = rows.select("shingle", F.col("id").alias("y"), F.col("n").alias("yn"), F.col("root").alias("yr"))
+    met = small.join(large, "shingle").where((F.struct("xn", "x") < F.struct("yn", "y")) & (100 * F.col("xn") >= percent * F.col("yn")) & (F.col("xr") != F.col("yr")))
+    return cut(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
     read = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"))
@@ -303,13 +368,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     more_links = cut(as_links(star_roots).unionByName(confirm(near, texts, words, percent)), "links")
     more_roots = components(more_links)
     rest = cut(within_buckets(members, fine, more_roots, percent, closest=False), "pairs")
+    crowded = by_rare_shingles(members, texts, more_roots, words, percent)
+    rest = rest if crowded is None else rest.unionByName(crowded)
     links = cut(as_links(more_roots).unionByName(confirm(rest, texts, words, percent)), "links")
     # documents that share an id are one: a row's set leads to its representative, an id leads to all its sets
     ids = reps.select("id", F.col("doc_id").alias("own"))
     linked = links.join(ids.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a").join(ids.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
     same = signed.where("n_shingles > 0").join(reps.select("h1", "h2", F.col("doc_id").alias("own")), ["h1", "h2"]).where("doc_id != own").select(F.col("own").alias("a"), F.col("doc_id").alias("b"))
     roots = components(linked.select(F.col("own_a").alias("a"), F.col("own_b").alias("b")).unionByName(same))
-    for t in (members, texts, star_links, more_links, near, rest):
+    for t in (members, texts, star_links, more_links, near):
         drop(t)
     out = signed.select("doc_id", "n_shingles").join(roots, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("root", "doc_id")

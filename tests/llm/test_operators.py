@@ -187,6 +187,33 @@ def test_op1_family_of_many_components(spark, tmp_path):
     assert got == {i: 100 + (i - 100) // 3 * 3 for i in texts}
 
 
+def test_op1_large_family_meets_by_rare_shingles(spark, tmp_path, monkeypatch):
+    """20,000 texts of a template, all in components of their own but for a few pairs: of 200 million pairs few are compared."""
+    rng, frame = random.Random(14), prose(44).split()
+    own = [[f"g{i}w{j}" for j in range(22)] for i in range(19_990)]
+    texts = [" ".join([*frame, *w]) for w in own] + [" ".join([*frame, *own[i * 7][:20], "x", f"e{rng.randrange(10**9)}"]) for i in range(10)]
+    pairs, real = [], minhash.by_rare_shingles
+    monkeypatch.setattr(minhash, "by_rare_shingles", lambda *a: pairs.append(real(*a)) or pairs[-1])
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(data).collect()}
+    assert got == {i: i if i < 19_990 else (i - 19_990) * 7 for i in range(20_000)}
+    assert pairs[0] is not None and pairs[0].count() < 20_000
+
+
+def test_prefixes_of_close_sets_share_a_shingle():
+    rng = np.random.default_rng(7)
+    counts = rng.integers(0, 5, minhash.COUNTERS)
+    for _ in range(300):
+        n, both = int(rng.integers(1, 60)), rng.permutation(1000).astype(np.uint64) * np.uint64(7919)
+        gone = int(rng.integers(0, n // 3 + 1))
+        a, b = np.sort(both[:n]), np.sort(np.concatenate([both[gone:n], both[500 : 500 + int(rng.integers(0, n // 3 + 1))]]))
+        if 100 * len(np.intersect1d(a, b)) < 75 * len(np.union1d(a, b)):
+            continue
+        a, b = sorted((a, b), key=len)
+        first = lambda s, k: set(s[np.lexsort((s, counts[(s % np.uint64(minhash.COUNTERS)).astype(int)]))][:k].tolist())
+        assert first(a, len(a) - math.ceil(2 * 75 * len(a) / 175) + 1) & first(b, len(b) - math.ceil(75 * len(b) / 100) + 1)
+
+
 def test_op2(spark, odd):
     folder, _ = odd
     vectors = odd_vectors()
