@@ -10,7 +10,7 @@ A frame of variants has row_idx, chrom, pos, id, ref, alt, info_af (double; null
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dosage as D
@@ -66,34 +66,23 @@ def without_repeated_ids(df: DataFrame, counted: DataFrame) -> DataFrame:
     return df.join(repeated, df["id"].eqNullSafe(repeated["repeated_id"]), "left_anti")
 
 
-class Counters:
-    """What the three filters let through, counted while a plan runs: read it after the plan's result was written.
+def comes_through(df: DataFrame, maf: float, mode: str = "standard") -> Column:
+    """What the test of ids is made on: a frequency that passes, NaN too, and in standard mode dosages."""
+    return passes_maf(maf) & (dosages_there(df) if mode == "standard" else F.lit(True))
 
-    One use each: an observation belongs to one action."""
 
-    def __init__(self) -> None:
-        self.points = {name: Observation(name) for name in ("total", "passed", "single", "whole")}
-
-    def at(self, name: str, df: DataFrame) -> DataFrame:
-        return df.observe(self.points[name], F.count(F.lit(1)).alias("n"))
-
-    def get(self) -> dict[str, int]:
-        """total, filtered, duplicates, as pipeline_stats has them."""
-        n = {name: point.get["n"] for name, point in self.points.items()}
-        return {"total": n["total"], "filtered": n["whole"], "duplicates": n["passed"] - n["single"]}
+def single_ids(df: DataFrame, maf: float, mode: str = "standard") -> DataFrame:
+    """Rows that come through and pass the test of ids."""
+    passed = df.where(comes_through(df, maf, mode))
+    if mode == "standard":
+        return without_repeated_ids(passed, passed)
+    counted = passed.groupBy(F.col("id").alias("other_id")).agg(F.count_if(~F.isnan("af")).alias("n")).where("n != 1").select("other_id")
+    return passed.join(counted, passed["id"].eqNullSafe(counted["other_id"]), "left_anti")
 
 
-def drop_nonunique_ids(df: DataFrame, maf: float, mode: str = "standard", counters: Counters | None = None) -> DataFrame:
+def drop_nonunique_ids(df: DataFrame, maf: float, mode: str = "standard") -> DataFrame:
     """Variants that pass all filters. ``df`` has af; arrays are shuffled only if the planner can't broadcast the repeated ids."""
-    seen = counters.at if counters else lambda _, rows: rows
-    through = (lambda rows: has_dosages(maf_filter(rows, maf))) if mode == "standard" else (lambda rows: maf_filter(rows, maf))
-    passed, counted = seen("passed", through(seen("total", df))), through(df)  # what is counted stands once in the plan
-    if mode == "standard":
-        single = without_repeated_ids(passed, counted)
-    else:
-        other = counted.groupBy(F.col("id").alias("other_id")).agg(F.count_if(~F.isnan("af")).alias("n")).where("n != 1").select("other_id")
-        single = passed.join(other, passed["id"].eqNullSafe(other["other_id"]), "left_anti")
-    return seen("whole", has_dosages(seen("single", single)))
+    return has_dosages(single_ids(df, maf, mode))
 
 
 #: Rows that one row of bits tells of, as bitmap_construct_agg makes them.
@@ -103,13 +92,15 @@ BROADCAST_BITS = 1 << 14
 
 
 def bitmap(rows: DataFrame) -> DataFrame:
-    """bucket, bits: which values of row_idx there are, a bit each."""
-    return rows.groupBy(F.floor(F.col("row_idx") / BITS).cast("long").alias("bucket")).agg(F.bitmap_construct_agg(F.col("row_idx") % BITS).alias("bits"))
+    """bucket, bits: which rows have dosages, a bit for each row_idx; single, whole: how many rows there are, and how many have dosages."""
+    there = dosages_there(rows)
+    of = rows.groupBy(F.floor(F.col("row_idx") / BITS).cast("long").alias("bucket"))
+    return of.agg(F.bitmap_construct_agg(F.when(there, F.col("row_idx") % BITS)).alias("bits"), F.count("*").alias("single"), F.count_if(there).alias("whole"))
 
 
 def rows_in(df: DataFrame, bits: DataFrame) -> DataFrame:
     """Rows of df whose row_idx is in a bitmap, a written table; df isn't shuffled while the bits are few."""
-    few = F.broadcast(bits) if bits.count() <= BROADCAST_BITS else bits
+    few = F.broadcast(bits.select("bucket", "bits")) if bits.count() <= BROADCAST_BITS else bits.select("bucket", "bits")
     place = F.col("row_idx") % BITS
     byte = F.conv(F.hex(F.expr(f"substring(bits, cast(row_idx % {BITS} as int) div 8 + 1, 1)")), 16, 10).cast("long")
     met = df.withColumn("bucket", F.floor(F.col("row_idx") / BITS).cast("long")).join(few, "bucket")

@@ -6,7 +6,7 @@ import logging
 import time
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import StandardConfig, traits_per_tile
@@ -34,10 +34,12 @@ def passing(spark: SparkSession, path: str, samples: str, maf: float, mode: str
 
     A first pass reads ids, frequencies and whether a line has dosages, in a narrow table; what passes is kept as a bitmap of row numbers, and only these
     lines' cells are decoded."""
-    file, counters = VcfFile(spark, path, samples), V.Counters()
-    heads = stored(file.heads().select("row_idx", "id", "af", "has_ds"), "heads")
-    bits = stored(V.bitmap(V.drop_nonunique_ids(heads, maf, mode, counters)), "passing")
-    counts = counters.get()
+    file, seen = VcfFile(spark, path, samples), Observation("heads")
+    heads = file.heads().select("row_idx", "id", "af", "has_ds")
+    heads = stored(heads.observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(V.comes_through(heads, maf, mode)).alias("passed")), "heads")
+    bits = stored(V.bitmap(V.single_ids(heads, maf, mode)), "passing")
+    single, whole = bits.agg(F.coalesce(F.sum("single"), F.lit(0)), F.coalesce(F.sum("whole"), F.lit(0))).first()
+    counts = {"total": seen.get["total"], "filtered": whole, "duplicates": seen.get["passed"] - single}
     log.info("total %(total)d, filtered %(filtered)d, duplicates %(duplicates)d", counts)
     return file.variants(V.rows_in(file.lines, bits)).drop("has_ds"), file.names, counts
 

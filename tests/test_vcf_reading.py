@@ -171,14 +171,33 @@ def test_only_passing_rows_are_decoded(spark, tmp_path, mode, af):
     assert counts == stats.asDict() and counts["filtered"] == len(want) < 450 and counts["duplicates"] > 10
     file = vcf.VcfFile(spark, path)
     heads = file.heads()
-    bits = spark.createDataFrame(V.bitmap(V.drop_nonunique_ids(heads, 0.1, mode)).collect(), "bucket long, bits binary")
+    bits = spark.createDataFrame(V.bitmap(V.single_ids(heads, 0.1, mode)).collect(), "bucket long, bits binary, single long, whole long")
     assert V.rows_in(file.lines, bits).count() == counts["filtered"]
     assert sorted(r["row_idx"] for r in V.rows_in(file.lines, bits).collect()) == [r[0] for r in want]
 
 
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_counters_where_nothing_is_left(spark, tmp_path, threshold):
+    """Plans that end empty still tell what they counted."""
+    head = "".join(x + "\n" for x in text_of(3, 4).splitlines() if x[0] == "#")
+    line = lambda i, name, af: "\t".join(["1", str(i), name, "A", "G", ".", ".", f"AF={af}", "DS", "0.1", "0", "0", "0"]) + "\n"
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        for text, want in (("", (0, 0, 0)), ("".join(line(i, f"r{i}", 0.001) for i in range(5)), (5, 0, 0)), ("".join(line(i, "r", 0.3) for i in range(5)), (5, 0, 5))):
+            (tmp_path / "a.vcf").write_text(head + text)
+            for mode in ("standard", "chunked"):
+                kept, _, counts = passing(spark, str(tmp_path / "a.vcf"), "", 0.1, mode)
+                assert tuple(counts.values()) == want and kept.count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_bitmaps_tell_rows_apart(spark):
     rows = sorted({(i * i * 7919) % 200_003 for i in range(3000)} | {0, 7, 8, 32_767, 32_768, 65_535})
-    bits = spark.createDataFrame(V.bitmap(spark.createDataFrame([(r,) for r in rows], "row_idx long")).collect(), "bucket long, bits binary")
+    some = spark.createDataFrame([(r, r % 5 != 1) for r in [*rows, 100_001]], "row_idx long, has_ds boolean")
+    bits = spark.createDataFrame(V.bitmap(some).collect(), "bucket long, bits binary, single long, whole long")
+    rows = [r for r in rows if r % 5 != 1]
     assert [r[0] for r in V.rows_in(spark.range(200_010).select(F.col("id").alias("row_idx")), bits).orderBy("row_idx").collect()] == rows
 
 
