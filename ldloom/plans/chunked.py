@@ -20,7 +20,7 @@ from ..sources import splits
 from ..sources.store import stored
 from ..sources.vcf import header_lines, numbered_lines
 from ..sources.vcf_merge import merge_blocks
-from ..sources.vcf_write import ByteStream, in_order, write_files, write_lines
+from ..sources.vcf_write import in_order, write_files, write_lines
 from .standard import passing, timed, with_z
 
 
@@ -101,11 +101,7 @@ def merge(spark: SparkSession, cfg: MergeConfig) -> int:
     files = chunk_files(spark, cfg.chunks, cfg.order)
     uris = [splits.qualified(spark, f) for f in files]
     if cfg.compress and all(splits.kind_of(u) == "block" for u in uris):
-        out = ByteStream(spark, cfg.out)
-        try:
-            merge_blocks(uris, out)
-        finally:
-            out.close()
+        merge_blocks(spark, uris, cfg.out)
         return len(files)
     head = "".join(f"{x}\n" for x in header_lines(spark, files[0]))
     rows = numbered_lines(spark, files).select("row_idx", F.col("value").alias("line"))

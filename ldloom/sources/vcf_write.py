@@ -1,9 +1,8 @@
 """VCF text out: lines are made in Arrow batches, files are plain text or block gzip.
 
 Values have four decimals as C's printf gives them, which none of Spark's formatters does. Rows are put in order before
-their values are made, so nothing is made twice. A single ordered file is one stream by nature: tasks make (and compress)
-its parts, the driver only appends them, one part at a time, through the file system that the path belongs to.
-``write_parts`` and ``write_files`` are written by the tasks alone: a folder whose parts in the order of their names are
+their values are made, so nothing is made twice. A single ordered file is made of parts that tasks write (and compress) and
+join (``joined``). ``write_parts`` and ``write_files`` are written by the tasks alone: a folder whose parts in the order of their names are
 the file, and a file for every value of a column.
 """
 
@@ -18,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .joined import write_joined
+
 # What the two packagings write.
 PROFILES = {"standard": ("T", "PASS"), "chunked": ("", ".")}
 FORMAT_LINE = '##FORMAT=<ID=DS,Number=1,Type=Float,Description="Dosage">'
@@ -83,33 +84,6 @@ def parts(ordered: DataFrame, compress: bool, level: int = 6) -> DataFrame:
     return ordered.select("line").mapInArrow(pack, "data binary")
 
 
-class ByteStream:
-    """A new file in whatever file system its path belongs to."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        self.out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
-        self.held, self.size = [], 0
-
-    def write(self, data: bytes) -> None:
-        """Some megabytes at a time go to the file."""
-        self.held.append(data)
-        self.size += len(data)
-        if self.size >= 1 << 22:
-            self.flush()
-
-    def flush(self) -> None:
-        if self.held:
-            self.out.write(bytearray(b"".join(self.held)))
-        self.held, self.size = [], 0
-
-    def close(self) -> None:
-        try:
-            self.flush()
-        finally:
-            self.out.close()
-
-
 def write_vcf(df: DataFrame, path: str, n_traits: int, profile: str = "standard", compress: bool = False, source: str = SOURCE, level: int = 6, ordered: bool = False) -> None:
     """One ordered file. Block gzip if asked for or if the name ends in .gz. ``ordered``: df comes from in_order()."""
     write_lines(lines(df if ordered else in_order(df), profile), path, header(n_traits, profile, source), compress or path.endswith(".gz"), level)
@@ -117,15 +91,8 @@ def write_vcf(df: DataFrame, path: str, n_traits: int, profile: str = "standard"
 
 def write_lines(ordered: DataFrame, path: str, head: str, packed: bool, level: int = 6) -> None:
     """``ordered``: row_idx, line in row order."""
-    out = ByteStream(ordered.sparkSession, path)
-    try:
-        out.write(bgzf(head.encode(), level) if packed else head.encode())
-        for r in parts(ordered, packed, level).toLocalIterator(prefetchPartitions=True):
-            out.write(bytes(r["data"]))
-        if packed:
-            out.write(BGZF_END)
-    finally:
-        out.close()
+    text = head.encode()
+    write_joined(parts(ordered, packed, level), path, bgzf(text, level) if packed else text, BGZF_END if packed else b"")
 
 
 def write_parts(df: DataFrame, folder: str, n_traits: int, profile: str = "standard", compress: bool = False, source: str = SOURCE) -> None:

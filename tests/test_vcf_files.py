@@ -9,7 +9,7 @@ from test_vcf_reading import blocks, text_of
 
 from ldloom.config import MergeConfig
 from ldloom.plans import chunked
-from ldloom.sources import splits, vcf_merge, vcf_write
+from ldloom.sources import joined, splits, vcf_merge, vcf_write
 
 
 def variants(spark, n: int, chunks: int):
@@ -20,7 +20,7 @@ def variants(spark, n: int, chunks: int):
 @pytest.mark.parametrize("compress", [False, True])
 def test_tasks_write_the_files(spark, tmp_path, monkeypatch, compress):
     """No stream is opened by the driver, and none of its bytes are data."""
-    monkeypatch.setattr(vcf_write, "ByteStream", None)
+    monkeypatch.setattr(joined, "ByteStream", None)
     names = "part_{}.vcf" + ".gz" * compress
     (tmp_path / names.replace("{}", "3")).write_text("of an earlier run")
     made = vcf_write.write_files(variants(spark, 5000, 7), str(tmp_path), "chunk", names, 2, compress=compress)
@@ -42,14 +42,6 @@ def test_a_failed_task_leaves_no_file(spark, tmp_path):
     assert os.listdir(tmp_path) == []
 
 
-class Bytes:
-    def __init__(self):
-        self.data = b""
-
-    def write(self, data: bytes) -> None:
-        self.data += data
-
-
 @pytest.mark.parametrize("size", [300, 5000, 1_000_000])
 def test_merged_by_blocks_equals_merged_by_lines(spark, tmp_path, size):
     texts = [text_of(n, 5, seed=n) for n in (60, 45, 1)] + [text_of(50, 5, seed=9)[:-1], "".join(x + "\n" for x in text_of(9, 5).splitlines() if x[0] == "#"), text_of(8, 5)]
@@ -58,22 +50,66 @@ def test_merged_by_blocks_equals_merged_by_lines(spark, tmp_path, size):
     uris = [f"file://{tmp_path}/chunk_{i}.vcf.gz" for i in range(len(texts))]
     head = "".join(x + "\n" for x in texts[0].splitlines() if x[0] == "#")
     want = head + "".join(x + "\n" for t in texts for x in t.splitlines() if x[0] != "#")
-    out = Bytes()
-    copied = vcf_merge.merge_blocks(uris, out)
-    assert gzip.decompress(out.data).decode() == want
+    copied = vcf_merge.merge_blocks(spark, uris, f"{tmp_path}/by-blocks.gz")
+    data = (tmp_path / "by-blocks.gz").read_bytes()
+    assert gzip.decompress(data).decode() == want
     inner = sum(len(t) // size for t in texts)
     assert copied >= inner - 3 * len(texts) and (size > 300 or copied > 40)
     assert chunked.merge(spark, MergeConfig(str(tmp_path), f"{tmp_path}/all.vcf.gz")) == len(texts)
-    assert open(f"{tmp_path}/all.vcf.gz", "rb").read() == out.data
+    assert open(f"{tmp_path}/all.vcf.gz", "rb").read() == data
     (tmp_path / "chunk_0.vcf.gz").write_bytes(gzip.compress(texts[0].encode()))  # one file that isn't made of blocks: by lines
     chunked.merge(spark, MergeConfig(str(tmp_path), f"{tmp_path}/lines.vcf.gz"))
     assert gzip.open(f"{tmp_path}/lines.vcf.gz", "rt").read() == want
 
 
 def test_inner_blocks_are_not_opened(tmp_path, monkeypatch):
-    for i in range(3):
-        (tmp_path / f"{i}.gz").write_bytes(blocks(text_of(200, 5, seed=i), 1000))
     opened, real = [], splits.unpacked
     monkeypatch.setattr(splits, "unpacked", lambda block, at=0: opened.append(at) or real(block, at))
-    copied = vcf_merge.merge_blocks([f"file://{tmp_path}/{i}.gz" for i in range(3)], Bytes())
-    assert copied > 40 and len(opened) <= 3 * 3
+    for i in range(3):
+        (tmp_path / f"{i}.gz").write_bytes(blocks(text_of(200, 5, seed=i), 1000))
+        plan = vcf_merge.plan_of(f"file://{tmp_path}/{i}.gz", i == 0)
+        assert plan.blocks > 10 and plan.ended and len(plan.runs) == 1 and plan.seam.startswith(b"#") == (i == 0)
+    assert len(opened) <= 3 * 3
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_one_file_passes_no_byte_through_the_driver(spark, tmp_path, monkeypatch, packed):
+    """Tasks write parts and copy them to their places, in ranges smaller than a part; an older file and its checksum go."""
+    path = str(tmp_path / "deep/one.vcf")
+    vcf_write.write_vcf(variants(spark, 10, 1), path, 2)
+    rows = variants(spark, 20_000, 7)
+    monkeypatch.setattr(joined, "RANGE_BYTES", 10_000)
+    monkeypatch.setattr(joined, "ByteStream", None)
+    real, driver = joined.copy_range, os.getpid()
+    monkeypatch.setattr(joined, "copy_range", lambda *a: real(*a) if os.getpid() != driver else pytest.fail("the driver copies"))
+    vcf_write.write_vcf(rows, path, 2, compress=packed)
+    text = (gzip.open(path, "rt") if packed else open(path)).read().splitlines()
+    assert text[:4] == vcf_write.header(2).splitlines() and [x.split("\t")[1] for x in text[4:]] == [str(i) for i in range(20_000)]
+    assert os.listdir(tmp_path / "deep") == ["one.vcf"] and splits.kind_of(f"file://{path}") == ("block" if packed else "plain")
+    vcf_write.write_vcf(rows.where("row_idx < 0"), path, 2, compress=packed)
+    assert (gzip.open(path, "rt") if packed else open(path)).read() == vcf_write.header(2)
+
+
+def test_a_failed_task_leaves_the_older_file(spark, tmp_path):
+    (tmp_path / "one.vcf").write_text("older")
+    bad = variants(spark, 3000, 5).withColumn("dosages", F.when(F.col("row_idx") == 2998, F.raise_error("broken").cast("array<double>")).otherwise(F.col("dosages")))
+    with pytest.raises(Exception, match="broken"):
+        vcf_write.write_vcf(bad, f"{tmp_path}/one.vcf", 2)
+    assert os.listdir(tmp_path) == ["one.vcf"] and (tmp_path / "one.vcf").read_text() == "older"
+
+
+def test_pieces_by_the_driver_where_tasks_do_not_see_the_file_and_where_none_are_joined(spark, tmp_path, monkeypatch):
+    parts = []
+    for i in range(4):
+        (tmp_path / f"p{i}").write_bytes(bytes([65 + i]) * (1000 * i))
+        parts.append(joined.Piece(f"file://{tmp_path}/p{i}", i, 1000 * i) if i else joined.Piece(data=b"head\n"))
+    want = b"head\n" + b"".join(bytes([65 + i]) * (999 * i) for i in range(1, 4))
+    joined.append(spark, parts, f"{tmp_path}/appended")
+    assert (tmp_path / "appended").read_bytes() == want
+    monkeypatch.setattr(joined, "copier", lambda target: lambda batches: batches)  # no task sees it
+    monkeypatch.setattr(joined, "RANGE_BYTES", 700)
+    joined.join(spark, parts, f"{tmp_path}/joined")
+    assert (tmp_path / "joined").read_bytes() == want
+    assert not joined.concatenated(spark, [f"{tmp_path}/p1", f"{tmp_path}/p2"], f"{tmp_path}/p")  # the local file system joins none
+    with pytest.raises(OSError, match="ends at byte"):
+        joined.append(spark, [joined.Piece(f"file://{tmp_path}/p1", 0, 2000)], f"{tmp_path}/short")
