@@ -1,4 +1,4 @@
-"""Command line: run | preprocess | simulate | merge, with the options of the flow's two packagings."""
+"""Command line: run | preprocess | simulate | merge, with the options of the flow's two packagings; import | export of stage files of raw doubles."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 
 from .config import MergeConfig, PreprocessConfig, SimulateConfig, StandardConfig
 from .plans import chunked, standard
+from .sources import stage_files
 
 
 def parser() -> argparse.ArgumentParser:
@@ -29,6 +30,8 @@ def parser() -> argparse.ArgumentParser:
     command("preprocess", *shared, ("-out", {"required": True}), ("-chunk-size", number | {"default": 10_000}), ("-traits-per-tile", number | {"default": 0}))
     command("simulate", ("-prep", {"required": True}), ("-out", {"required": True}), ("-workers", number | {"default": 0}), ("-compress", on), ("-start-chunk", number | {"default": -1}), ("-end-chunk", number | {"default": -1}))
     command("merge", ("-in", {"required": True, "dest": "chunks"}), ("-out", {"required": True}), ("-no-compress", on), ("-order", {"choices": ["numeric", "lexicographic"], "default": "numeric"}))
+    for name in ("import", "export"):
+        command(name, ("-in", {"required": True, "dest": "folder"}), ("-out", {"required": True}))
     return top
 
 
@@ -43,6 +46,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             chunked.preprocess(spark, PreprocessConfig(a.vcf, a.out, a.samples, a.maf, a.ntraits, a.chunk_size, a.traits_per_tile, a.seed))
         elif a.command == "simulate":
             chunked.simulate(spark, SimulateConfig(a.prep, a.out, a.workers, a.compress, a.start_chunk, a.end_chunk))
+        elif a.command == "import":
+            stage_files.import_stages(spark, a.folder, a.out)
+        elif a.command == "export":
+            stage_files.export_stages(spark, a.folder, a.out)
         else:
             chunked.merge(spark, MergeConfig(a.chunks, a.out, not a.no_compress, a.order))
     except (ValueError, OSError, PySparkException, Py4JError) as e:  # settings, files, and what Spark or its file systems raise

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -76,3 +77,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def parse_double(text: Column, default: float = 0.0) -> Column:
     return F.coalesce(text.try_cast("double"), F.lit(default))
+
+
+def split_text(text: Column, delimiter: str) -> Column:
+    """Parts of a text; empty ones inside stay, one at the end goes, so an empty text has none."""
+    parts = F.split(text, re.escape(delimiter), -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)

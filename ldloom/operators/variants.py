@@ -30,10 +30,15 @@ def derive_af(df: DataFrame) -> DataFrame:
     return df if "af" in df.columns else df.withColumn("af", F.coalesce("info_af", D.af_from_dosage(F.col("ds"))))
 
 
+def af_known(af: str = "af") -> Column:
+    """There is a frequency. NaN is one; a negative number, as tools write for none, is not."""
+    return F.col(af).isNotNull() & ~(F.col(af) < 0)
+
+
 def passes_maf(maf: float, mode: str = "standard", af: str = "af") -> Column:
     """Known and in [maf, 1 - maf], both ends included. Spark holds NaN above all numbers, so it is tested by itself."""
     inside = (F.col(af) >= F.lit(float(maf))) & (F.col(af) <= F.lit(1.0 - float(maf))) & ~F.isnan(af)
-    return F.col(af).isNotNull() & ((inside | F.isnan(af)) if mode == "standard" else inside)
+    return af_known(af) & ((inside | F.isnan(af)) if mode == "standard" else inside)
 
 
 def maf_filter(df: DataFrame, maf: float, mode: str = "standard") -> DataFrame:

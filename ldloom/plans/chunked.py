@@ -17,7 +17,7 @@ from ..operators.blocked import blocked_product
 from ..operators.simulate import MATRIX_BYTES, gemm
 from ..operators.traits import SAMPLES, fresh_seed, traits, whole_rows
 from ..sources import splits
-from ..sources.store import stored
+from ..sources.store import stored, write_json
 from ..sources.vcf import header_lines, numbered_lines
 from ..sources.vcf_merge import merge_blocks
 from ..sources.vcf_write import in_order, write_files, write_lines
@@ -37,7 +37,7 @@ def preprocess(spark: SparkSession, cfg: PreprocessConfig) -> dict:
         z = stored(with_z(variants), "standardized")
         V.assign_chunks(z, cfg.chunk_size).write.mode("overwrite").partitionBy("chunk_id").parquet(f"{cfg.out}/chunks")
     manifest = {"n_traits": cfg.n_traits, "n_samples": len(names), "n_tiles": -(-cfg.n_traits // tile), "traits_per_tile": tile, "n_variants": n, "n_chunks": -(-n // cfg.chunk_size), "seed": seed, "n_total": counts["total"], "n_duplicates": counts["duplicates"]}
-    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{cfg.out}/manifest")
+    write_json(spark, manifest, f"{cfg.out}/manifest")
     return manifest
 
 

@@ -20,8 +20,8 @@ from .operators import traits as T
 from .operators import variants as V
 from .operators.blocked import blocked_product
 from .plans import chunked
-from .sources import vcf, vcf_source, vcf_write
-from .sources.store import scratch, stored
+from .sources import stage_files, vcf, vcf_source, vcf_write
+from .sources.store import scratch, stored, write_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -248,6 +248,19 @@ def parse_double_default(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", D.parse_double(text, -1.0).alias("value"))
 
 
+TOKENS = "SELECT p_partkey, p_brand || '|' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END || '|' || p_type || repeat('|', (p_partkey % 4)::INTEGER) AS t FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT p_partkey, '' AS t FROM part WHERE p_partkey % 5 = 0"
+
+
+@query("split_tokens", f"WITH x AS ({TOKENS}), s AS (SELECT p_partkey, string_split(t, '|') AS p FROM x) SELECT p_partkey, len(q)::BIGINT AS n, array_to_string(q, ',') AS tokens FROM (SELECT p_partkey, CASE WHEN p[len(p)] = '' THEN p[1:len(p) - 1] ELSE p END AS q FROM s)")
+def split_tokens(spark, sf_dir):
+    """Texts with empty tokens inside and at the end, and empty texts."""
+    key = F.col("p_partkey")
+    ends = F.repeat(F.lit("|"), (key % 4).cast("int"))
+    text = F.when(key % 5 == 0, "").otherwise(F.concat("p_brand", F.lit("|"), F.when(key % 3 == 0, "").otherwise(F.col("p_name")), F.lit("|"), "p_type", ends))
+    tokens = D.split_text(text, "|")
+    return load(spark, sf_dir, "part").select("p_partkey", F.size(tokens).cast("long").alias("n"), F.array_join(tokens, ",").alias("tokens"))
+
+
 @query("dosage_round4", f"WITH {WIDE} SELECT row_idx, i AS trait, printf('%.4f', d[i + 1])::DOUBLE AS dosage FROM wide, range(64) t(i)")
 def dosage_round4(spark, sf_dir):
     values = F.slice(F.split("line", "\t"), vcf.FIXED + 1, SAMPLES)
@@ -259,7 +272,7 @@ def dosage_round4(spark, sf_dir):
 
 @query("af_known_filter", f"WITH {ODD} SELECT row_idx FROM odd WHERE nan OR af >= 0")
 def af_known_filter(spark, sf_dir):
-    return odd(spark, sf_dir).where("af IS NOT NULL AND NOT af < 0").select("row_idx")
+    return odd(spark, sf_dir).where(V.af_known()).select("row_idx")
 
 
 @query("maf_filter", f"WITH {WIDE} SELECT row_idx, {r6('af')} AS af FROM af WHERE af >= 0.12::DOUBLE AND af <= 1.0::DOUBLE - 0.12::DOUBLE")
@@ -542,6 +555,18 @@ def trait_tile_scan(spark, sf_dir):
     return spread(made, F.col("dosages"), "trait", "y")
 
 
+@query("stage_files_roundtrip", f"WITH {KEPT}{MOMENTS}, w AS (SELECT vec_id::BIGINT AS trait, list_transform(embedding, lambda x: x::DOUBLE * 8.0::DOUBLE) AS w FROM embeddings WHERE vec_id < 8) SELECT ranked.rank AS row_idx, z.pos, z.id, rank // 100 AS chunk_id, trait, {r6('list_dot_product(z, w) / len(z)')} AS y FROM z JOIN ranked USING (row_idx), w")
+def stage_files_roundtrip(spark, sf_dir):
+    """Chunks and tiles as files of raw doubles and their text files, brought in again and multiplied."""
+    prep, files, back = stored_chunks(spark, sf_dir), scratch(spark, "files"), scratch(spark, "back")
+    weights(spark, sf_dir).select("trait", F.floor(F.col("trait") / 3).cast("int").alias("tile_id"), F.lit(0).alias("block"), "w").write.partitionBy("tile_id").parquet(f"{prep}/traits")
+    write_json(spark, {"n_samples": SAMPLES}, f"{prep}/manifest")
+    stage_files.export_stages(spark, prep, files)
+    stage_files.import_stages(spark, files, back)
+    made = blocked_product(chunked.read_chunks(spark, back), chunked.read_trait_blocks(spark, back), SAMPLES, scale=False, rows=50, traits=3, cell=2)
+    return made.select("row_idx", "pos", "id", F.col("chunk_id").cast("long"), F.posexplode("dosages").alias("t", "y")).select("row_idx", "pos", "id", "chunk_id", F.col("t").cast("long").alias("trait"), D.round6(F.col("y")).alias("y"))
+
+
 @query("flow_counters", f"WITH {FILE} SELECT (SELECT count(*) FROM file) AS total, (SELECT count(*) FROM single) AS filtered, (SELECT count(*) FROM through WHERE NOT once) AS duplicates")
 def flow_counters(spark, sf_dir):
     """What preprocess counts while it runs."""

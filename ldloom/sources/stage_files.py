@@ -1,5 +1,5 @@
 """Stage files of the command-line tool this flow follows: trait tiles and chunks as raw little-endian doubles, row after row, with text files that tell
-their sizes. They become this library's folders, so that ``simulate`` runs on them.
+their sizes. They become this library's folders, so that ``simulate`` runs on them, and these folders become stage files again.
 
 Files are read in ranges of whole records by many tasks, whatever their size. A file that is shorter or longer than its text file tells raises, where the
 tool itself would go on with zeros.
@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 from ..operators.traits import SAMPLES
 from . import splits
+from .joined import Piece, append
+from .store import remove, write_json
 
 #: Bytes of records that a task reads at once.
 RANGE_BYTES = 16 << 20
@@ -86,16 +89,19 @@ def read_chunks(spark: SparkSession, folder: str, n_samples: int) -> tuple[DataF
     names = [s.getPath().getName() for s in jvm.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(jvm)]
     found = sorted(int(m[1]) for x in names if (m := re.fullmatch(r"chunk_(\d+)\.meta", x)))
     files, start, starts = [], 0, []
+    paths = [f"{folder}/{META.replace('{}', str(c))}" for c in found]
+    lines = spark.read.text(paths, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"chunk_(\d+)", 1).cast("int").alias("chunk_id"), F.posexplode(F.split("value", "\n")).alias("nth", "line"))
+    heads: dict[int, list[str]] = {}
+    for c, _, line in sorted(lines.where("nth < 3").collect()):  # three rows a chunk
+        heads.setdefault(c, []).append(line)
     for c in found:
-        head = settings(spark.read.text(f"{folder}/{META.replace('{}', str(c))}").limit(3).toPandas()["value"].str.cat(sep="\n"))
+        head = settings("\n".join(heads.get(c, [])))
         if int(head["n_samples"]) != n_samples:
             raise StageError(f"chunk {c} holds {head['n_samples']} samples, the tiles {n_samples}")
         files.append((c, sized(spark, f"{folder}/{CHUNK.replace('{}', str(c))}", int(head["n_variants"]), n_samples), int(head["n_variants"])))
         starts.append((c, start, int(head["n_variants"])))
         start += int(head["n_variants"])
     first = spark.createDataFrame(starts, "chunk_id int, first long, n long")
-    paths = [f"{folder}/{META.replace('{}', str(c))}" for c in found]
-    lines = spark.read.text(paths, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"chunk_(\d+)", 1).cast("int").alias("chunk_id"), F.posexplode(F.split("value", "\n")).alias("nth", "line"))
     told = lines.where("nth >= 3 AND line != ''").select("chunk_id", (F.col("nth") - 3).cast("long").alias("nth"), F.split("line", "\t").alias("f"))
     fields = [F.get("f", F.lit(i)).alias(c) for i, c in enumerate(("chrom", "pos", "id", "ref", "alt"))]
     wrong = told.groupBy("chunk_id").agg(F.count("*").alias("m")).join(first, "chunk_id", "right").where("coalesce(m, 0) != n").select("chunk_id").first()
@@ -113,5 +119,77 @@ def import_stages(spark: SparkSession, folder: str, out: str) -> dict[str, int]:
     tiles.write.mode("overwrite").partitionBy("tile_id").parquet(f"{out}/traits")
     rows.repartition("chunk_id").write.mode("overwrite").partitionBy("chunk_id").parquet(f"{out}/chunks")
     manifest = n | {"n_variants": n_variants, "n_chunks": n_chunks, "seed": None}
-    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/manifest")
+    write_json(spark, manifest, f"{out}/manifest")
     return manifest
+
+
+def write_files(rows: DataFrame, folder: str, names: str, encode: Callable[[pa.RecordBatch], bytes], order: list[str]) -> dict[int, int]:
+    """A file for every value of ``part``, its rows in ``order``; value -> bytes. A task writes a file under a name of its own, the driver renames it, so files
+    of failed tasks are never seen."""
+    from pyarrow import fs
+
+    uri = splits.qualified(rows.sparkSession, folder)
+    job = f"_parts-{uuid.uuid4().hex}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, where = fs.FileSystem.from_uri(uri)
+        system.create_dir(f"{where}/{job}", recursive=True)
+        made: list[tuple[int, str, int]] = []
+        out = None
+        try:
+            for batch in batches:
+                parts = batch.column("part").to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1), len(parts)]
+                for start, end in zip(cuts, cuts[1:]):
+                    if end > start and (not made or made[-1][0] != parts[start]):
+                        if out:
+                            out.close()
+                        made.append((int(parts[start]), uuid.uuid4().hex, 0))
+                        out = system.open_output_stream(f"{where}/{job}/{made[-1][1]}")
+                    if end > start:
+                        out.write(data := encode(batch.slice(start, end - start)))
+                        made[-1] = (*made[-1][:2], made[-1][2] + len(data))
+        finally:
+            if out:
+                out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64()))], names=["part", "name", "size"])
+
+    system, where = fs.FileSystem.from_uri(uri)
+    system.create_dir(f"{where}/{names}".rsplit("/", 1)[0], recursive=True)
+    try:
+        made = rows.repartition("part").sortWithinPartitions("part", *order).mapInArrow(run, "part int, name string, size long").collect()  # a row a file
+        for part, name, _ in made:
+            system.move(f"{where}/{job}/{name}", f"{where}/{names.replace('{}', str(part))}")
+    finally:
+        remove(rows.sparkSession, f"{folder}/{job}")
+    return {part: size for part, _, size in made}
+
+
+def doubles(batch: pa.RecordBatch) -> bytes:
+    return batch.column("row").flatten().to_numpy(zero_copy_only=False).astype("<f8").tobytes()
+
+
+def text_lines(batch: pa.RecordBatch) -> bytes:
+    return "".join(f"{x}\n" for x in batch.column("line").to_pylist()).encode()
+
+
+def export_stages(spark: SparkSession, prep: str, out: str) -> None:
+    """Writes the tiles and chunks of ``preprocess`` as stage files, so that the tool goes on from them. Rows of a wrong length raise."""
+    n = json.loads(spark.read.text(f"{prep}/manifest").first()[0])
+    width = 8 * n["n_samples"]
+    tiles = spark.read.parquet(f"{prep}/traits").select(F.col("tile_id").cast("int").alias("part"), "trait", "block", F.col("w").alias("row"))
+    counts = dict(sorted((r[0], r[1]) for r in tiles.groupBy("part").agg(F.count_distinct("trait")).collect()))  # a row a tile
+    chunks = spark.read.parquet(f"{prep}/chunks").withColumn("part", F.col("chunk_id").cast("int"))
+    sizes = chunks.groupBy("part").agg(F.count("*").alias("n"))
+    held = {r[0]: r[1] for r in sizes.collect()}  # a row a chunk
+    told = F.array(*(F.concat(F.lit(k), v.cast("string")) for k, v in (("chunk_id=", F.col("part")), ("n_variants=", F.col("n")), ("n_samples=", F.lit(n["n_samples"])))))
+    heads = sizes.select("part", F.posexplode(told).alias("place", "line")).withColumn("place", F.col("place") - 3)
+    lines = chunks.select("part", F.col("row_in_chunk").alias("place"), F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt").alias("line"))
+    made = write_files(tiles, out, TILE, doubles, ["trait", "block"])
+    written = write_files(chunks.select("part", "row_in_chunk", F.col("z").alias("row")), out, CHUNK, doubles, ["row_in_chunk"])
+    wrong = [names.replace("{}", str(p)) for names, sizes_, want in ((TILE, made, counts), (CHUNK, written, held)) for p in want if sizes_.get(p, 0) != want[p] * width]
+    if wrong:
+        raise StageError(f"rows that don't hold {n['n_samples']} numbers: {wrong[:5]}")
+    write_files(heads.unionByName(lines), out, META, text_lines, ["place"])
+    text = f"n_traits={sum(counts.values())}\nn_samples={n['n_samples']}\nn_tiles={len(counts)}\ntile_trait_counts={','.join(map(str, counts.values()))}\n"
+    append(spark, [Piece(data=text.encode())], f"{out}/{TILES}")

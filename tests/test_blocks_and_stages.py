@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from ldloom import cli
 from ldloom.config import SimulateConfig
 from ldloom.operators import traits as T
 from ldloom.operators.blocked import blocked_product
@@ -106,3 +108,23 @@ def test_large_matrices_are_multiplied_in_blocks(spark, tmp_path, monkeypatch):
         files = chunked.simulate(spark, SimulateConfig(str(tmp_path / "prep"), str(tmp_path / f"out{most}"), compress=False))
         texts.append([open(f).read() for f in files])
     assert texts[0] == texts[1] and len(texts[0]) == 3
+
+
+def test_exported_stages_are_the_files_that_came_in(spark, tmp_path):
+    """Byte for byte; an id with '=' in a chunk's first line too. Through the command line."""
+    written_stages(tmp_path / "in")
+    assert cli.main(["import", "-in", str(tmp_path / "in"), "-out", str(tmp_path / "prep")], spark) == 0
+    assert cli.main(["export", "-in", str(tmp_path / "prep"), "-out", str(tmp_path / "out")], spark) == 0
+    files = lambda at: {str(p.relative_to(at)): p.read_bytes() for p in at.rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+    assert files(tmp_path / "out") == files(tmp_path / "in")
+
+
+def test_rows_of_another_length_are_not_exported(spark, tmp_path):
+    written_stages(tmp_path / "in")
+    stage_files.import_stages(spark, str(tmp_path / "in"), str(tmp_path / "prep"))
+    short = spark.read.parquet(str(tmp_path / "prep/chunks")).withColumn("z", F.when(F.col("row_idx") == 5, F.slice("z", 1, 3)).otherwise(F.col("z")))
+    short.write.partitionBy("chunk_id").parquet(str(tmp_path / "short/chunks"))
+    (tmp_path / "prep/traits").rename(tmp_path / "short/traits")
+    (tmp_path / "prep/manifest").rename(tmp_path / "short/manifest")
+    with pytest.raises(stage_files.StageError, match="chunk_2"):
+        stage_files.export_stages(spark, str(tmp_path / "short"), str(tmp_path / "out"))
