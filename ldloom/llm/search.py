@@ -7,8 +7,8 @@ vectors at once (a product over those columns, the others aren't read); the othe
 yields k rows a query, and a ranked window merges the shards.
 
 Vectors are packed into shards of ``SHARD`` rows and queries into blocks of ``QUERIES`` rows; every query block meets
-every shard (a stated query set against all rows, in blocks). Nothing is broadcast, and a task holds one block and one
-shard. Copies of a vector are ordinary rows: ties go to the smaller vec_id.
+every shard (a stated query set against all rows, in blocks). They meet in cells, by a shuffle whatever their size: a broadcast would put the queries' copies, one for each column
+of cells, into the driver. A task holds one block and one shard. Copies of a vector are ordinary rows: ties go to the smaller vec_id.
 
 Defined cases: a vector that is null or holds a null or non-finite component takes no part, neither as query nor as candidate; vectors of
 different lengths don't meet; a null id is no query and no candidate; repeated rows (one id twice) are each a candidate,
@@ -29,7 +29,10 @@ from .common import cut, table
 SHARD = 4096
 CHUNK = 512
 QUERIES = 512
-CELL_BLOCKS = 16
+#: Blocks and shards of a cell. Up to ``COLUMNS`` shards have a column of cells each, so that few rows are searched in as many tasks.
+CELL_BLOCKS = CELL_SHARDS = 16
+COLUMNS = 64
+TASKS = 10_000
 K = 10
 SCALE = 1024
 PACKED = "dim int, n int, ids binary, values binary"
@@ -170,12 +173,15 @@ def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     shards = cut(rows.mapInArrow(bundle(SHARD), PACKED), "shards")
     asked = cut(rows.where(is_query).mapInArrow(bundle(QUERIES), PACKED), "queries")
     # A grid of cells, each with few shards and few query blocks: no key of the join gathers more than a cell.
-    across, down = max(1, min(shards.count(), 1 << 16)), max(1, -(-asked.count() // CELL_BLOCKS))
+    n = shards.count()
+    across, down = max(1, min(n, COLUMNS), -(-n // CELL_SHARDS)), max(1, -(-asked.count() // CELL_BLOCKS))
+    tasks = min(across * down, TASKS)
     number = F.monotonically_increasing_id()  # of a row of a written table
-    left = shards.withColumn("x", F.pmod(F.xxhash64(number), F.lit(across))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+    left = shards.withColumn("x", F.pmod(F.xxhash64(number), F.lit(across)).cast("long")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
     right = asked.select("dim", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("values").alias("qvalues"), F.pmod(F.xxhash64(number), F.lit(down)).cast("int").alias("y"))
     right = right.withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(across - 1).cast("long"))))
-    met = left.join(right, ["dim", "x", "y"])
+    cell = ["dim", "x", "y"]
+    met = left.repartition(tasks, *cell).hint("merge").join(right.repartition(tasks, *cell), cell)
     found = met.mapInArrow(search_blocks(k), FOUND)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

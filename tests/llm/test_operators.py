@@ -401,6 +401,19 @@ def test_op7(spark, odd):
     assert {tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in rows(spark, "op7_topk", folder)} == want
 
 
+def test_queries_meet_shards_in_few_cells_and_none_in_the_driver(spark, monkeypatch):
+    for name, value in (("SHARD", 8), ("QUERIES", 4), ("CELL_BLOCKS", 3), ("CELL_SHARDS", 5), ("COLUMNS", 2)):
+        monkeypatch.setattr(search, name, value)
+    v = np.random.default_rng(4).integers(-3, 4, (300, 5))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.astype(float).tolist())], "vec_id long, embedding array<double>").repartition(3)
+    found = search.top_k(df, "vec_id % 5 = 0")
+    plan = found._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect()}
+    score = v @ v.T * search.SCALE**2
+    assert got == {(q, k + 1, j, score[q, j]) for q in range(0, 300, 5) for k, j in enumerate([j for j in np.lexsort((np.arange(300), -score[q])) if j != q][:10])}
+
+
 def test_maxscore_equals_all_products():
     rng = np.random.default_rng(2)
     v = np.floor(1024 * rng.standard_normal((3000, 16)))
