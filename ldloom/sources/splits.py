@@ -18,10 +18,12 @@ from pyspark.sql import SparkSession
 
 SPLIT_BYTES = 16 << 20
 #: Text given out at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 MAGIC = b"\x1f\x8b\x08\x04"
 #: A block has at most so many bytes.
 BLOCK_BYTES = 1 << 16
+#: Bytes of a compressed file read at once.
+READ_BYTES = 4 * BLOCK_BYTES
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -85,7 +87,7 @@ def blocks(file, at: int, size: int) -> Iterator[tuple[int, bytes]]:
     data = b""
     while True:
         n = block_size(data)
-        while (not n or len(data) < n) and (more := file.read(1 << 20)):
+        while (not n or len(data) < n) and (more := file.read(READ_BYTES)):
             data += more
             n = block_size(data)
         if not data:

@@ -235,3 +235,18 @@ def test_source_reports_bad_lines(spark, tmp_path):
     with pytest.raises(Exception, match="malformed"):
         spark.read.format("vcf").load(path).count()
     assert spark.read.format("vcf").option("mode", "DROPMALFORMED").load(path).count() == 20
+
+
+def test_a_batch_is_decoded_in_small_slices():
+    """What numpy holds at once is bounded, however large Arrow's batches are."""
+    import tracemalloc
+
+    line = "\t".join(["chr1", "7", "v", "A", "G", ".", "PASS", ".", "GT:DS", *["0/1:0.125"] * 64])
+    lines = pa.array([line] * 8000)  # 5 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(8000)), lines], names=["row_idx", "value"])
+    run = decode.decoder(["row_idx"], "value", 64, list(range(64)), True, True, "DS", True, "FAILFAST", True, True)
+    tracemalloc.start()
+    n = sum(b.num_rows for b in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 8000 and peak < 80 << 20
