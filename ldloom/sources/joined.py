@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -89,15 +89,15 @@ def copy_range(uri: str, start: int, end: int, target: str, at: int) -> None:
             out.write(data)
 
 
-def part_writer(folder: str):
-    """A partition's rows, one column of bytes -> the part it wrote."""
+def part_writer(folder: str, pack: Callable):
+    """A partition's rows, packed into one column of bytes -> the part it wrote."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, where = splits.system_of(folder)
         system.create_dir(where, recursive=True)
         name, size, out = f"part-{uuid.uuid4().hex}", 0, None
         try:
-            for batch in batches:
+            for batch in pack(batches):
                 for data in batch.column(0).to_pylist():
                     out = out or system.open_output_stream(f"{where}/{name}")
                     out.write(data)
@@ -191,9 +191,9 @@ def join(spark: SparkSession, pieces: list[Piece], path: str) -> None:
         remove(spark, rough)
 
 
-def write_joined(data: DataFrame, path: str, head: bytes, tail: bytes) -> None:
-    """head, the rows of ``data`` (one column of bytes; partitions are in order, and so are their rows), tail."""
-    spark = data.sparkSession
+def write_joined(rows: DataFrame, pack: Callable, path: str, head: bytes, tail: bytes) -> None:
+    """head, the rows (partitions are in order, and so are their rows) as ``pack`` makes them bytes, tail. ``pack``: batches to batches of one column, data; it runs in the worker that writes."""
+    spark = rows.sparkSession
     local = splits.qualified(spark, path).startswith("file:")
     folder = scratch(spark, "parts") if local else f"{path}.parts-{uuid.uuid4().hex}"
     uri = splits.qualified(spark, folder)
@@ -201,14 +201,14 @@ def write_joined(data: DataFrame, path: str, head: bytes, tail: bytes) -> None:
         out = ByteStream(spark, path)
         try:
             out.write(head)
-            for r in data.toLocalIterator(prefetchPartitions=True):
+            for r in rows.mapInArrow(pack, "data binary").toLocalIterator(prefetchPartitions=True):
                 out.write(bytes(r[0]))
             out.write(tail)
         finally:
             out.close()
         return
     try:
-        made = sorted(data.mapInArrow(part_writer(uri), "part int, name string, size long").collect())  # a row a task
+        made = sorted(rows.mapInArrow(part_writer(uri, pack), "part int, name string, size long").collect())  # a row a task
         ends = [Piece(data=d) for d in (head, tail)]
         pieces = [ends[0], *(Piece(f"{uri}/{name}", 0, size) for _, name, size in made), ends[1]]
         if not local:

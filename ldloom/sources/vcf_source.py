@@ -24,6 +24,8 @@ from . import splits
 from .decode import FIXED, VcfError, decoder
 
 SCHEMA = "row_idx long, chrom string, pos int, id string, ref string, alt string, info_af double, af double, has_ds boolean, ds array<double>"
+#: Bytes of small ranges that one task of ``build_index`` looks at.
+TASK_BYTES = 1 << 20
 ZONES = "start long, stop long, n long, zones array<struct<chrom: string, low: int, high: int>>"
 
 
@@ -41,10 +43,12 @@ class Range(InputPartition):
     first: int
 
 
-def zone_rows(kind: str, found: list[tuple[str, int, int]]):
+def zone_rows(kind: str, uri: str, size: int, most: int):
+    """Numbers of ranges of ``most`` bytes -> their zones; a task knows no other range."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in (i for batch in batches for i in batch.column("id").to_pylist()):
-            uri, start, end = found[i]
+            start, end = i * most, min(size, (i + 1) * most)
             n, zones = 0, {}
             for lines in data_lines(kind, uri, start, end):
                 n += len(lines)
@@ -71,8 +75,10 @@ def build_index(spark: SparkSession, path: str, out: str = "", split_bytes: int
         raise VcfError(f"{path}: Arrow has no file system for it")
     with splits.opened(uri) as file:
         size = file.size()
-    found = splits.ranges(uri, size, size or 1) if kind == "gzip" else splits.ranges(uri, size, split_bytes)
-    rows = spark.range(0, len(found), 1, max(1, len(found))).mapInArrow(zone_rows(kind, found), ZONES).orderBy("start").collect()  # a row for a range
+    most = (size or 1) if kind == "gzip" else split_bytes
+    n = -(-size // most)
+    tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, size // TASK_BYTES)))
+    rows = spark.range(0, n, 1, tasks).mapInArrow(zone_rows(kind, uri, size, most), ZONES).orderBy("start").collect()  # a row for a range
     told = [{"start": r["start"], "end": r["stop"], "n": r["n"], "zones": [list(z) for z in r["zones"]]} for r in rows]
     where = spark._jvm.org.apache.hadoop.fs.Path(out)
     stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)

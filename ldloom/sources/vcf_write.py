@@ -72,8 +72,8 @@ def in_order(df: DataFrame) -> DataFrame:
     return df.repartitionByRange("row_idx").sortWithinPartitions("row_idx")
 
 
-def parts(ordered: DataFrame, compress: bool, level: int = 6) -> DataFrame:
-    """data: the lines of rows in order, joined and packed, some at a time."""
+def packer(compress: bool, level: int = 6):
+    """Batches of lines -> data: the lines joined and packed, some at a time."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,7 +81,7 @@ def parts(ordered: DataFrame, compress: bool, level: int = 6) -> DataFrame:
                 data = "".join(f"{x}\n" for x in batch.column("line").slice(at, 1000).to_pylist()).encode()
                 yield pa.RecordBatch.from_arrays([pa.array([bgzf(data, level) if compress else data])], names=["data"])
 
-    return ordered.select("line").mapInArrow(pack, "data binary")
+    return pack
 
 
 def write_vcf(df: DataFrame, path: str, n_traits: int, profile: str = "standard", compress: bool = False, source: str = SOURCE, level: int = 6, ordered: bool = False) -> None:
@@ -92,7 +92,7 @@ def write_vcf(df: DataFrame, path: str, n_traits: int, profile: str = "standard"
 def write_lines(ordered: DataFrame, path: str, head: str, packed: bool, level: int = 6) -> None:
     """``ordered``: row_idx, line in row order."""
     text = head.encode()
-    write_joined(parts(ordered, packed, level), path, bgzf(text, level) if packed else text, BGZF_END if packed else b"")
+    write_joined(ordered.select("line"), packer(packed, level), path, bgzf(text, level) if packed else text, BGZF_END if packed else b"")
 
 
 def write_parts(df: DataFrame, folder: str, n_traits: int, profile: str = "standard", compress: bool = False, source: str = SOURCE) -> None:

@@ -113,3 +113,15 @@ def test_pieces_by_the_driver_where_tasks_do_not_see_the_file_and_where_none_are
     assert not joined.concatenated(spark, [f"{tmp_path}/p1", f"{tmp_path}/p2"], f"{tmp_path}/p")  # the local file system joins none
     with pytest.raises(OSError, match="ends at byte"):
         joined.append(spark, [joined.Piece(f"file://{tmp_path}/p1", 0, 2000)], f"{tmp_path}/short")
+
+
+def test_lines_are_packed_in_the_worker_that_writes_them(spark, tmp_path, monkeypatch):
+    """A task has one Python worker: what is packed doesn't go back to Spark before it is written."""
+    rows = spark.range(5000).selectExpr("id AS row_idx", "concat('line', id) AS line").repartitionByRange(3, "row_idx").sortWithinPartitions("row_idx")
+    used, own = [], type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, *a, **k: used.append(1) or own(self, *a, **k))
+    path = str(tmp_path / "a.gz")
+    vcf_write.write_lines(rows, path, "head\n", True)
+    assert gzip.open(path, "rt").read().splitlines() == ["head", *(f"line{i}" for i in range(5000))]
+    ranges = used.pop()  # the copier of ranges, a job of its own
+    assert used == [1] and ranges

@@ -1,6 +1,7 @@
 """Reading VCF: the decoder, byte ranges of block gzip, late decoding, the data source and its pruning, counters."""
 
 import gzip
+import json
 import random
 import struct
 import time
@@ -250,3 +251,14 @@ def test_a_batch_is_decoded_in_small_slices():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 8000 and peak < 80 << 20
+
+
+def test_an_index_takes_no_task_for_each_range(spark, tmp_path):
+    path = tmp_path / "a.vcf"
+    path.write_text(text_of(300, 4))
+    spark.sparkContext.setJobGroup("zones", "")
+    index = vcf_source.build_index(spark, str(path), split_bytes=500)
+    status = spark.sparkContext.statusTracker()
+    tasks = [status.getStageInfo(s).numTasks for j in status.getJobIdsForGroup("zones") for s in status.getJobInfo(j).stageIds if status.getStageInfo(s)]
+    spark.sparkContext._jsc.clearJobGroup()
+    assert len(json.loads(open(index).read())["ranges"]) > 30 and max(tasks) <= 4
