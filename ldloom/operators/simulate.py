@@ -33,8 +33,13 @@ def scaled_rows(y: np.ndarray) -> np.ndarray:
         return np.where(span == 0, 1.0, 2 * (y - lo) / np.where(span == 0, 1, span))
 
 
-def gemm(df: DataFrame, matrix: np.ndarray | None = None, *, seed: int | None = None, n_traits: int = 0, per_tile: int = 2000, z: str = "z", out: str = "dosages", scale: bool = True) -> DataFrame:
+def gemm(df: DataFrame, matrix: np.ndarray | None = None, **how) -> DataFrame:
     """df with ``out`` (array<double>, one value a trait) in place of ``z``. Give the matrix (traits x samples) or a seed."""
+    return df.mapInArrow(*multiplier(df, matrix, **how))
+
+
+def multiplier(df: DataFrame, matrix: np.ndarray | None = None, *, seed: int | None = None, n_traits: int = 0, per_tile: int = 2000, z: str = "z", out: str = "dosages", scale: bool = True) -> tuple:
+    """(batches of df to batches of ``gemm``, their schema), for a worker that goes on with them."""
     if matrix is not None and matrix.nbytes > MATRIX_BYTES:
         raise ValueError("a matrix this large is made in the tasks: give its seed")
     others = [f for f in df.schema.fields if f.name not in (z, out)]
@@ -64,7 +69,7 @@ def gemm(df: DataFrame, matrix: np.ndarray | None = None, *, seed: int | None =
 
     from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-    return df.mapInArrow(run, StructType([*others, StructField(out, ArrayType(DoubleType()))]))
+    return run, StructType([*others, StructField(out, ArrayType(DoubleType()))])
 
 
 def by_arrays(df: DataFrame, matrix: DataFrame, z: str = "z", out: str = "dosages", scale: bool = True) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import MergeConfig, PreprocessConfig, SimulateConfig, traits_per_tile
 from ..operators import variants as V
 from ..operators.blocked import blocked_product
-from ..operators.simulate import MATRIX_BYTES, gemm
+from ..operators.simulate import MATRIX_BYTES, gemm, multiplier
 from ..operators.traits import SAMPLES, fresh_seed, traits, whole_rows
 from ..sources import splits
 from ..sources.store import stored, write_json
@@ -59,14 +59,19 @@ def read_traits(spark: SparkSession, prep: str) -> DataFrame:
     return whole_rows(read_trait_blocks(spark, prep))
 
 
+def held(matrix: DataFrame, n_traits: int, n_samples: int) -> np.ndarray:
+    """Stored trait blocks as one matrix."""
+    out = np.zeros((n_traits, n_samples))
+    for r in matrix.toLocalIterator():
+        out[r["trait"], r["block"] * SAMPLES : r["block"] * SAMPLES + len(r["w"])] = r["w"]
+    return out
+
+
 def product(z: DataFrame, matrix: DataFrame, n_traits: int, n_samples: int) -> DataFrame:
     """Stored rows z times stored trait blocks: a matrix up to ``MATRIX_BYTES`` goes to all tasks, a larger one is multiplied in blocks."""
     if 8 * n_traits * n_samples > MATRIX_BYTES:
         return blocked_product(z, matrix, n_samples)
-    held = np.zeros((n_traits, n_samples))
-    for r in matrix.toLocalIterator():
-        held[r["trait"], r["block"] * SAMPLES : r["block"] * SAMPLES + len(r["w"])] = r["w"]
-    return gemm(z, held)
+    return gemm(z, held(matrix, n_traits, n_samples))
 
 
 def simulate(spark: SparkSession, cfg: SimulateConfig) -> list[str]:
@@ -74,10 +79,11 @@ def simulate(spark: SparkSession, cfg: SimulateConfig) -> list[str]:
     m = read_manifest(spark, cfg.prep)
     chunks, matrix = read_chunks(spark, cfg.prep, cfg.start_chunk, cfg.end_chunk), read_trait_blocks(spark, cfg.prep)
     by_chunk = lambda rows: rows.repartition("chunk_id").sortWithinPartitions("chunk_id", "row_idx")
-    small = 8 * m["n_traits"] * m["n_samples"] <= MATRIX_BYTES  # then the narrower z is dealt out, else the products are
-    made = product(by_chunk(chunks) if small else chunks, matrix, m["n_traits"], m["n_samples"])
+    small = 8 * m["n_traits"] * m["n_samples"] <= MATRIX_BYTES  # then the narrower z is dealt out, and multiplied by the workers that write; else the products are
+    make = multiplier(chunks, held(matrix, m["n_traits"], m["n_samples"])) if small else None
+    made = chunks if small else product(chunks, matrix, m["n_traits"], m["n_samples"])
     with timed("simulate and write"):
-        return write_files(made if small else by_chunk(made), cfg.out, "chunk_id", "chunk_{}.vcf" + ".gz" * cfg.compress, m["n_traits"], "chunked", cfg.compress)
+        return write_files(by_chunk(made), cfg.out, "chunk_id", "chunk_{}.vcf" + ".gz" * cfg.compress, m["n_traits"], "chunked", cfg.compress, make=make)
 
 
 def chunk_files(spark: SparkSession, folder: str, order: str = "numeric") -> list[str]:

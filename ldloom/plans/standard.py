@@ -13,7 +13,7 @@ from ..config import StandardConfig, traits_per_tile
 from ..functions import dosage as D
 from ..operators import variants as V
 from ..operators.blocked import blocked_product
-from ..operators.simulate import MATRIX_BYTES, gemm
+from ..operators.simulate import MATRIX_BYTES, multiplier
 from ..operators.traits import fresh_seed, traits
 from ..sources.store import stored
 from ..sources.vcf import VcfFile
@@ -41,7 +41,7 @@ def passing(spark: SparkSession, path: str, samples: str, maf: float, mode: str
     single, whole = bits.agg(F.coalesce(F.sum("single"), F.lit(0)), F.coalesce(F.sum("whole"), F.lit(0))).first()
     counts = {"total": seen.get["total"], "filtered": whole, "duplicates": seen.get["passed"] - single}
     log.info("total %(total)d, filtered %(filtered)d, duplicates %(duplicates)d", counts)
-    return file.variants(V.rows_in(file.lines, bits)).drop("has_ds"), file.names, counts
+    return file.variants(bits).drop("has_ds"), file.names, counts
 
 
 def with_z(kept: DataFrame) -> DataFrame:
@@ -63,10 +63,10 @@ def run_standard(spark: SparkSession, cfg: StandardConfig) -> int:
     if not (n := counts["filtered"]):
         raise ValueError("no variant passed the filters")
     if 8 * cfg.n_traits * len(names) <= MATRIX_BYTES:
-        made = gemm(in_order(z), seed=seed, n_traits=cfg.n_traits, per_tile=min(cfg.n_traits, 2000))
+        made, make = in_order(z), multiplier(z, seed=seed, n_traits=cfg.n_traits, per_tile=min(cfg.n_traits, 2000))
     else:  # no task makes a tile anew for each of its rows
         tile = traits_per_tile(cfg.n_traits, len(names))
-        made = in_order(blocked_product(z, traits(spark, cfg.n_traits, len(names), seed, tile), len(names)))
+        make, made = None, in_order(blocked_product(z, traits(spark, cfg.n_traits, len(names), seed, tile), len(names)))
     with timed("simulate and write"):
-        write_vcf(made, cfg.out, cfg.n_traits, "standard", cfg.compress, ordered=True)
+        write_vcf(made, cfg.out, cfg.n_traits, "standard", cfg.compress, ordered=True, make=make)
     return n

@@ -8,17 +8,17 @@ of up to nine plain digits are read in numpy, rarer forms one by one through a d
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 FIXED = 9
 #: Bytes of lines handled at once: numpy's columns for them take some 50 times as much, in each worker.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 TAB, COLON, COMMA, DOT, ZERO = b"\t:,.0"
 _NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[+-]?(nan|inf|infinity)", re.IGNORECASE | re.ASCII)
 _AF = re.compile(rb"(?:^|;)AF=([^;,]*)")
@@ -239,17 +239,18 @@ def decoder(names: list[str], value: str, samples: int | None, chosen: list[int]
     return run
 
 
-def decode(lines: DataFrame, samples: int | None = None, chosen: list[int] | None = None, *, af: bool = True, ds: bool = True, field: str = "DS", impute: bool = False, mode: str = "", value: str = "value", emit_af: bool = False, emit_ds: bool = True) -> DataFrame:
+def decode(lines: DataFrame, samples: int | None = None, chosen: list[int] | None = None, *, af: bool = True, ds: bool = True, field: str = "DS", impute: bool = False, mode: str = "", value: str = "value", emit_af: bool = False, emit_ds: bool = True, reader: Callable | None = None) -> DataFrame:
     """The other columns of ``lines``, then chrom, pos, id, ref, alt, info_af, if asked af and has_ds, and ds.
 
     ``samples``: how many a line has (None: as many as are there); ``chosen``: which are read, in order, repeats included. ``af``, ``ds``: whether INFO's AF and
     the dosage field may be used. ``impute``: missing dosages are 0, and doubles. ``mode``: FAILFAST raises on a line with a bad position or a wrong number
-    of fields, DROPMALFORMED leaves it out, none takes what is there. Without ``emit_ds`` cells are read only where a frequency must be made from them."""
-    others = [f for f in lines.schema.fields if f.name != value]
+    of fields, DROPMALFORMED leaves it out, none takes what is there. Without ``emit_ds`` cells are read only where a frequency must be made from them.
+    ``reader``: batches of ``lines`` to batches of row_idx and value, in the worker that decodes them."""
+    others = [StructField("row_idx", LongType())] if reader else [f for f in lines.schema.fields if f.name != value]
     text = [StructField(c, IntegerType() if c == "pos" else StringType()) for c in ("chrom", "pos", "id", "ref", "alt")]
     from pyspark.sql.types import BooleanType
 
     more = [StructField("info_af", DoubleType()), *([StructField("af", DoubleType()), StructField("has_ds", BooleanType())] if emit_af else [])]
     more += [StructField("ds", ArrayType(DoubleType() if impute else FloatType()))] if emit_ds else []
     run = decoder([f.name for f in others], value, samples, chosen, af, ds, field, impute, mode, emit_af, emit_ds)
-    return lines.mapInArrow(run, StructType([*others, *text, *more]))
+    return lines.mapInArrow((lambda batches: run(reader(batches))) if reader else run, StructType([*others, *text, *more]))

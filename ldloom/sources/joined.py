@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import splits
-from .store import remove, scratch
+from .store import frame, remove, scratch
 
 #: Bytes of a range that one task copies, and of one read.
 RANGE_BYTES, READ_BYTES = 64 << 20, 4 << 20
+RANGES = pa.schema([("uri", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("at", pa.int64())])
 
 
 @dataclass(frozen=True)
@@ -142,7 +143,7 @@ def place(spark: SparkSession, pieces: list[Piece], target: str) -> None:
     if not ranges:
         return
     step = F.explode(F.sequence(F.lit(0), F.col("end") - F.col("start") - 1, F.lit(RANGE_BYTES))).alias("step")
-    cut = spark.createDataFrame(ranges, "uri string, start long, end long, at long").select("*", step).select("uri", (F.col("start") + F.col("step")).alias("start"), F.least("end", F.col("start") + F.col("step") + RANGE_BYTES).alias("end"), (F.col("at") + F.col("step")).alias("at"))
+    cut = frame(spark, ranges, RANGES).select("*", step).select("uri", (F.col("start") + F.col("step")).alias("start"), F.least("end", F.col("start") + F.col("step") + RANGE_BYTES).alias("end"), (F.col("at") + F.col("step")).alias("at"))
     tasks = min(10_000, at // RANGE_BYTES + len(ranges) // 100 + 1)
     for r in cut.repartition(tasks, "at").mapInArrow(copier(target), cut.schema).toLocalIterator():
         copy_range(r["uri"], r["start"], r["end"], target, r["at"])

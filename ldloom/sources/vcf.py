@@ -10,15 +10,23 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.variants import BITS, rows_in
 from . import splits
 from .decode import FIXED, VcfError, decode
+from .store import frame
 
 RAW = "row_idx long, chrom string, pos int, id string, ref string, alt string, info_af double, ds array<float>"
 LINES = "_file string, _start long, _seq long, value string"
+OFFSETS = pa.schema([("_file", pa.string()), ("_start", pa.int64()), ("_shift", pa.int64())])
+RANGES = pa.schema([("id", pa.int64()), ("uri", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("first", pa.int64()), ("n", pa.int64())])
+#: Ranges are dealt to so many tasks at most.
+TASKS = 10_000
 
 
 def split_text(text: str, delimiter: str) -> list[str]:
@@ -142,27 +150,85 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     for (_, file), start, n, first in found:
         rows.append((file, start, at - first))
         at += n
-    offsets = spark.createDataFrame(rows, "_file string, _start long, _shift long")
+    offsets = frame(spark, rows, OFFSETS)
     data = lines.where(~F.col("value").startswith("#") & (F.length("value") > 0))
     return data.join(F.broadcast(offsets), ["_file", "_start"]).select((F.col("_seq") + F.col("_shift")).alias("row_idx"), "value")
 
 
+def numbered_ranges(spark: SparkSession, path: str) -> tuple[DataFrame | None, int]:
+    """id, uri, start, end, first, n of the ranges of a block-gzip file that have lines: the number of the first one and how many they are; how many ranges. None for
+    other files."""
+    if not re.search(r"\.b?gz$", path) or splits.kind_of(uri := splits.qualified(spark, path)) != "block":
+        return None, 0
+    size, at, rows = file_size(spark, path), 0, []
+    for r in sorted(packed_lines(spark, [uri], count=True).collect(), key=lambda r: r["_start"]):  # a row a range
+        rows.append((len(rows), uri, r["_start"], min(size, r["_start"] + splits.SPLIT_BYTES), at, r["n"]))
+        at += r["n"]
+    return frame(spark, rows, RANGES), len(rows)
+
+
+def with_bits(ranges: DataFrame, bits: DataFrame) -> DataFrame:
+    """kept: the rows of a bitmap that a range's lines meet. A range that meets none goes."""
+    met = ranges.select("id", F.explode(F.sequence(F.floor(F.col("first") / BITS), F.floor((F.col("first") + F.col("n") - 1) / BITS))).alias("bucket"))
+    kept = met.join(bits.select("bucket", "bits"), "bucket").groupBy("id").agg(F.collect_list(F.struct("bucket", "bits")).alias("kept"))
+    return ranges.join(kept, "id")
+
+
+def in_bits(kept: dict[int, bytes], rows: np.ndarray) -> np.ndarray:
+    """Which rows are in a bitmap."""
+    out = np.zeros(len(rows), bool)
+    for bucket in np.unique(rows // BITS).tolist():
+        if bucket in kept:
+            own = rows // BITS == bucket
+            place = rows[own] % BITS
+            out[own] = np.frombuffer(kept[bucket], np.uint8)[place // 8] >> (place % 8).astype(np.uint8) & 1
+    return out
+
+
+def range_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges -> row_idx, value of their data lines, or of those that are kept."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            at, kept = r["first"], {k["bucket"]: k["bits"] for k in r["kept"]} if "kept" in r else None
+            for data in splits.whole_lines(r["uri"], r["start"], r["end"]):
+                lines = splits.line_array(data)
+                rows = np.arange(at, at + len(lines))
+                at += len(lines)
+                good = pc.and_not(pc.greater(pc.binary_length(lines), 0), pc.starts_with(lines, "#"))
+                if kept is not None:
+                    good = pc.and_(good, pa.array(in_bits(kept, rows)))
+                yield pa.RecordBatch.from_arrays([pa.array(rows), lines], names=["row_idx", "value"]).filter(good)
+
+
 class VcfFile:
     """A VCF file with some of its samples chosen."""
 
     def __init__(self, spark: SparkSession, path: str, samples: str = "", mode: str = "FAILFAST", dosage_field: str = "DS"):
         header, head = read_header(spark, path)
         self.chosen = resolve_samples(header, samples)
-        self.names, self.lines = [header[i] for i in self.chosen], numbered_lines(spark, path)
+        self.names = [header[i] for i in self.chosen]
+        self.ranges, self.tasks = numbered_ranges(spark, path)
+        self.lines = numbered_lines(spark, path) if self.ranges is None else self._dealt(self.ranges).mapInArrow(range_lines, "row_idx long, value string")
         self.how = {"samples": len(header), "chosen": self.chosen, "af": is_float(head, "INFO", "AF"), "ds": dosage_field == "GT" or is_float(head, "FORMAT", dosage_field), "field": dosage_field, "mode": mode}
 
-    def variants(self, lines: DataFrame | None = None) -> DataFrame:
-        """row_idx, chrom, pos, id, ref, alt, info_af, af, has_ds, ds (missing ones 0) of all lines, or of some."""
-        return decode(self.lines if lines is None else lines, **self.how, impute=True, emit_af=True)
+    def _dealt(self, ranges: DataFrame) -> DataFrame:
+        """A range a task."""
+        return ranges.repartitionByRange(max(1, min(TASKS, self.tasks)), "id")
+
+    def _decoded(self, bits: DataFrame | None = None, **how) -> DataFrame:
+        """Ranges are read by the workers that decode their lines, so a task has one."""
+        if self.ranges is not None:
+            ranges = self.ranges if bits is None else with_bits(self.ranges, bits)
+            return decode(self._dealt(ranges), **self.how, **how, impute=True, emit_af=True, reader=range_lines)
+        return decode(self.lines if bits is None else rows_in(self.lines, bits), **self.how, **how, impute=True, emit_af=True)
+
+    def variants(self, bits: DataFrame | None = None) -> DataFrame:
+        """row_idx, chrom, pos, id, ref, alt, info_af, af, has_ds, ds (missing ones 0) of all lines, or of those in a bitmap, a written table."""
+        return self._decoded(bits)
 
     def heads(self) -> DataFrame:
         """The same without ds: cells are read only where a frequency must be made from them."""
-        return decode(self.lines, **self.how, impute=True, emit_af=True, emit_ds=False)
+        return self._decoded(emit_ds=False)
 
 
 def read_vcf(spark: SparkSession, path: str, samples: str = "", mode: str = "FAILFAST", dosage_field: str = "DS") -> tuple[DataFrame, list[str]]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import splits
 from .joined import Piece, join
-from .store import remove, scratch
+from .store import frame, remove, scratch
 from .vcf_write import BGZF_END, bgzf
 
 PLAN = "nth long, seam string, size long, runs array<struct<start:long,end:long>>, blocks long, ended boolean"
@@ -103,6 +103,7 @@ def planner(folder: str, level: int):
     return run
 
 
+FILES = pa.schema([("nth", pa.int64()), ("uri", pa.string())])
 SCHEMA = pa.schema([("nth", pa.int64()), ("seam", pa.string()), ("size", pa.int64()), ("runs", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("blocks", pa.int64()), ("ended", pa.bool_())])
 
 
@@ -111,7 +112,7 @@ def merge_blocks(spark: SparkSession, uris: list[str], path: str, level: int = 6
     folder = scratch(spark, "seams")
     line_end = Piece(data=bgzf(b"\n", level))
     try:
-        files = spark.createDataFrame(list(enumerate(uris)), "nth long, uri string").repartition(min(10_000, len(uris)), F.col("nth"))
+        files = frame(spark, list(enumerate(uris)), FILES).repartition(min(10_000, len(uris)), F.col("nth"))
         plans = sorted(files.mapInArrow(planner(splits.qualified(spark, folder), level), PLAN).collect(), key=lambda p: p["nth"])  # a row a file
         pieces, ended = [], True
         for uri, p in zip(uris, plans):

@@ -4,6 +4,8 @@ A task writes its files under names of its own in a folder beside them and tells
 them, so no byte of data passes through it, and a file is there as a whole or not at all. A task that fails removes what it wrote; a job that fails, and what
 lost executors left, goes with the folder. Rows come sorted by (key, row_idx) and each key in one partition; a key in two is an error, and nothing is renamed.
 
+``write_files`` does the same in a plain job, so that rows can be made by the workers that write them.
+
 Options: path, key, names (with {} for the key), profile, traits, source, compress, level, job.
 """
 
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from . import splits
-from .vcf_write import BGZF_END, BLOCK, PROFILES, bgzf, header, line_texts
+from .vcf_write import BGZF_END, BLOCK, PROFILES, bgzf, header, line_texts, parts
 
 
 @dataclass
@@ -65,12 +67,12 @@ class FilesWriter(DataSourceArrowWriter):
         return system, folder, f"{folder}/_parts-{self.job}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        system, _, parts = self.place()
-        system.create_dir(parts, recursive=True)
+        system, _, rough = self.place()
+        system.create_dir(rough, recursive=True)
         files: list[tuple[int, str]] = []
         out = None
         try:
-            for batch in iterator:
+            for batch in (p for b in iterator for p in parts(b)):
                 keys, texts = batch.column(self.key).to_pylist(), line_texts(batch, self.status)
                 starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
                 for s, e in zip(starts, [*starts[1:], len(keys)]):
@@ -78,7 +80,7 @@ class FilesWriter(DataSourceArrowWriter):
                         if out:
                             out.close()
                         files.append((keys[s], f"{keys[s]}-{uuid.uuid4().hex}"))
-                        out = Text(system.open_output_stream(f"{parts}/{files[-1][1]}"), self.packed, self.level)
+                        out = Text(system.open_output_stream(f"{rough}/{files[-1][1]}"), self.packed, self.level)
                         out.write(self.head.encode(), whole=True)
                     out.write("".join(f"{x}\n" for x in texts[s:e]).encode())
             if out:
@@ -87,7 +89,7 @@ class FilesWriter(DataSourceArrowWriter):
             if out:
                 out.stream.close()
             for _, name in files:
-                system.delete_file(f"{parts}/{name}")
+                system.delete_file(f"{rough}/{name}")
             raise
         return Written(files)
 
@@ -122,14 +124,26 @@ class VcfFiles(DataSource):
         return FilesWriter(dict(self.options))
 
 
-def write_files(df: DataFrame, uri: str, key: str, names: str, n_traits: int, profile: str, compress: bool, source: str, level: int) -> list[str]:
-    """The names of the files in order of their keys. ``uri``: a folder that Arrow's file systems reach."""
+def write_files(df: DataFrame, uri: str, key: str, names: str, n_traits: int, profile: str, compress: bool, source: str, level: int, make: tuple | None = None) -> list[str]:
+    """The names of the files in order of their keys. ``uri``: a folder that Arrow's file systems reach. ``make``: what makes dosages of df's batches."""
     from pyarrow import fs
 
-    spark, job = df.sparkSession, uuid.uuid4().hex
-    spark.dataSource.register(VcfFiles)
-    options = {"key": key, "names": names, "traits": n_traits, "profile": profile, "source": source, "compress": str(compress).lower(), "level": level, "job": job}
-    df.select(key, "chrom", "pos", "id", "ref", "alt", "dosages").write.format("vcf_files").options(**options).mode("append").save(uri)
+    job = uuid.uuid4().hex
+    options = {"path": uri, "key": key, "names": names, "traits": n_traits, "profile": profile, "source": source, "compress": str(compress).lower(), "level": level, "job": job}
+    options = {k: str(v) for k, v in options.items()}
+    writer = FilesWriter(options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = writer.write(make[0](batches) if make else batches).files
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in files], pa.int64()), pa.array([n for _, n in files], pa.string())], names=["key", "name"])
+
+    rows = df if make else df.select(key, "chrom", "pos", "id", "ref", "alt", "dosages")
+    try:
+        files = [tuple(r) for r in rows.mapInArrow(run, "key long, name string").collect()]  # a row a file
+    except BaseException:
+        writer.abort([])
+        raise
+    writer.commit([Written(files)])
     system, folder = fs.FileSystem.from_uri(uri)
     with system.open_input_stream(f"{folder}/_written-{job}") as told:
         made = json.loads(told.read())

@@ -11,7 +11,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,6 +26,8 @@ SOURCE = "##source=ldloom"
 #: An empty block, which ends a block-gzip file.
 BGZF_END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 BLOCK = 0xFF00
+#: Rows, and bytes of Arrow's, of which texts are made at once: Python's own objects take some times as much, in each worker.
+PART_ROWS, PART_BYTES = 1000, 1 << 20
 
 
 def header(n_traits: int, profile: str = "standard", source: str = SOURCE) -> str:
@@ -45,6 +47,11 @@ def bgzf(data: bytes, level: int = 6) -> bytes:
     return b"".join(out)
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    step = max(1, min(PART_ROWS, batch.num_rows * PART_BYTES // max(1, batch.nbytes)))
+    return (batch.slice(at, step) for at in range(0, batch.num_rows, step))
+
+
 def line_texts(batch: pa.RecordBatch, status: str) -> list[str]:
     return ["\t".join([*map(str, key), ".", status, ".", "DS", *("%.4f" % v for v in values)]) for *key, values in zip(*(batch.column(c).to_pylist() for c in ("chrom", "pos", "id", "ref", "alt", "dosages")))]
 
@@ -54,7 +61,7 @@ def lines(df: DataFrame, profile: str = "standard", schema: str = "row_idx long,
     status = PROFILES[profile][1]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b)):
             yield pa.RecordBatch.from_arrays([batch.column("row_idx"), pa.array(line_texts(batch, status), pa.string())], names=["row_idx", "line"])
 
     return df.select("row_idx", "chrom", "pos", "id", "ref", "alt", "dosages").mapInArrow(make, schema)
@@ -72,27 +79,35 @@ def in_order(df: DataFrame) -> DataFrame:
     return df.repartitionByRange("row_idx").sortWithinPartitions("row_idx")
 
 
-def packer(compress: bool, level: int = 6):
-    """Batches of lines -> data: the lines joined and packed, some at a time."""
+def packer(texts: Callable, compress: bool, level: int = 6):
+    """Batches -> data: their lines, as ``texts`` makes them, joined and packed, some at a time."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                data = "".join(f"{x}\n" for x in batch.column("line").slice(at, 1000).to_pylist()).encode()
+            for part in parts(batch):
+                data = "".join(f"{x}\n" for x in texts(part)).encode()
                 yield pa.RecordBatch.from_arrays([pa.array([bgzf(data, level) if compress else data])], names=["data"])
 
     return pack
 
 
-def write_vcf(df: DataFrame, path: str, n_traits: int, profile: str = "standard", compress: bool = False, source: str = SOURCE, level: int = 6, ordered: bool = False) -> None:
-    """One ordered file. Block gzip if asked for or if the name ends in .gz. ``ordered``: df comes from in_order()."""
-    write_lines(lines(df if ordered else in_order(df), profile), path, header(n_traits, profile, source), compress or path.endswith(".gz"), level)
+def write_vcf(df: DataFrame, path: str, n_traits: int, profile: str = "standard", compress: bool = False, source: str = SOURCE, level: int = 6, ordered: bool = False, make: tuple | None = None) -> None:
+    """One ordered file. Block gzip if asked for or if the name ends in .gz. ``ordered``: df comes from in_order(). ``make``: what makes dosages of df's
+    batches, and its schema; it runs in the worker that writes."""
+    status, rows = PROFILES[profile][1], df if ordered else in_order(df)
+    rows = rows if make else rows.select("chrom", "pos", "id", "ref", "alt", "dosages")
+    write_texts(rows, lambda batch: line_texts(batch, status), path, header(n_traits, profile, source), compress or path.endswith(".gz"), level, make)
 
 
 def write_lines(ordered: DataFrame, path: str, head: str, packed: bool, level: int = 6) -> None:
     """``ordered``: row_idx, line in row order."""
-    text = head.encode()
-    write_joined(ordered.select("line"), packer(packed, level), path, bgzf(text, level) if packed else text, BGZF_END if packed else b"")
+    write_texts(ordered.select("line"), lambda batch: batch.column("line").to_pylist(), path, head, packed, level)
+
+
+def write_texts(ordered: DataFrame, texts: Callable, path: str, head: str, packed: bool, level: int = 6, make: tuple | None = None) -> None:
+    """The lines that ``texts`` makes of batches of rows in order; a task has one Python worker, which makes, packs and writes them."""
+    pack, text = packer(texts, packed, level), head.encode()
+    write_joined(ordered, (lambda batches: pack(make[0](batches))) if make else pack, path, bgzf(text, level) if packed else text, BGZF_END if packed else b"")
 
 
 def write_parts(df: DataFrame, folder: str, n_traits: int, profile: str = "standard", compress: bool = False, source: str = SOURCE) -> None:
@@ -104,18 +119,19 @@ def write_parts(df: DataFrame, folder: str, n_traits: int, profile: str = "stand
     first.unionByName(rows).select("line").write.mode("overwrite").option("compression", "gzip" if compress else "none").text(folder)
 
 
-def write_files(df: DataFrame, folder: str, key: str, names: str, n_traits: int, profile: str = "chunked", compress: bool = False, source: str = SOURCE, level: int = 6) -> list[str]:
+def write_files(df: DataFrame, folder: str, key: str, names: str, n_traits: int, profile: str = "chunked", compress: bool = False, source: str = SOURCE, level: int = 6, make: tuple | None = None) -> list[str]:
     """A file in folder for every value of an integer column, named by ``names`` with the value for {}; their paths. One job, however many values.
 
     ``df`` is partitioned by ``key`` and sorted by (key, row_idx). The tasks write the files and the driver renames them (``vcf_sink``). In file systems
-    that Arrow doesn't reach, Spark's text writer takes its place, for plain files only."""
+    that Arrow doesn't reach, Spark's text writer takes its place, for plain files only. ``make``: as in write_vcf."""
     from . import splits, vcf_sink
 
     spark = df.sparkSession
     if vcf_sink.reached(uri := splits.qualified(spark, folder)):
-        return [f"{folder}/{n}" for n in vcf_sink.write_files(df, uri, key, names, n_traits, profile, compress, source, level)]
+        return [f"{folder}/{n}" for n in vcf_sink.write_files(df, uri, key, names, n_traits, profile, compress, source, level, make)]
     if compress:
         raise ValueError(f"{folder}: compressed files need a file system that Arrow reaches")
+    df = df.mapInArrow(*make) if make else df
     head = header(n_traits, profile, source)[:-1]
     first = F.lag(key).over(Window.partitionBy(key).orderBy("row_idx")).isNull()  # the partitioning and order are there already
     titled = key_lines(df, key, profile).select(key, F.when(first, F.concat(F.lit(f"{head}\n"), F.col("line"))).otherwise(F.col("line")).alias("line"))

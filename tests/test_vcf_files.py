@@ -3,13 +3,17 @@
 import gzip
 import os
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_vcf_reading import blocks, text_of
 
-from ldloom.config import MergeConfig
+from ldloom.config import MergeConfig, PreprocessConfig, SimulateConfig, StandardConfig
+from ldloom.operators import variants as V
 from ldloom.plans import chunked
-from ldloom.sources import joined, splits, vcf_merge, vcf_write
+from ldloom.plans.standard import run_standard
+from ldloom.sources import joined, splits, vcf, vcf_merge, vcf_write
 
 
 def variants(spark, n: int, chunks: int):
@@ -125,3 +129,40 @@ def test_lines_are_packed_in_the_worker_that_writes_them(spark, tmp_path, monkey
     assert gzip.open(path, "rt").read().splitlines() == ["head", *(f"line{i}" for i in range(5000))]
     ranges = used.pop()  # the copier of ranges, a job of its own
     assert used == [1] and ranges
+
+
+def test_a_task_of_the_flow_has_one_python_worker(spark, tmp_path, monkeypatch):
+    """Lines are read by the workers that decode them and made by those that write them, and the driver's rows go by Arrow: executors hold a worker a core."""
+    (tmp_path / "a.vcf.gz").write_bytes(blocks(text_of(300, 6), 2000))
+    frame, session = type(spark.range(1)), type(spark)
+    plans, made, own, create = [], [], frame.mapInArrow, session.createDataFrame
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **k: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or own(self, *a, **k))
+    monkeypatch.setattr(session, "createDataFrame", lambda self, data, *a, **k: made.append(data) or create(self, data, *a, **k))
+    chunked.preprocess(spark, PreprocessConfig(str(tmp_path / "a.vcf.gz"), str(tmp_path / "prep"), maf=0.1, n_traits=3, chunk_size=40, seed=1))
+    names = chunked.simulate(spark, SimulateConfig(str(tmp_path / "prep"), str(tmp_path / "chunks"), compress=True))
+    assert chunked.merge(spark, MergeConfig(str(tmp_path / "chunks"), str(tmp_path / "all.vcf.gz"))) == len(names) > 1
+    run_standard(spark, StandardConfig(str(tmp_path / "a.vcf.gz"), str(tmp_path / "out.vcf"), maf=0.1, n_traits=3, seed=1))
+    assert len(plans) > 8 and not [p for p in plans if "MapInArrow" in p]
+    assert made and all(isinstance(m, pa.Table) for m in made)
+    lines = gzip.open(tmp_path / "all.vcf.gz", "rt").read().splitlines()[4:]
+    assert len(lines) > 50 and all(len(x.split("\t")) == 12 for x in lines)
+
+
+def test_ranges_with_a_bitmap_read_its_rows_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(splits, "SPLIT_BYTES", 3000)
+    (tmp_path / "a.vcf.gz").write_bytes(blocks(text_of(600, 8), 2000))
+    file = vcf.VcfFile(spark, str(tmp_path / "a.vcf.gz"))
+    every = {r["row_idx"]: str(r) for r in file.variants().collect()}
+    assert sorted(every) == list(range(4, 604)) and file.tasks > 5 and file.lines.rdd.getNumPartitions() == file.tasks
+    some = [r for r in every if r % 7 == 0 or 200 < r < 300]
+    bits = spark.createDataFrame(V.bitmap(spark.createDataFrame([(r, True) for r in some], "row_idx long, has_ds boolean")).collect(), "bucket long, bits binary, single long, whole long")
+    assert {r["row_idx"]: str(r) for r in file.variants(bits).collect()} == {r: every[r] for r in some}
+    rows = np.arange(V.BITS * 2 - 20, V.BITS * 2 + 20)
+    assert vcf.in_bits({1: b"\xff" * 4096, 2: b"\x05" + b"\0" * 4095}, rows).tolist() == [True] * 20 + [True, False, True] + [False] * 17
+
+
+def test_texts_are_made_in_small_parts():
+    """However large Arrow's batches are, and however long their rows."""
+    wide = pa.RecordBatch.from_arrays([pa.array([[0.5] * 50_000] * 20)], names=["dosages"])
+    narrow = pa.RecordBatch.from_arrays([pa.array(range(5000))], names=["id"])
+    assert [p.num_rows for p in vcf_write.parts(wide)] == [2] * 10 and [p.num_rows for p in vcf_write.parts(narrow)] == [1000] * 5
